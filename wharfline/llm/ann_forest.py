@@ -29,11 +29,11 @@ from .common import materialise, partitions, ship
 SAMPLE = 20_000
 TREES, LEAF, FRACTION = 16, 100, 0.5
 
-Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
 
 
 def grow(x: np.ndarray, leaf: int, seed: int) -> Tree:
-    """(planes, thresholds, children, leaf sizes): a child below zero is leaf -child - 1."""
+    """(planes, thresholds, children, the sample's numbers in each leaf): a child below zero is leaf -child - 1."""
     rng = np.random.default_rng(seed)
     planes, cuts, children, leaves = [], [], [], []
 
@@ -51,13 +51,13 @@ def grow(x: np.ndarray, leaf: int, seed: int) -> Tree:
                         planes.append((a - b) / norm), cuts.append(cut), children.append((0, 0))
                         children[k] = (split(at[low]), split(at[~low]))
                         return k
-        leaves.append(len(at))
+        leaves.append(at)
         return -len(leaves)
 
     root = split(np.arange(len(x)))
     if root < 0:
-        return np.zeros((0, x.shape[1])), np.zeros(0), np.zeros((0, 2), np.int64), np.array(leaves)
-    return np.array(planes), np.array(cuts), np.array(children, np.int64), np.array(leaves)
+        return np.zeros((0, x.shape[1])), np.zeros(0), np.zeros((0, 2), np.int64), leaves
+    return np.array(planes), np.array(cuts), np.array(children, np.int64), leaves
 
 
 def route(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -71,17 +71,17 @@ def route(tree: Tree, x: np.ndarray) -> np.ndarray:
     return -node - 1
 
 
-def walk(forest: list[Tree], q: np.ndarray, budget: float, total: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared queue until their sample vectors are ``budget`` of ``total``, counting overlaps out."""
+def walk(forest: list[Tree], q: np.ndarray, fraction: float, held: int) -> list[tuple[int, int]]:
+    """(tree, leaf) in the order of the shared queue, until the leaves hold ``fraction`` of the sample of ``held`` vectors."""
     margins = [tree[0] @ q - tree[1] if len(tree[0]) else np.zeros(0) for tree in forest]
     heap = [(0.0, t, 0 if len(tree[0]) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(heap)
-    out, unseen = [], 1.0
-    while heap and unseen > 1 - budget:
+    out, seen = [], np.zeros(held, bool)
+    while heap and seen.sum() < fraction * held:
         near, t, node = heapq.heappop(heap)
         if node < 0:
             out.append((t, -node - 1))
-            unseen *= 1 - forest[t][3][-node - 1] / max(total, 1)
+            seen[forest[t][3][-node - 1]] = True
             continue
         m = margins[t][node]
         low, high = forest[t][2][node]

@@ -56,28 +56,36 @@ def pieces(docs: DataFrame, length: int, end_id: int, path: str | None, id_col:
 
 def _knapsack(worth: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, Counter]:
     """The pattern of the largest worth that fits into ``room`` units."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
+    items, top = [], 0.0  # a class that is worth no more than a smaller one is left out
+    for i, (size, value) in enumerate(zip(sizes.tolist(), worth.tolist(), strict=True)):
+        if value > top + 1e-12:
+            items.append((size, value, i))
+            top = value
+    best, pick = [0.0] * (room + 1), [-1] * (room + 1)
     for r in range(1, room + 1):
-        k = int(np.searchsorted(sizes, r, side="right"))
-        best[r] = best[r - 1]
-        if k:
-            value = best[r - sizes[:k]] + worth[:k]
-            i = int(value.argmax())
-            if value[i] > best[r] + 1e-12:
-                best[r], pick[r] = value[i], i
+        most, which = best[r - 1], -1
+        for k, (size, value, _) in enumerate(items):
+            if size > r:
+                break
+            if best[r - size] + value > most + 1e-12:
+                most, which = best[r - size] + value, k
+        best[r], pick[r] = most, which
     pattern: Counter = Counter()
     r = room
     while r > 0:
         if pick[r] < 0:
             r -= 1
         else:
-            pattern[int(pick[r])] += 1
-            r -= int(sizes[pick[r]])
-    return float(best[room]), pattern
+            pattern[items[pick[r]][2]] += 1
+            r -= items[pick[r]][0]
+    return best[room], pattern
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000, tolerance: float = 1e-6) -> list[tuple[dict[int, int], float]]:
-    """(pattern, times) of the linear program: least sequences for ``demand`` pieces of ``sizes`` units each."""
+def solve(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 4000, tolerance: float = 1e-3) -> list[tuple[dict[int, int], float]]:
+    """(pattern, times) of the linear program: least sequences for ``demand`` pieces of ``sizes`` units each.
+
+    Columns are added until no pattern is worth over 1 + tolerance; then the program is within that share of its optimum.
+    """
     m = len(sizes)
     columns = [{i: int(room // s)} for i, s in enumerate(sizes)]
     inverse = np.diag(1.0 / (room // sizes))
@@ -134,7 +142,7 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int
 
 
 def pack(
-    docs: DataFrame, length: int = 2048, end_id: int = 1, grain: int = 4, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 2048, end_id: int = 1, grain: int = 8, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece."""
     ship(docs.sparkSession)
