@@ -37,8 +37,8 @@ from .bpe import ASCII_SPACE, TO_LOWER, WINDOW, powers
 from .common import materialise, partitions, ship
 from .graph import components
 
-#: Coordinates of a point.
-GROUPS = 64
+#: Coordinates of a point, a byte each; the more, the closer the bound.
+GROUPS = 512
 #: Documents of a block, and a salt's share of a star.
 PAGE, SALTS = 1024, 32
 
@@ -103,14 +103,20 @@ def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 # ---- points and the R-tree
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups; 65535 stands for as many or more."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
+    """Counts of the groups; 255 stands for as many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
 def points(raw: list[bytes]) -> np.ndarray:
-    p = np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), GROUPS).astype(np.int64)
-    p[p == 65535] = 1 << 40
-    return p
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), GROUPS)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of the coordinate minima; no bound where a coordinate is full in both."""
+    least = np.minimum(a, b)
+    total = least.sum(axis=1, dtype=np.int64)
+    full = (least == 255).any(axis=1)
+    return np.where(full, np.int64(1) << 40, total) if full.any() else total
 
 
 def needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -138,7 +144,7 @@ class CountRTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = (x[at] for x in self.levels[depth])
             fits = (self.den * high >= self.num * size) & (self.num * low <= self.den * size)
-            fits &= np.minimum(top, q).sum(axis=1) >= needed(np.int64(size), np.maximum(low, 0), self.num, self.den)
+            fits &= overlap_bound(top, q) >= needed(np.int64(size), np.maximum(low, 0), self.num, self.den)
             at = at[fits]
             if depth and len(at):
                 at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
@@ -298,7 +304,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     described = materialise(source.mapInPandas(describe, "id long, n long, digest binary, point binary"), "points")
     live = described.where("id is not null and n > 0")
-    same = live.groupBy(F.col("digest").alias("_digest")).agg(F.min("id").alias("rep"))
+    same = materialise(live.groupBy(F.col("digest").alias("_digest")).agg(F.min("id").alias("rep")), "classes")
     nodes = live.join(same, F.col("digest") == F.col("_digest")).select("id", "rep")
     nodes = materialise(nodes.groupBy("id").agg(F.min("rep").alias("rep")), "nodes")
     shape = live.groupBy("id").agg(F.max("n").alias("n"), F.max_by("point", "n").alias("point"))
@@ -336,7 +342,7 @@ def _bound(pairs: DataFrame, shape: DataFrame, num: int, den: int) -> DataFrame:
         for f in frames:
             if len(f):
                 na, nb = f["na"].to_numpy(np.int64), f["nb"].to_numpy(np.int64)
-                most = np.minimum(points(f["pa"].tolist()), points(f["pb"].tolist())).sum(axis=1)
+                most = overlap_bound(points(f["pa"].tolist()), points(f["pb"].tolist()))
                 yield f.loc[most >= needed(na, nb, num, den), ["a", "b"]]
 
     return pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).mapInPandas(run, "a long, b long")
