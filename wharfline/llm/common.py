@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..ship import ship
+
+__all__ = ["all_of", "ascii_lower", "materialise", "partitions", "ranked", "shared_folder", "ship"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -27,20 +29,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once in each application."""
-    context = spark.sparkContext
-    if getattr(context, "_wharfline_sent", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp()) / "wharfline-code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._wharfline_sent = True
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/wharfline/{name}-{uuid.uuid4().hex}"
