@@ -78,7 +78,7 @@ def test_fixed_width_native_and_plain(spark):
     assert native == p.records and p.totals == {"lineCount": "3"} and reader.trailer_totals(df, o).first()["declared"] == "3"
 
 
-X12 = "ISA*00*          *00*          *ZZ*KESTREL        *ZZ*US             *260922*0930*U*00401*000000077*0*P*>~GS*IN*KES*US*20260922*0930*77*X*004010~ST*810*0001~BIG*20260922*I1~REF*PO*9~IT1*1*5*EA*2.5**VP*S1~PID*F****Bolt~IT1*2*1*EA*3**VP*S2~TDS*1550~CTT*2~SE*{}*0001~GE*1*77~IEA*1*000000077~"
+X12 = "ISA*00*          *00*          *ZZ*SUPPLYR        *ZZ*US             *260922*0930*U*00401*000000077*0*P*>~GS*IN*SUP*US*20260922*0930*77*X*004010~ST*810*0001~BIG*20260922*I1~REF*PO*9~IT1*1*5*EA*2.5**VP*S1~PID*F****Bolt~IT1*2*1*EA*3**VP*S2~TDS*1550~CTT*2~SE*{}*0001~GE*1*77~IEA*1*000000077~"
 
 
 def test_x12(spark):
