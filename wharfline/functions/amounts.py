@@ -66,7 +66,7 @@ def amount(c: Column) -> Column:
     """struct(v, e): null and no error for blank text."""
 
     def parsed(w: Column) -> Column:
-        found = F.when(w != "", _signed(w))
+        found = F.when(w.rlike(r"^\d+(\.\d+)?\z"), w.try_cast(DECIMAL)).when(w != "", _signed(w))  # most cells are plain digits
         bad = lambda v: F.when((w != "") & v.isNull(), F.concat(F.lit("'"), w, F.lit("' is not a valid amount")))
         return let(found, lambda v: F.struct(v.cast(DECIMAL).alias("v"), bad(v).alias("e")))
 
