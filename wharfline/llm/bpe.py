@@ -7,8 +7,8 @@ Ids equal those of the ``tokenizers`` library for files with NFC, white-space an
 removing regular-expression split, byte-level symbols and an end-of-word suffix.
 
 Defined results: a null text is an empty text and has no ids; special tokens written in a text become their
-own id, as in the library; texts of any length are read whole; the caches of words hold at most CACHE entries
-each and are emptied beyond that, which changes no result.
+own id, as in the library; texts of any length are read whole; a worker's memory of chunks is emptied when it
+has more than CACHE entries, which changes no result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Words and chunks that a Python worker remembers between batches.
+#: Chunks that a Python worker remembers between batches.
 CACHE = 1_000_000
 #: White space of the tokenizer's patterns; str.split() also takes U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -51,7 +51,7 @@ def byte_symbols() -> list[str]:
 #: Chunks of more bytes are encoded where they stand; the shorter ones are known by a 64-bit hash.
 LONG_CHUNK = 48
 #: Bytes of text that are cut into chunks at once.
-WINDOW = 8_000_000
+WINDOW = 1 << 19
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -70,7 +70,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse modulo 2^64, for at least n places."""
     if not _POWERS or len(_POWERS[0][0]) < n:
-        _POWERS[0] = _powers(BASE, max(n, WINDOW + (1 << 20))), _powers(INVERSE, max(n, WINDOW + (1 << 20)))
+        _POWERS[0] = _powers(BASE, max(n, WINDOW * 2)), _powers(INVERSE, max(n, WINDOW * 2))
     return _POWERS[0]
 
 
@@ -134,7 +134,6 @@ class PairIndexBPE:
         self.tokens = [b""] * self.size
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token.encode()
-        self.words: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -272,15 +271,12 @@ class PairIndexBPE:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         new = [self._chunk(c) for c in chunks]
-        missing = list({w for ws in new for w in ws if type(w) is str} - self.words.keys())
-        self.words.update(zip(missing, self.encode_words(missing), strict=True))
-        word = self.words
+        distinct = list({w for ws in new for w in ws if type(w) is str})
+        word = dict(zip(distinct, self.encode_words(distinct), strict=True))
         return [word[ws[0]] if len(ws) == 1 and type(ws[0]) is str else b"".join([word[w] if type(w) is str else w.to_bytes(2, "little") for w in ws]) for ws in new]
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the unsigned 16-bit ids of all whole texts, and where those of each text begin and end."""
-        if len(self.words) > CACHE:
-            self.words.clear()
         if len(self.known) > CACHE:
             self.forget()
         raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
@@ -367,7 +363,7 @@ def load(path: str | None = None) -> PairIndexBPE:
     return _LOADED[path]
 
 
-def in_batches(frames: Iterator[pd.DataFrame], chars: int = 24_000_000) -> Iterator[pd.DataFrame]:
+def in_batches(frames: Iterator[pd.DataFrame], chars: int = 12_000_000) -> Iterator[pd.DataFrame]:
     """Arrow batches joined to about so many characters, so that the index is built over many words at once."""
     held, size = [], 0
     for f in frames:

@@ -31,7 +31,7 @@ from .bpe import in_batches, load
 from .common import shared_folder, ship
 
 MAGIC = b"WRP1"
-HASH_BITS = 20
+HASH_BITS = 18
 BLOCK_SCHEMA = "part int, block int, doc_ids binary, n_tokens long, data binary"
 
 
