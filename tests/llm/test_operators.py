@@ -211,6 +211,21 @@ def test_quality(spark, docs, empty):
     assert quality_kn.score(empty, labels).count() == 0 and all(r["kept"] for r in quality_kn.score(docs, labels.limit(0)).collect())
 
 
+def test_quality_rejects_repetition_and_the_tail(spark):
+    rng = np.random.default_rng(6)
+    syllables = ["ta", "re", "on", "in", "the", "er", "st", "al"]
+    word = lambda: "".join(rng.choice(syllables, int(rng.integers(1, 4))))
+    good = [" ".join(word() for _ in range(int(rng.integers(40, 80)))) for _ in range(400)]
+    spam = ["The " * 200, "there on " * 100, "there alon inst " * 60]
+    mixed = [" ".join(w if i % 8 else w.upper() for i, w in enumerate(t.split())) for t in good[:20]]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + spam + mixed)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality_kn.score(df, labels).collect()}
+    assert not any(out[i]["kept"] for i in range(400, 423)) and sum(out[i]["kept"] for i in range(400)) >= 395
+    assert out[0]["threshold"] == sorted(out[i]["score"] for i in range(400))[395]
+    assert quality_kn.repetition(None) == 0 and quality_kn.repetition("a b c d") == 0
+
+
 def test_model_is_a_distribution(spark):
     text = spark.createDataFrame([("abracadabra, the cat sat on the mat. " * 20,), ("Another Day!",)], "text string")
     cost = quality_kn.log_table(quality_kn.probabilities(quality_kn.count(text)))

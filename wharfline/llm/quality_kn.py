@@ -4,11 +4,17 @@ Texts are read as symbols of a small fixed alphabet, so the n-grams of an order
 ALPHABET ** ORDER, a bound that no corpus exceeds. Counts of the trusted documents (all those labelled so) are gathered with
 one row for each n-gram and task, then summed by n-gram. Lower orders count the distinct left neighbours of their n-grams. Joins
 sharded by context bring together counts, context totals and the three discounts of each order. The finished table of
-log-probabilities (ALPHABET ** ORDER 4-byte numbers, 9 MB) is broadcast and every whole text is scored in place.
+log-probabilities (ALPHABET ** ORDER 4-byte numbers a half, 19 MB) is broadcast and every whole text is scored in place.
+
+Trusted documents fall into two halves by a hash of their text, each with a model of its own. A document, trusted or not, is
+scored by the model of the half that its hash is not in, so that trusted scores are no better than those of new documents.
 
 A document's score is its mean negative log-probability, drawn towards the median of its language by PRIOR symbols, so
-that a short text is not judged by a few symbols. It is rejected beyond its language's threshold: the HIGH quantile of
-the trusted documents' scores plus SLACK times that quantile's distance from the median.
+that a short text is not judged by a few symbols. It is rejected beyond its language's threshold, the HIGH quantile of
+the trusted documents' scores. Repetition is cheap to such a model, so it has a bound of its own: the share of words that
+repeat the word before, or whose pair with it came within the last NEAR words, with NEW unrepeated words added; it is
+rejected beyond the MOST quantile of the trusted documents. Below FEW trusted documents of a language the highest is no
+bound of these quantiles; only there the limit is twice as far from the median.
 
 Defined results: null and empty texts have no symbols, the score of their language's median and are kept; a null
 language is a language of its own; a language without trusted documents takes the quantiles of all trusted ones;
@@ -30,9 +36,14 @@ from .bpe import WINDOW
 from .common import materialise, ship
 
 ORDER, UNIT = 4, 4096
-PRIOR, HIGH, SLACK = 200, 0.99, 2.0
+PRIOR, HIGH = 200, 0.99
+NEAR, NEW, MOST = 64, 8, 0.999
+#: So many values are needed for the highest to be above their 0.99 quantile with a confidence of 0.95.
+FEW = 299
 #: Steps of scores to a nat, for quantiles.
 STEP = 10_000
+#: The half that a text is in, as SQL.
+HALF = "pmod(xxhash64(text), 2)"
 
 
 def _alphabet() -> tuple[np.ndarray, int]:
@@ -51,6 +62,7 @@ def _alphabet() -> tuple[np.ndarray, int]:
 
 
 SYMBOL, ALPHABET = _alphabet()
+SIZE = ALPHABET**ORDER
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +88,25 @@ def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f[part == p]
 
 
+def repetition(text: str | None) -> int:
+    """The share of repeated words, in 1/STEP."""
+    words, last, before, repeated = (text or "").split(), {}, None, 0
+    for i, word in enumerate(words):
+        pair = (before, word)
+        repeated += word == before or i - last.get(pair, -NEAR - 1) <= NEAR
+        last[pair], before = i, word
+    return STEP * repeated // (len(words) + NEW)
+
+
 def count(texts: DataFrame) -> DataFrame:
-    """(gram, n) over the column ``text``."""
+    """(gram, n) over the column ``text``; n-grams of the texts of ``half`` 1, where there is such a column, come SIZE higher."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(ALPHABET**ORDER, np.int64)
+        total = np.zeros(2 * SIZE, np.int64)
         for f in _slices(frames):
-            total += np.bincount(grams(f["text"].tolist())[0], minlength=len(total))
+            for half in (0, 1):
+                part = f[f["half"] == half] if "half" in f else f[: len(f) * (1 - half)]
+                total[half * SIZE : (half + 1) * SIZE] += np.bincount(grams(part["text"].tolist())[0], minlength=SIZE)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"gram": seen, "n": total[seen]})
 
@@ -98,7 +122,8 @@ def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         y = F.col("c1") / F.greatest(F.col("c1") + 2 * F.col("c2"), F.lit(1.0))
         over = lambda i: F.least(F.lit(float(i)), F.greatest(F.lit(0.1), i - (i + 1) * y * F.col(f"c{i + 1}") / F.greatest(F.col(f"c{i}"), F.lit(1.0))))
         discounts = stat.select(*[over(i).alias(f"d{i}") for i in (1, 2, 3)])
-        shard = table.withColumn("context", F.floor(F.col("gram") / ALPHABET))
+        half = F.floor(F.col("gram") / SIZE) * SIZE
+        shard = table.withColumn("context", half + F.floor(F.col("gram") % SIZE / ALPHABET))
         per = shard.groupBy("context").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
         per = per.join(F.broadcast(discounts))  # one row
         back = per.select("context", ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("back"))
@@ -106,57 +131,70 @@ def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         seen = shard.join(per.select("context", "total", "d1", "d2", "d3"), "context").select("gram", ((F.col("n") - cut) / F.col("total")).alias("seen"))
         out.append((seen, back))
         if order > 1:
-            table = table.select((F.col("gram") % ALPHABET ** (order - 1)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            table = table.select((half + F.col("gram") % ALPHABET ** (order - 1)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return out[::-1]
 
 
 def log_table(orders: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """Negative log-probability of every possible n-gram, in 1/UNIT nats."""
-    p = np.full(ALPHABET, 1 / ALPHABET)
+    """Negative log-probability of every possible n-gram of either half, in 1/UNIT nats."""
+    p = np.full((2, 1, 1, ALPHABET), 1 / ALPHABET)
     for order, (seen, back) in enumerate(orders, 1):
-        s, b = seen.toPandas(), back.toPandas()  # at most ALPHABET ** order rows
-        share = np.zeros(ALPHABET**order)
-        share[s["gram"].to_numpy(np.int64)] = s["seen"]
-        weight = np.ones(ALPHABET ** (order - 1))
-        weight[b["context"].to_numpy(np.int64)] = b["back"]
-        low = p.reshape(-1, ALPHABET) if order > 1 else p.reshape(1, -1)
-        low = np.tile(low, (ALPHABET, 1)) if order > 1 else low
-        p = (share.reshape(-1, ALPHABET) + weight[:, None] * low).ravel()
-    return np.rint(-np.log(np.maximum(p, 1e-12)) * UNIT).astype(np.int32)
+        first, mid = (1, 1) if order == 1 else (ALPHABET, ALPHABET ** (order - 2))
+        share, weight = np.zeros((2, first * mid * ALPHABET)), np.ones((2, first * mid))
+        s = seen.toPandas()  # at most 2 * ALPHABET ** order rows
+        gram = s["gram"].to_numpy(np.int64)
+        share[gram // SIZE, gram % SIZE] = s["seen"]
+        del s
+        b = back.toPandas()
+        context = b["context"].to_numpy(np.int64)
+        weight[context // SIZE, context % SIZE] = b["back"]
+        share = share.reshape(2, first, mid, ALPHABET)
+        low = p.reshape(2, 1, mid, ALPHABET)
+        for half in (0, 1):
+            for i in range(first):  # in place: the table is the driver's largest
+                share[half, i] += weight.reshape(2, first, mid, 1)[half, i] * low[half, 0]
+        p = share
+    np.log(np.maximum(p, 1e-12, out=p), out=p)
+    p *= -UNIT
+    return np.rint(p, out=p).astype(np.int32).ravel()
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row for each document: id, lang, n_symbols, perplexity, score, threshold, kept."""
+    """One row for each document: id, lang, n_symbols, perplexity, score, threshold, repetition, repetition_limit, kept."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     # merged at every size: a broadcast of the labels would end as they grow, and the plan with it
-    text = rows.join(trusted.hint("merge"), F.col("id") == F.col("_trusted"), "left_semi").select("text")
+    text = rows.join(trusted.hint("merge"), F.col("id") == F.col("_trusted"), "left_semi").select("text", F.expr(HALF).alias("half"))
     table = spark.sparkContext.broadcast(log_table(probabilities(materialise(count(text), "counts"))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _slices(frames):
-            code, at = grams(f["text"].tolist())
-            total = np.concatenate([[0], np.cumsum(table.value[code], dtype=np.int64)])
-            yield pd.DataFrame({"id": f["id"].astype("Int64"), "lang": f["lang"], "n": np.diff(at), "cost": total[at[1:]] - total[at[:-1]]})
+            texts = f["text"].tolist()
+            code, at = grams(texts)
+            other = np.repeat(1 - f["half"].to_numpy(np.int64), np.diff(at))
+            total = np.concatenate([[0], np.cumsum(table.value[other * SIZE + code], dtype=np.int64)])
+            yield pd.DataFrame({"id": f["id"].astype("Int64"), "lang": f["lang"], "n": np.diff(at), "cost": total[at[1:]] - total[at[:-1]], "repeated": [repetition(t) for t in texts]})
 
-    scored = materialise(rows.mapInPandas(run, "id long, lang string, n long, cost long"), "scores")
+    scored = materialise(rows.withColumn("half", F.expr(HALF)).mapInPandas(run, "id long, lang string, n long, cost long, repeated long"), "scores")
     of = scored.join(trusted, F.col("id") == F.col("_trusted"), "left").withColumn("good", F.col("_trusted").isNotNull()).drop("_trusted")
     mean = of.where("good and n > 0").withColumn("step", F.rint(F.col("cost") * F.lit(STEP / UNIT) / F.col("n")).cast("long"))
-    middle = quantiles(mean, "step", {"median": 0.5})
+    middle = quantiles(mean, "step", {"median": 0.5}).drop("rows")
     near = lambda df, q: df.join(F.broadcast(q.where("lang is not null").withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left").drop("_lang")  # noqa: E731  one row for each language
     whole = lambda q: F.broadcast(q.where("lang is null").drop("lang").select([F.col(c).alias(f"all_{c}") for c in q.columns if c != "lang"]))  # noqa: E731  one row
     drawn = near(of, middle).join(whole(middle), how="left").withColumn("median", F.coalesce("median", "all_median", F.lit(0.0)))
     drawn = drawn.withColumn("score", F.rint((F.col("cost") * F.lit(STEP / UNIT) + PRIOR * F.col("median")) / (F.col("n") + PRIOR)).cast("long")).drop("all_median")
-    limits = quantiles(drawn.where("good and n > 0"), "score", {"mid": 0.5, "top": HIGH})
-    limits = limits.select("lang", (F.col("top") + SLACK * (F.col("top") - F.col("mid"))).alias("limit"))
+    limits = bounds(drawn.where("good and n > 0"), "score", HIGH, "limit")
+    most = bounds(drawn.where("good and n > 0"), "repeated", MOST, "most")
     judged = near(drawn, limits).join(whole(limits), how="left").withColumn("limit", F.coalesce("limit", "all_limit"))
+    judged = near(judged, most).join(whole(most), how="left").withColumn("most", F.coalesce("most", "all_most"))
     return judged.select(
         F.col("id").alias(id_col), "lang", F.col("n").alias("n_symbols"),
         F.when(F.col("n") > 0, F.exp(F.col("cost") / F.lit(UNIT) / F.col("n"))).alias("perplexity"),
         (F.col("score") / STEP).alias("score"), (F.col("limit") / STEP).alias("threshold"),
-        F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)).alias("kept"),
+        (F.col("repeated") / STEP).alias("repetition"), (F.col("most") / STEP).alias("repetition_limit"),
+        F.coalesce((F.col("n") == 0) | ((F.col("score") <= F.col("limit")) & (F.col("repeated") <= F.col("most"))), F.lit(True)).alias("kept"),
     )
 
 
@@ -167,7 +205,14 @@ def quantiles(df: DataFrame, value: str, of: dict[str, float]) -> DataFrame:
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy(value))
     total = F.sum("n").over(Window.partitionBy("lang"))
     seen = counts.select("lang", value, upto.alias("upto"), total.alias("total"))
-    return seen.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col(value))).cast("double").alias(name) for name, q in of.items()])
+    return seen.groupBy("lang").agg(F.max("total").alias("rows"), *[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col(value))).cast("double").alias(name) for name, q in of.items()])
+
+
+def bounds(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """The quantile ``q`` for each language; with fewer than FEW rows, where no quantile bounds it, twice as far from the median."""
+    seen = quantiles(df, value, {"mid": 0.5, "top": q})
+    few = F.when(F.col("rows") < FEW, F.col("top") - F.col("mid")).otherwise(0.0)
+    return seen.select("lang", (F.col("top") + few).alias(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
