@@ -270,6 +270,17 @@ def test_licenses(spark, docs, empty):
     assert got[1]["license_id"] == "MIT" and got[2]["line_licenses"] == "CC-BY-NC-4.0,MIT" and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    isc = next(t for i, t in licenses.KNOWN if i == "ISC")
+    wrapped = isc.replace("the above copyright notice", "the above\ncopyright notice")
+    notices = ["Copyright (c) 2026 Someone", "copyright 2026", "Copyright Acme Corporation", "(c) 2026 Someone", "© Someone", "Copyright by Someone", "All rights reserved."]
+    df = spark.createDataFrame([(0, wrapped), *[(i, f"{n}\n\n{wrapped}") for i, n in enumerate(notices, 1)]], "doc_id long, text string")
+    assert {r["license_id"] for r in licenses.scan(df).collect()} == {"ISC"}
+    prose = ["copyright notice and this permission notice appear", "(c) You must retain, in the Source form", "copyright on the Program", "copyrighted by the Free", "all rights reserved to them by law"]
+    lines = spark.createDataFrame([(p,) for p in prose], "p string").select(licenses.canonical_line(F.col("p")).alias("c")).collect()
+    assert all(r["c"] for r in lines)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

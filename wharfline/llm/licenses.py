@@ -1,6 +1,7 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, equivalent spellings made equal,
+A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped
+("copyright" with (c), a year or a name; not prose that is wrapped before the word), equivalent spellings made equal,
 punctuation and white space reduced to single blanks. Its SHA-256 is joined to the digests of known licences. The
 whole text of a document is looked up, and so is each of its lines, so that a notice inside a longer document is
 found as well. The catalogue is a constant of this module, of at most CATALOGUE_LIMIT texts, and is broadcast.
@@ -36,7 +37,16 @@ EQUIVALENT = [
     ("favour", "favor"),
     ("acknowledgement", "acknowledgment"),
 ]
+#: The SQL twin's wider pattern; it also drops wrapped prose that begins a line.
 COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words after "copyright" that are prose and not a holder's name.
+_PROSE = (
+    "notices?|holders?|owners?|laws?|licen[cs]es?|licensing|statements?|interests?|rights?|treat(?:y|ies)|protections?|disclaimers?|infringements?|material|permissions?|works?|status|"
+    "protected|resulting|and|or|on|in|to|for|of|from|is|are|as|at|if|it|its|may|can|shall|will|must|under|with|without|that|which|this|these|those|you|your|they|we|does|do|not|"
+    "(?:the|a|an|each|any|all|such) (?:software|library|program|works?|notices?|licen[cs]es?|materials?|documents?|holders?|owners?)"
+)
+_YEAR = r"[\[<{(]?(?:(?:19|20)(?:\d\d|yy)|y{4}|year)\b"
+NOTICE_LINE = rf"^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|:|$|{_YEAR})|copyright[ \t]+(?!(?:{_PROSE})\b)[^\s,;.)][^\n]*|\(c\)[ \t]*(?:copyright\b|©|{_YEAR})|©|all rights reserved[ \t]*[.!]?[ \t]*$)[^\n]*"
 
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
@@ -81,7 +91,7 @@ KNOWN = [
 
 
 def canonical_line(line: Column) -> Column:
-    out = F.regexp_replace(ascii_lower(line), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(ascii_lower(line), NOTICE_LINE, "")
     for pattern, by in EQUIVALENT:
         out = F.regexp_replace(out, pattern, by)
     return F.btrim(F.regexp_replace(out, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
