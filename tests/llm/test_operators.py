@@ -281,6 +281,16 @@ def test_wrapped_licenses(spark):
     assert all(r["c"] for r in lines)
 
 
+def test_full_licenses(spark):
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and t.startswith("Permission"))
+    read = lambda name: (licenses.TEXTS / f"{name}.txt").read_text(encoding="utf-8")
+    apache, bsd = read("Apache-2.0"), read("BSD-3-Clause")
+    texts = [("MIT", f"MIT License\n\nCopyright (c) 2026 Someone\n\n{mit}"), ("Apache-2.0", apache), ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2026, Someone\n\n" + bsd), *[(n, read(n)) for n in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "Unlicense")]]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in texts]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -14,6 +14,9 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +93,29 @@ KNOWN = [
 ]
 
 
+TEXTS = Path(__file__).with_name("license_texts")
+#: Titles that published files of short licences carry; fixed values.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"],
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licences: as published, without their first paragraph if it is a title, without an appendix, and under usual titles."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8").strip()
+        ends = re.search("END OF TERMS AND CONDITIONS", text)
+        for body in [text] + ([text[: ends.end()], text[: ends.start()]] if ends else []):
+            out.append((path.stem, body))
+            title, _, rest = body.partition("\n\n")
+            if len(title) < 200 and len(rest) > 1000:
+                out.append((path.stem, rest))
+    short = out + [(i, t) for i, t in KNOWN if len(t) > 500]
+    return out + [(i, f"{title}\n\n{t}") for i, t in short for title in TITLES.get(i, [])]
+
+
 def canonical_line(line: Column) -> Column:
     out = F.regexp_replace(ascii_lower(line), NOTICE_LINE, "")
     for pattern, by in EQUIVALENT:
@@ -108,7 +134,7 @@ def whole(lines: Column) -> Column:
 
 def catalogue(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id), one row for each digest."""
-    known = KNOWN if known is None else known
+    known = KNOWN + full_texts() if known is None else known
     if len(known) > CATALOGUE_LIMIT:
         raise ValueError(f"the catalogue has {len(known)} texts; at most {CATALOGUE_LIMIT} are broadcast")
     rows = spark.createDataFrame(known, "license_id string, text string").select("license_id", F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"))
