@@ -50,7 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_read(spark, sf_dir, "documents"), sharding.uniform_tree(24), sharding.uniform_tree(25))
+    return sharding.assign(_read(spark, sf_dir, "documents"), tree := sharding.uniform_tree(24), sharding.grown(tree))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -91,14 +91,16 @@ WITH d AS (SELECT doc_id, sha256({_lower("coalesce(text, '')")}) AS text_sha256
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
 
-CHAT_SQL = """
-WITH t AS (SELECT conv_id, coalesce(floor(turn / 256), 0)::BIGINT AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+_ESCAPED = r"regexp_replace(regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')".format
+CHAT_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS raw FROM conversations),
+n AS (SELECT conv_id, role, {_ESCAPED('raw')} AS text, {_ESCAPED('role')} AS named, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(raw)) - 1 AS rank, count(*) OVER (PARTITION BY conv_id) AS n_all FROM t),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system')
-SELECT t.conv_id, segment, speaker, count(*) AS n_messages,
-  string_agg(CASE WHEN role = speaker THEN '1' ELSE '0' END, '' ORDER BY turn, role, text) AS mask,
+SELECT n.conv_id, rank // {chat.PART} AS part, (n_all + {chat.PART - 1}) // {chat.PART} AS n_parts, speaker, count(*) AS n_messages,
+  string_agg(CASE WHEN role = speaker THEN '1' ELSE '0' END, '' ORDER BY rank) AS mask,
   sum(CASE WHEN role = speaker THEN length(text) ELSE 0 END)::BIGINT AS trained_chars,
-  string_agg('<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user:' || role END || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY t.conv_id, segment, speaker"""
+  string_agg('<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user:' || named END || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY rank) AS rendered
+FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY n.conv_id, part, n_parts, speaker"""
 
 
 def oracle_sql() -> dict[str, str]:

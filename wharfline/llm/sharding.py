@@ -1,16 +1,19 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A tree has regions, racks and shards with weights. Every shard draws -ln(u) / weight from a hash u of the row's
-key and the shard's number, an exponential race. A node's draw is the smallest of its subtree's, which is itself
-an exponential draw with the node's total weight, so descending by the smallest draw region by region, rack by
-rack and shard by shard picks each child in proportion to its weight. A changed weight moves rows only into or
-out of the subtrees that hold it, and one more shard takes rows only into itself.
+A tree has regions, racks in regions and shards in racks; a node weighs as much as the shards below it. A row descends:
+among the regions, then the racks of its region, then the shards of its rack, it takes the child with the smallest
+draw -ln(u) / weight, u a hash of the row's key and the child. So each child is chosen in proportion to its weight, a row makes
+as many draws as the nodes on its way have children, and work grows with the depth of the tree and not with its shards.
+
+Where a shard's weight changes, its region and rack change theirs by as much. A node that grows only takes rows, one
+that shrinks only gives rows, and rows move nowhere but into, out of and within subtrees whose weight changed. :func:`grown`
+adds a shard in a region of its own, so that it takes rows only into itself.
 
 The law is ``key``: id and tree decide. Slots number a shard's rows from 0 without gaps, by a fixed number of
 hash buckets and then by id, so that no shard meets in one task.
 
 Defined results: a null id draws as the word null; a null text has size 8 and the checksum of no bytes; rows that
-repeat get slots of their own; an empty table gives an empty result. Only id and text are read.
+repeat get slots of their own; shards without weight take no rows; an empty table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -38,36 +41,37 @@ def uniform_tree(shards: int, racks: int = 3, per_rack: int = 4) -> list[Shard]:
     return [Shard(i, i // (racks * per_rack), i // per_rack) for i in range(shards)]
 
 
-def draw(key: Column, shard: Shard) -> Column:
-    u = (F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{shard.number}"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    return -F.ln(u) / F.lit(shard.weight)
-
-
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
+def grown(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
+    """The tree with one more shard, in a region and a rack of its own."""
+    return [*tree, Shard(max(s.number for s in tree) + 1, max(s.region for s in tree) + 1, 0, weight)]
 
 
-def _first(options: list[tuple[Column, Column]]) -> Column:
-    """The value beside the smallest draw, the earlier one on ties."""
-    least = _least([d for d, _ in options])
-    out = options[-1][1]
-    for d, value in reversed(options[:-1]):
-        out = F.when(d == least, value).otherwise(out)
+def _children(tree: list[Shard]) -> list[dict[str, list[tuple[str, float]]]]:
+    """For each level: parent's path -> (path, weight) of its children, in order."""
+    paths = [("", f"{s.region}", f"{s.region}/{s.rack}", f"{s.region}/{s.rack}/{s.number}", s.weight) for s in tree if s.weight > 0]
+    out = []
+    for level in range(3):
+        of: dict[str, dict[str, float]] = {}
+        for p in paths:
+            node = of.setdefault(p[level], {})
+            node[p[level + 1]] = node.get(p[level + 1], 0.0) + p[4]
+        out.append({k: list(v.items()) for k, v in of.items()})
     return out
 
 
-def descend(draws: dict[int, Column], tree: list[Shard]) -> Column:
-    """The shard that a row reaches, given the draws of the shards."""
+def draw(key: Column, node: Column, weight: Column) -> Column:
+    u = (F.conv(F.substring(F.md5(F.concat(key, F.lit("@"), node)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    return -F.ln(u) / weight
 
-    def below(shards: list[Shard], levels: list[str]) -> Column:
-        if not levels:
-            return _first([(draws[s.number], F.lit(s.number)) for s in shards])
-        groups: dict[int, list[Shard]] = {}
-        for s in shards:
-            groups.setdefault(getattr(s, levels[0]), []).append(s)
-        return _first([(_least([draws[s.number] for s in g]), below(g, levels[1:])) for g in groups.values()])
 
-    return below(tree, ["region", "rack"])
+def descend(rows: DataFrame, tree: list[Shard], key: str, into: str) -> DataFrame:
+    """``rows`` with the column ``into``: the number of the shard that each row reaches."""
+    out = rows.withColumn(into, F.lit(""))
+    for children in _children(tree):
+        table = F.create_map(*[x for parent, nodes in children.items() for x in (F.lit(parent), F.array(*[F.struct(F.lit(n).alias("node"), F.lit(w).alias("weight")) for n, w in nodes]))])
+        drawn = F.transform(F.element_at(table, F.col(into)), lambda c: F.struct(draw(F.col(key), c["node"], c["weight"]).alias("draw"), c["node"].alias("node")))
+        out = out.withColumn(into, F.array_min(drawn)["node"])
+    return out.withColumn(into, F.substring_index(into, "/", -1).cast("int"))
 
 
 def assign(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,13 +84,8 @@ def assign(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None = None,
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         key.alias("_key"),
     )
-    every = {s.number: s for s in [*tree, *(grown or [])]}
-    drawn = rows.select("*", *[draw(F.col("_key"), s).alias(f"_d{n}") for n, s in every.items()])
-    draws = {n: F.col(f"_d{n}") for n in every}
-    placed = drawn.select(
-        id_col, "size", "text_crc32", "_key", F.lit("key").alias("law"), descend(draws, tree).cast("int").alias("shard"),
-        (descend(draws, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"),
-    )
+    placed = descend(rows.withColumn("law", F.lit("key")), tree, "_key", "shard")
+    placed = descend(placed, grown, "_key", "grown_shard") if grown else placed.withColumn("grown_shard", F.lit(None).cast("int"))
     bucket = F.conv(F.substring(F.md5("_key"), 1, 3), 16, 10).cast("int")
     out = ranked(placed, ["shard"], [id_col, "text_crc32", "size"], bucket, "slot")
     return out.select(id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
