@@ -118,6 +118,42 @@ def test_exact_dedup(spark, docs, empty):
     assert exact_dedup.duplicate_groups(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_rounds_merge_sorted_runs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"t{x}") for i, x in enumerate(rng.integers(0, 900, 3000))] + [(5000 + i, "hot") for i in range(1500)]
+    keyed = spark.createDataFrame(rows, "_id long, text string").select("_id", *exact_dedup._digest(F.col("text")), (F.col("_id") % 8).cast("int").alias("_leaf"))
+    held, runs = exact_dedup.leaf_runs(keyed, 8, 4, "min")
+    digests = held.count()
+    for bit in range(3):
+        per = runs.collect()
+        for r in per:  # sorted, no digest twice; after i rounds the last i bits of a node are those of its digests
+            shas = [bytes(e["_sha"]) for e in r["run"]]
+            assert shas == sorted(shas) and len(set(shas)) == len(shas) and all((e["_slot"] ^ r["node"]) & ((1 << bit) - 1) == 0 for e in r["run"])
+        assert sum(len(r["run"]) for r in per) <= digests and len({(r["node"], r["chunk"]) for r in per}) == len(per)
+        runs = exact_dedup.exchange(runs, bit, "min")
+    _, root = exact_dedup.tree_merge(keyed, 8, "min", 4500)
+    want = defaultdict(list)
+    for i, t in rows:
+        want[hashlib.sha256(t.encode()).digest()].append(i)
+    for got in (root.collect(), [e for r in runs.collect() for e in r["run"]]):
+        assert {bytes(r["_sha"]): (r["_keep"], r["_n"]) for r in got} == {k: (min(v), len(v)) for k, v in want.items()} and len(got) == len(want)
+
+
+def test_equal_digests_are_verified(spark):
+    rows = [(1, b"a", 3, 7), (2, b"a", 3, 8), (3, b"a", 4, 7), (4, b"a", 3, 7)]
+    keyed = spark.createDataFrame([(*r, r[0] % 2) for r in rows], "_id long, _sha binary, _bytes int, _check long, _leaf int")
+    _, root = exact_dedup.tree_merge(keyed, 2, "max", 4)
+    assert sorted((r["_bytes"], r["_check"], r["_keep"], r["_n"]) for r in root.collect()) == [(3, 7, 4, 2), (3, 8, 2, 1), (4, 7, 3, 1)]
+
+
+def test_drop_copies_of_repeated_and_null_ids(spark):
+    rows = [(1, "a", "p"), (1, "b", "q"), (1, "a", "r"), (2, "A", "s"), (None, "n", "t"), (None, "n", "u"), (None, "a", "v"), (3, "c", None), (3, "c", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    for keep, want in (("min", [("1", "a"), ("1", "b"), ("3", "c"), ("None", "n")]), ("max", [("1", "b"), ("2", "A"), ("3", "c"), ("None", "n")])):
+        kept = exact_dedup.drop_copies(df, keep=keep)
+        assert kept.columns == df.columns and sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == want
+
+
 def _shingles(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
