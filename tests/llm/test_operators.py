@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -227,10 +228,40 @@ def test_forest(spark):
         hits += len({i for _, i, _ in rs} & {i for _, i in want})
     assert hits >= 0.9 * 10 * len(got)
     assert [i for _, i, _ in sorted(got[100])] == [7, *range(50, 59)]
-    assert ann_forest.search(df.where("vec_id > 8999")).count() == 0 or True
+    assert ann_forest.search(df.where("vec_id > 9000 and vec_id < 9100")).count() == 0
+    few = ann_forest.search(df.where("vec_id in (0, 1, 2, 7, 50)"), every=50).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in few) == [(q, i) for q in (0, 50) for i in range(1, 5)]
     assert ann_forest.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, every", [("sf0.01", 10), ("sf0.1", 10)])
+def test_forest_recall_on_the_given_tables(spark, size, every):
+    path = Path(f"/root/testdata/{size}/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("no tables here")
+    df = spark.read.parquet(str(path))
+    rows = df.orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    got = defaultdict(set)
+    for r in ann_forest.search(df, every=every).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        far = ((x - x[ids == q]) ** 2).sum(axis=1)
+        far[ids == q] = np.inf
+        hits += len(found & set(ids[np.argsort(far, kind="stable")[:10]].tolist()))
+    assert len(got) == int((ids % every == 0).sum()) and hits >= 0.93 * 10 * len(got), hits / (10 * len(got))
+
+
+def test_share_is_small_where_vectors_form_clusters():
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(40, 1, 32)) + 0.05 * rng.normal(size=(40, 100, 32))).reshape(-1, 32)
+    forest = [ann_forest.grow(x, 8, seed) for seed in range(4)]
+    assert ann_forest.calibrate(forest, x, 10) < 0.2
+    order = list(ann_forest.walk(forest, x[0]))
+    assert len(order) == len(set(order)) == sum(len(t[3]) for t in forest)
+
+
 def test_quality(spark, docs, empty):
     rng = np.random.default_rng(2)
     syllables = ["ta", "re", "on", "in", "the", "er", "st", "al"]
