@@ -60,6 +60,23 @@ def test_token_files(spark, docs, empty, tokenizer):
     assert token_files.round_trip(empty).count() == 0
 
 
+def _check_stop(block):
+    pairs = Counter()
+    for i in range(block.docs):
+        x = block.symbols[block.symbol_ends[i - 1] if i else 0 : block.symbol_ends[i]].tolist()
+        pairs.update(zip(x, x[1:], strict=False))
+    assert not pairs or max(pairs.values()) < token_files.LEAST or block.first + len(block.rules) == 65536
+
+
+def test_replaced_pairs_are_disjoint():
+    rng = np.random.default_rng(3)
+    at = np.flatnonzero(rng.random(5000) < 0.8)
+    weight = rng.integers(1, 4, len(at))
+    kept = at[token_files.disjoint(at, weight)]
+    assert (np.diff(kept) > 1).all() and len(kept) > len(at) / 5
+    assert at[token_files.disjoint(at, np.ones(len(at)))].size >= len(at) // 2
+
+
 def test_block_random_access():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 40, 20000).astype(np.uint16)
@@ -68,6 +85,10 @@ def test_block_random_access():
     assert (block.ids() == ids).all() and len(block.rules) and len(data) < 2 * ids.nbytes
     for i in (0, 7, len(ends) - 1):
         assert (block.document(i) == ids[ends[i - 1] if i else 0 : ends[i]]).all()
+    code, count = token_files.pair_counts(np.array([7, 1, 7, 3, 1, 7], np.uint32))
+    assert dict(zip(code.tolist(), count.tolist(), strict=True)) == {1: 2, 3: 1, 7: 3}
+    # at the stop no pair within a document is frequent, or the ids are used up
+    _check_stop(block)
     same = np.full(999, 5, np.uint16)
     assert (token_files.Block(token_files.compress(same, np.array([999]), 49408)).ids() == same).all()
 

@@ -1,9 +1,11 @@
 """Token ids in files compressed by Re-Pair grammars.
 
 Documents are sorted by id into ranges, encoded, ended by an id of their own and cut into blocks. A block is a
-grammar: in rounds, the most frequent pairs of neighbouring ids are replaced by nonterminals (never across the end
-of a document), until no pair is frequent or the 16-bit ids are used up. It stores the rules, the expansion length
-of every symbol and the shortened sequence, so that a document is decoded without the others. Blocks are rows of
+grammar: frequent pairs of neighbouring ids are replaced by nonterminals, again and again, never across the end of a document. Every
+round counts all pairs exactly, from their sorted codes, and replaces those with at least a quarter of the count that the last round asked for
+(at first of the largest count), so that frequent pairs go first, until no pair occurs LEAST times or the 16-bit ids are used up.
+Of chosen pairs that overlap, the more frequent one is replaced, and of equally frequent ones every other. A block stores the rules, the
+expansion length of every symbol and the shortened sequence, so that a document is decoded without the others. Blocks are rows of
 a Parquet data set, which Spark's committers write once however often tasks are retried.
 
 Layout of a block, little-endian: magic ``WRP1``; unsigned 32-bit counts of documents, rules and symbols, and the
@@ -28,51 +30,82 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import in_batches, load
-from .common import shared_folder, ship
+from .common import partitions, shared_folder, ship
 
 MAGIC = b"WRP1"
-HASH_BITS = 18
+#: A pair with fewer occurrences costs a rule more than it saves.
+LEAST = 8
+#: A round's least count, as a share of the one before.
+STEP = 0.25
+#: Bytes of text for each range of ids.
+RANGE_BYTES = 64_000_000
 BLOCK_SCHEMA = "part int, block int, doc_ids binary, n_tokens long, data binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, least: int = 24) -> bytes:
+def pair_counts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes in order, exact number of each)."""
+    code = np.sort(pairs)
+    head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[head], np.diff(np.append(head, len(code)))
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
+
+def replaceable(pairs: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where in ``pairs`` one of the ``chosen`` codes stands, its number); a table of hashes spares most of the searches."""
+    maybe = np.zeros(1 << 16, bool)
+    maybe[_slot(chosen)] = True
+    at = np.flatnonzero(maybe[_slot(pairs)])
+    number = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
+    same = chosen[number] == pairs[at]
+    return at[same], number[same]
+
+
+def disjoint(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the pairs at the rising positions ``at`` are replaced, so that no two share a symbol."""
+    if not len(at):
+        return np.zeros(0, bool)
+    beside = at[1:] == at[:-1] + 1
+    starts = np.append(True, ~beside | (weight[1:] != weight[:-1]))
+    first = np.flatnonzero(starts)
+    keep = (np.arange(len(at)) - first[np.cumsum(starts) - 1]) % 2 == 0  # every other in a run of equals
+    keep[:-1] &= ~(beside & (weight[1:] > weight[:-1]))
+    keep[1:] &= ~(beside & (weight[:-1] > weight[1:]))
+    return keep
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST, step: float = STEP) -> bytes:
     """The block of ``ids`` (all below ``first``) whose documents end before the positions ``ends``."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
-    used, each = first, max(1, (65536 - first) // rounds)
-    for _ in range(rounds):
-        if len(s) < 2 or used >= 65536:
-            break
-        pair = (s[:-1] << np.uint32(16)) | s[1:]
-        slot = (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
-        inside = ~last[:-1]
-        owner = np.zeros(1 << HASH_BITS, np.uint32)  # one pair is counted for each slot
-        owner[slot] = pair
-        inside &= owner[slot] == pair
-        at = np.flatnonzero(inside)
-        slots = slot[at]
-        count = np.bincount(slots, minlength=1 << HASH_BITS)
-        k = min(each, 65536 - used)
-        top = np.argpartition(count, len(count) - k)[-k:]
-        top = top[count[top] >= least]
-        if not len(top):
+    used, asked = first, np.inf
+    while used < 65536 and len(s) > 1:
+        inside = np.flatnonzero(~last[:-1])
+        pairs = ((s[:-1] << np.uint32(16)) | s[1:])[inside]
+        code, count = pair_counts(pairs)
+        if not len(code) or count.max() < least:
             break
-        top = top[np.argsort(-count[top], kind="stable")]
-        symbol = np.zeros(1 << HASH_BITS, np.uint32)
-        symbol[top] = used + np.arange(len(top), dtype=np.uint32)
-        chosen = symbol[slots] > 0
-        at, slots = at[chosen], slots[chosen]
-        # of pairs that overlap, the one that is more frequent than its neighbours is replaced
-        weight = count[slots]
-        beside = np.append(at[1:] == at[:-1] + 1, False)
-        keep = ~(beside & (np.append(weight[1:], 0) > weight))
-        keep[1:] &= ~(beside[:-1] & (weight[:-1] >= weight[1:]))
-        at, slots = at[keep], slots[keep]
-        rules.append(owner[top])
-        used += len(top)
-        s[at] = symbol[slots]
+        asked = max(least, int(step * min(asked, count.max())))
+        often = np.flatnonzero(count >= asked)
+        if len(often) > 65536 - used:
+            often = np.sort(often[np.argsort(-count[often], kind="stable")[: 65536 - used]])
+        code, count = code[often], count[often]
+        if not len(code):
+            continue
+        at, number = replaceable(pairs, code)
+        at = inside[at]
+        keep = disjoint(at, count[number])
+        at, number = at[keep], number[keep]
+        real = np.unique(number)
+        symbol = np.zeros(len(code), np.uint32)
+        symbol[real] = used + np.arange(len(real), dtype=np.uint32)
+        rules.append(code[real])
+        used += len(real)
+        s[at] = symbol[number]
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
@@ -122,14 +155,20 @@ class Block:
         return self.expand(self.symbols[self.symbol_ends[i - 1] if i else 0 : self.symbol_ends[i]])
 
 
-def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> None:
+def _ranges(source: DataFrame) -> int:
+    """Ranges of about RANGE_BYTES of text, whatever the input's partitions."""
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // RANGE_BYTES))
+
+
+def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> None:
     """Write the ids of all documents, ascending by id, as blocks under ``path``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         bpe, part = load(tokenizer), TaskContext.get().partitionId()
-        for block, f in enumerate(in_batches(frames)):
+        for block, f in enumerate(in_batches(frames, 8_000_000)):
             flat, at = bpe.encode_batch(f["text"].tolist())
             n = np.diff(at) + 1
             ends = np.cumsum(n)
@@ -138,11 +177,11 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
             own[ends - 1] = False
             ids[own] = flat
             order = f["doc_id"].fillna(-(1 << 63)).to_numpy(np.int64)
-            yield pd.DataFrame({"part": [part], "block": [block], "doc_ids": [order.astype("<i8").tobytes()], "n_tokens": [len(ids)], "data": [compress(ids, ends, bpe.size, rounds)]})
+            yield pd.DataFrame({"part": [part], "block": [block], "doc_ids": [order.astype("<i8").tobytes()], "n_tokens": [len(ids)], "data": [compress(ids, ends, bpe.size, least)]})
 
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = max(1, source.rdd.getNumPartitions())
+    n = max(partitions(docs.sparkSession), _ranges(source))
     ranges = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ranges.mapInPandas(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
