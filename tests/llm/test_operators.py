@@ -314,13 +314,58 @@ def test_quality_rejects_repetition_and_the_tail(spark):
     assert quality_kn.repetition(None) == 0 and quality_kn.repetition("a b c d") == 0
 
 
-def test_model_is_a_distribution(spark):
-    text = spark.createDataFrame([("abracadabra, the cat sat on the mat. " * 20,), ("Another Day!",)], "text string")
-    cost = quality_kn.log_table(quality_kn.probabilities(quality_kn.count(text)))
-    p = np.exp(-cost / quality_kn.UNIT).reshape(-1, quality_kn.ALPHABET).sum(axis=1)
-    assert abs(p - 1).max() < 0.01
-    code, at = quality_kn.grams(["abc", None, ""])
-    assert at.tolist() == [0, 3, 3, 3] and len(code) == 3
+def _kneser_ney(trained, order):
+    """Brute force: p(byte | bytes before) of the interpolated modified model of some texts."""
+    counts = {order: Counter()}
+    for t in trained:
+        b = b"\n" * (order - 1) + t
+        counts[order].update(b[i : i + order] for i in range(len(b) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    return counts
+
+
+def _discounts(tables, k):
+    c = [sum(1 for t in tables for n in t[k].values() if n == i) for i in range(5)]
+    y = c[1] / max(c[1] + 2 * c[2], 1)
+    return [min(i, max(0.1, i - (i + 1) * y * c[i + 1] / max(c[i], 1))) for i in (1, 2, 3)]
+
+
+def _probability(tables, half, d, context, byte):
+    p = 1 / 256
+    for k in range(1, len(d) + 1):
+        before = context[len(context) - k + 1 :]
+        of = {g: n for g, n in tables[half][k].items() if g[:-1] == before}
+        if not of:
+            break
+        total, cut = sum(of.values()), lambda n, k=k: d[k][min(n, 3) - 1]
+        n = of.get(before + byte, 0)
+        p = (n - cut(n) if n else 0) / total + sum(map(cut, of.values())) / total * p
+    return p
+
+
+def test_perplexity_equals_brute_force(spark):
+    texts = ["abracadabra, the cat sat on the mat. " * 2, "Another Day! Ünï", "the dog sat too", "cats and dogs and cats", "日本語 the", "zzz", "the the the", "mat cat", None, ""]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int")
+    half = {r["doc_id"]: r["h"] for r in df.selectExpr("doc_id", f"{quality_kn.HALF} h").collect()}
+    order = quality_kn.ORDER
+    tables = [_kneser_ney([texts[i].encode() for i in range(5) if half[i] == h], order) for h in (0, 1)]
+    d = {k: _discounts(tables, k) for k in range(1, order + 1)}
+    out = {r["doc_id"]: r for r in quality_kn.score(df, labels).collect()}
+    for i, t in enumerate(texts):
+        if not t:
+            assert out[i]["perplexity"] is None and out[i]["kept"]
+            continue
+        b = b"\n" * (order - 1) + t.encode()
+        cost = [-np.log(_probability(tables, 1 - half[i], d, b[j : j + order - 1], b[j + order - 1 : j + order])) for j in range(len(t.encode()))]
+        assert out[i]["n_symbols"] == len(cost) and abs(np.log(out[i]["perplexity"]) - np.mean(cost)) < 1e-3
+
+
+def test_grams_and_blocks(spark, monkeypatch):
+    code, at = quality_kn.grams([b"abc", b"", b"\xff"])
+    assert at.tolist() == [0, 3, 3, 4] and [int(c) & 0xFF for c in code] == [97, 98, 99, 255] and int(code[2]) == int.from_bytes(b"\n\nabc", "big")
+    assert [quality_kn.grams(x)[0].size for x in ([], [b""], [b"a", b"b"])] == [0, 0, 2]
 
 
 def test_sharding(spark, docs, empty):

@@ -1,16 +1,21 @@
-"""Document quality by an interpolated modified Kneser-Ney model of character n-grams.
+"""Document quality by an interpolated modified Kneser-Ney model of n-grams of bytes.
 
-Texts are read as symbols of a small fixed alphabet, so the n-grams of an order are numbers below
-ALPHABET ** ORDER, a bound that no corpus exceeds. Counts of the trusted documents (all those labelled so) are gathered with
-one row for each n-gram and task, then summed by n-gram. Lower orders count the distinct left neighbours of their n-grams. Joins
-sharded by context bring together counts, context totals and the three discounts of each order. The finished table of
-log-probabilities (ALPHABET ** ORDER 4-byte numbers a half, 19 MB) is broadcast and every whole text is scored in place.
+An n-gram is ORDER bytes of UTF-8, every script and mark as it is, written exactly into one number. What the model gathers from the trusted
+documents (all those labelled so) grows with them: one row for each distinct n-gram. Lower orders count
+the distinct left neighbours of their n-grams. Joins sharded by context bring together counts, context totals and the
+three discounts of each order. The model stays a table: for each n-gram its discounted share, and as a context the
+weight it leaves to the order below. It is never collected or broadcast.
+
+The model meets the documents in a join sharded by n-gram. Documents are read once and gathered into blocks of about BLOCK
+bytes, which are written compressed, with the distinct n-grams of each block beside them: pre-aggregated, so that an n-gram goes
+once to the join for each block however often it occurs. The shares and weights found return to the block, where every whole text is scored.
+A block's pages stream past its answers, so a task holds one block's n-grams and one page of text.
 
 Trusted documents fall into two halves by a hash of their text, each with a model of its own. A document, trusted or not, is
 scored by the model of the half that its hash is not in, so that trusted scores are no better than those of new documents.
 
-A document's score is its mean negative log-probability, drawn towards the median of its language by PRIOR symbols, so
-that a short text is not judged by a few symbols. It is rejected beyond its language's threshold, the HIGH quantile of
+A document's score is its mean negative log-probability, drawn towards the median of its language by PRIOR bytes, so
+that a short text is not judged by a few bytes. It is rejected beyond its language's threshold, the HIGH quantile of
 the trusted documents' scores. Repetition is cheap to such a model, so it has a bound of its own: the share of words that
 repeat the word before, or whose pair with it came within the last NEAR words, with NEW unrepeated words added; it is
 rejected beyond the MOST quantile of the trusted documents. Below FEW trusted documents of a language the highest is no
@@ -24,6 +29,7 @@ result. Scores are whole numbers of 1/UNIT nats, so sums do not depend on their
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import WINDOW
-from .common import materialise, ship
+from .common import materialise, partitions, ship
 
-ORDER, UNIT = 4, 4096
+ORDER, UNIT = 5, 4096
 PRIOR, HIGH = 200, 0.99
 NEAR, NEW, MOST = 64, 8, 0.999
 #: So many values are needed for the highest to be above their 0.99 quantile with a confidence of 0.95.
@@ -43,42 +49,47 @@ FEW = 299
 #: Steps of scores to a nat, for quantiles.
 STEP = 10_000
 #: The half that a text is in, as SQL.
-HALF = "pmod(xxhash64(text), 2)"
+HALF = "pmod(xxhash64(coalesce(text, '')), 2)"
 
 
-def _alphabet() -> tuple[np.ndarray, int]:
-    """Symbol of each UTF-8 byte: letters, one for capitals, space, digits, five kinds of marks, first and later bytes of other characters."""
-    of = np.full(256, 33, np.int32)
-    of[97:123] = np.arange(26)
-    of[65:91] = 26
-    of[[9, 10, 11, 12, 13, 32]] = 27
-    of[48:58] = 28
-    of[ord(".")], of[ord(",")] = 29, 30
-    of[[ord(c) for c in ";:!?"]] = 31
-    of[[ord(c) for c in "'\"()-"]] = 32
-    of[192:] = 34
-    of[128:192] = 35 + ((np.arange(128, 192) >> 1) & 3)
-    return of, 39
+#: Bytes of text of a block and of a page, about.
+BLOCK, PAGE = 64_000_000, 8_000_000
+#: A number holds the bytes of an n-gram, its order above them and the half of its model above that.
+ORDER_AT, HALF_AT = 8 * ORDER, 8 * ORDER + 4
+PAGES = (
+    "block long, page int, ids array<long>, langs array<string>, good array<boolean>, repeated array<long>, halves binary, sizes binary, text binary, asked binary, seen binary, times binary"
+)
 
 
-SYMBOL, ALPHABET = _alphabet()
-SIZE = ALPHABET**ORDER
+def tag(half: int, order: int) -> np.uint64:
+    return np.uint64((half << HALF_AT) | (order << ORDER_AT))
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams of all texts, offsets of each): every symbol with the three before it, as if after blank lines."""
+def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams of all texts, offsets of each): every byte with the ORDER - 1 before it, as if after blank lines."""
     gap = b"\n" * (ORDER - 1)
-    raw = [gap + t.encode("utf-8", "replace") if t else b"" for t in texts]
-    s = SYMBOL[np.frombuffer(b"".join(raw), np.uint8)]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
-    code = np.zeros(max(0, len(s) - ORDER + 1), np.int32)
+    s = np.frombuffer(b"".join(x for t in raw if t for x in (gap, t)), np.uint8)
+    n = max(0, len(s) - ORDER + 1)
+    code = np.zeros(n, np.uint64)
     for i in range(ORDER):
-        code = code * ALPHABET + s[i : len(s) - ORDER + 1 + i]
-    own = np.ones(len(code), bool)
-    for i, e in enumerate(np.cumsum(size).tolist()):
-        if size[i]:
-            own[max(0, e - ORDER + 1) : e] = False
-    return code[own[: len(code)]], np.concatenate([[0], np.cumsum(np.maximum(size - ORDER + 1, 0))])
+        code <<= np.uint64(8)
+        code |= s[i : n + i]
+    own = np.ones(n, bool)
+    for e in np.cumsum((size + ORDER - 1)[size > 0])[:-1].tolist():
+        own[e - ORDER + 1 : e] = False
+    return code[own], np.concatenate([[0], np.cumsum(size)])
+
+
+def summed(codes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their times."""
+    code, n = np.concatenate(codes), np.concatenate(times)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    if not len(code):
+        return code, n
+    head = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[head], np.add.reduceat(n, head)
 
 
 def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,65 +109,176 @@ def repetition(text: str | None) -> int:
     return STEP * repeated // (len(words) + NEW)
 
 
-def count(texts: DataFrame) -> DataFrame:
-    """(gram, n) over the column ``text``; n-grams of the texts of ``half`` 1, where there is such a column, come SIZE higher."""
+def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of documents (id, lang, good, half, text): rows with pages of compressed texts, and one (page -1) with the block's n-grams."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    block, held, texts, size = 0, 0, [], 0
+    asked: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    seen, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    meta: dict[str, list] = {"ids": [], "langs": [], "good": [], "repeated": [], "halves": []}
+
+    def row(page: int, **values: object) -> pd.DataFrame:
+        return pd.DataFrame({c.split()[0]: [values.get(c.split()[0])] for c in PAGES.split(", ")} | {"block": [(part << 32) + block], "page": [page]})
+
+    def page_row() -> pd.DataFrame:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        return row(held, **meta | {"halves": bytes(meta["halves"])}, sizes=sizes.tobytes(), text=zlib.compress(b"".join(texts), 1))
+
+    def block_row() -> pd.DataFrame:
+        code, n = summed(seen, times)
+        return row(-1, asked=np.unique(np.concatenate(asked)).tobytes(), seen=code.tobytes(), times=n.tobytes())
+
+    for f in _slices(frames):
+        raw = [t.encode("utf-8", "replace") if t else b"" for t in f["text"]]
+        code, at = grams(raw)
+        good, half = f["good"].to_numpy(bool), f["half"].to_numpy(np.int64)
+        in_half, in_good = np.repeat(half, np.diff(at)), np.repeat(good, np.diff(at))
+        for h in (0, 1):
+            asked.append(np.unique(code[in_half == h]) | tag(1 - h, 0))
+            own, n = np.unique(code[(in_half == h) & in_good], return_counts=True)
+            seen.append(own | tag(h, 0)), times.append(n)
+        if sum(map(len, asked)) > 4_000_000:
+            asked = [np.unique(np.concatenate(asked))]
+            seen, times = ([x] for x in summed(seen, times))
+        meta["ids"] += [None if pd.isna(x) else int(x) for x in f["id"]]
+        meta["langs"] += f["lang"].tolist()
+        meta["good"] += good.tolist()
+        meta["repeated"] += [repetition(t) for t in f["text"]]
+        meta["halves"] += half.tolist()
+        texts += raw
+        size += int(at[-1])
+        if size >= PAGE:
+            yield page_row()
+            held, texts, size, meta = held + 1, [], 0, {k: [] for k in meta}
+            if held * PAGE >= BLOCK:
+                yield block_row()
+                block, held, asked, seen, times = block + 1, 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if texts:
+        yield page_row()
+    if texts or held:
+        yield block_row()
+
+
+def expand(code: np.ndarray) -> np.ndarray:
+    """All n-grams of orders 1 to ORDER that end as the given ones of the highest order, and their contexts."""
+    half = code & np.uint64(1 << HALF_AT)
+    out = []
+    for order in range(ORDER + 1):
+        mask = np.uint64((1 << 8 * order) - 1)
+        mark = half | np.uint64(order << ORDER_AT)
+        out.append(np.unique((code & mask) | mark))
+        if order < ORDER:
+            out.append(np.unique(((code >> np.uint64(8)) & mask) | mark))
+    return np.unique(np.concatenate(out))
+
+
+def count(paged: DataFrame) -> DataFrame:
+    """(gram, n) of the trusted documents of both halves."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * SIZE, np.int64)
-        for f in _slices(frames):
-            for half in (0, 1):
-                part = f[f["half"] == half] if "half" in f else f[: len(f) * (1 - half)]
-                total[half * SIZE : (half + 1) * SIZE] += np.bincount(grams(part["text"].tolist())[0], minlength=SIZE)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": seen, "n": total[seen]})
+        for f in frames:
+            for seen, times in zip(f["seen"], f["times"], strict=True):
+                code, n = np.frombuffer(seen, np.int64), np.frombuffer(times, np.int64)
+                for i in range(0, len(code), 500_000):
+                    yield pd.DataFrame({"gram": code[i : i + 500_000], "n": n[i : i + 500_000]})
 
-    return texts.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return paged.where("page = -1").select("seen", "times").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (gram, seen), the discounted share of a seen n-gram, and (context, back), the weight of the order below."""
-    out = []
+def model(counts: DataFrame) -> DataFrame:
+    """(gram, share, back): the discounted share of each n-gram of each order, and the weight that it leaves, as a context, to the order below."""
+    out = None
     table = counts
     for order in range(ORDER, 0, -1):
         stat = table.agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
         y = F.col("c1") / F.greatest(F.col("c1") + 2 * F.col("c2"), F.lit(1.0))
         over = lambda i: F.least(F.lit(float(i)), F.greatest(F.lit(0.1), i - (i + 1) * y * F.col(f"c{i + 1}") / F.greatest(F.col(f"c{i}"), F.lit(1.0))))
         discounts = stat.select(*[over(i).alias(f"d{i}") for i in (1, 2, 3)])
-        half = F.floor(F.col("gram") / SIZE) * SIZE
-        shard = table.withColumn("context", half + F.floor(F.col("gram") % SIZE / ALPHABET))
+        half = F.col("gram").bitwiseAND(1 << HALF_AT)
+        own = F.col("gram") - half
+        shard = table.select("gram", "n", half.bitwiseOR(F.shiftright(own, 8)).bitwiseOR((order - 1) << ORDER_AT).alias("context"))
         per = shard.groupBy("context").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
         per = per.join(F.broadcast(discounts))  # one row
         back = per.select("context", ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("back"))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = shard.join(per.select("context", "total", "d1", "d2", "d3"), "context").select("gram", ((F.col("n") - cut) / F.col("total")).alias("seen"))
-        out.append((seen, back))
+        share = shard.join(per.select("context", "total", "d1", "d2", "d3"), "context").select(F.col("gram").bitwiseOR(order << ORDER_AT).alias("gram"), ((F.col("n") - cut) / F.col("total")).alias("share"), F.lit(None).cast("double").alias("back"))
+        rows = share.unionByName(back.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("share"), "back"))
+        out = rows if out is None else out.unionByName(rows)
         if order > 1:
-            table = table.select((half + F.col("gram") % ALPHABET ** (order - 1)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return out[::-1]
-
-
-def log_table(orders: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """Negative log-probability of every possible n-gram of either half, in 1/UNIT nats."""
-    p = np.full((2, 1, 1, ALPHABET), 1 / ALPHABET)
-    for order, (seen, back) in enumerate(orders, 1):
-        first, mid = (1, 1) if order == 1 else (ALPHABET, ALPHABET ** (order - 2))
-        share, weight = np.zeros((2, first * mid * ALPHABET)), np.ones((2, first * mid))
-        s = seen.toPandas()  # at most 2 * ALPHABET ** order rows
-        gram = s["gram"].to_numpy(np.int64)
-        share[gram // SIZE, gram % SIZE] = s["seen"]
-        del s
-        b = back.toPandas()
-        context = b["context"].to_numpy(np.int64)
-        weight[context // SIZE, context % SIZE] = b["back"]
-        share = share.reshape(2, first, mid, ALPHABET)
-        low = p.reshape(2, 1, mid, ALPHABET)
-        for half in (0, 1):
-            for i in range(first):  # in place: the table is the driver's largest
-                share[half, i] += weight.reshape(2, first, mid, 1)[half, i] * low[half, 0]
-        p = share
-    np.log(np.maximum(p, 1e-12, out=p), out=p)
-    p *= -UNIT
-    return np.rint(p, out=p).astype(np.int32).ravel()
+            table = materialise(table.select(half.bitwiseOR(own.bitwiseAND((1 << 8 * (order - 1)) - 1)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "counts")
+    return out.groupBy("gram").agg(F.max("share").cast("float").alias("share"), F.max("back").cast("float").alias("back"))
+
+
+def costs(code: np.ndarray, half: int, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Negative log-probabilities in 1/UNIT nats of n-grams of the highest order under the model of ``half``, from the found (grams in order, shares, backs)."""
+    grams_, shares, backs = table
+    last = max(0, len(grams_) - 1)
+
+    def find(order: int, of: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
+        if not len(grams_):
+            return np.full(len(of), missing)
+        want = (of & np.uint64((1 << 8 * order) - 1)) | tag(half, order)
+        at = np.minimum(np.searchsorted(grams_, want), last)
+        got = np.where(grams_[at] == want, values[at], np.nan)
+        return np.where(np.isnan(got), missing, got)
+
+    p = np.full(len(code), 1 / 256)
+    for order in range(1, ORDER + 1):
+        p = find(order, code, shares, 0.0) + find(order - 1, code >> np.uint64(8), backs, 1.0) * p
+    return np.rint(-UNIT * np.log(np.maximum(p, 1e-12))).astype(np.int64)
+
+
+def scores(paged: DataFrame, learnt: DataFrame) -> DataFrame:
+    """(id, lang, good, n, cost, repeated) of every document: block n-grams joined to the model, answers returned to their block."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block, asked in zip(f["block"].tolist(), f["asked"], strict=True):
+                code = expand(np.frombuffer(asked, np.uint64)).view(np.int64)
+                for i in range(0, len(code), 500_000):
+                    yield pd.DataFrame({"block": block, "gram": code[i : i + 500_000]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, found, table = None, [], None
+        for f in frames:
+            for block, g in f.groupby("block", sort=True):
+                if block != at:
+                    at, found, table = block, [], None
+                answers = g[g["page"] == -1]
+                if len(answers):
+                    found.append((answers["gram"].to_numpy(np.int64).view(np.uint64), answers["share"].to_numpy(np.float64), answers["back"].to_numpy(np.float64)))
+                for page in g[g["page"] >= 0].itertuples():
+                    if table is None:
+                        found = found or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
+                        codes, shares, backs = (np.concatenate([x[i] for x in found]) for i in range(3))
+                        order = np.argsort(codes)
+                        table, found = (codes[order], shares[order], backs[order]), []
+                    yield from read_page(page, table)
+
+    def read_page(page, table) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        data, size, half = zlib.decompress(page.text), np.frombuffer(page.sizes, np.int64), np.frombuffer(page.halves, np.uint8)
+        ends, total, i = np.cumsum(size), np.zeros(len(size), np.int64), 0
+        while i < len(size):  # some of the page's texts at a time
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + WINDOW)))
+            code, at = grams([data[e - n : e] for e, n in zip(ends[i:j].tolist(), size[i:j].tolist(), strict=True)])
+            kind = np.repeat(half[i:j], size[i:j])
+            cost = np.zeros(len(code), np.int64)
+            for h in (0, 1):
+                own = np.flatnonzero(kind == h)
+                distinct, which = np.unique(code[own], return_inverse=True)
+                cost[own] = costs(distinct, 1 - h, table)[which]
+            sums = np.concatenate([[0], np.cumsum(cost)])
+            total[i:j] = sums[at[1:]] - sums[at[:-1]]
+            i = j
+        yield pd.DataFrame({"id": pd.array(page.ids, "Int64"), "lang": page.langs, "good": page.good, "n": size, "cost": total, "repeated": page.repeated})
+
+    requests = paged.where("page = -1").select("block", "asked").repartition(partitions(paged.sparkSession)).mapInPandas(ask, "block long, gram long")
+    answers = requests.join(learnt, "gram").select("block", F.lit(-1).alias("page"), "gram", "share", "back")
+    texts = paged.where("page >= 0").select("block", "page", "ids", "langs", "good", "repeated", "halves", "sizes", "text")
+    met = answers.unionByName(texts, allowMissingColumns=True).repartition(partitions(paged.sparkSession), "block").sortWithinPartitions("block", "page")
+    return met.mapInPandas(run, "id long, lang string, good boolean, n long, cost long, repeated long")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -165,20 +287,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(spark)
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    # merged at every size: a broadcast of the labels would end as they grow, and the plan with it
-    text = rows.join(trusted.hint("merge"), F.col("id") == F.col("_trusted"), "left_semi").select("text", F.expr(HALF).alias("half"))
-    table = spark.sparkContext.broadcast(log_table(probabilities(materialise(count(text), "counts"))))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in _slices(frames):
-            texts = f["text"].tolist()
-            code, at = grams(texts)
-            other = np.repeat(1 - f["half"].to_numpy(np.int64), np.diff(at))
-            total = np.concatenate([[0], np.cumsum(table.value[other * SIZE + code], dtype=np.int64)])
-            yield pd.DataFrame({"id": f["id"].astype("Int64"), "lang": f["lang"], "n": np.diff(at), "cost": total[at[1:]] - total[at[:-1]], "repeated": [repetition(t) for t in texts]})
-
-    scored = materialise(rows.withColumn("half", F.expr(HALF)).mapInPandas(run, "id long, lang string, n long, cost long, repeated long"), "scores")
-    of = scored.join(trusted, F.col("id") == F.col("_trusted"), "left").withColumn("good", F.col("_trusted").isNotNull()).drop("_trusted")
+    flagged = rows.join(trusted, F.col("id") == F.col("_trusted"), "left").select("id", "lang", "text", F.col("_trusted").isNotNull().alias("good"), F.expr(HALF).alias("half"))
+    paged = materialise(flagged.mapInPandas(pages, PAGES), "pages")
+    learnt = materialise(model(materialise(count(paged), "counts")), "model")
+    of = materialise(scores(paged, learnt), "scores")
     mean = of.where("good and n > 0").withColumn("step", F.rint(F.col("cost") * F.lit(STEP / UNIT) / F.col("n")).cast("long"))
     middle = quantiles(mean, "step", {"median": 0.5}).drop("rows")
     near = lambda df, q: df.join(F.broadcast(q.where("lang is not null").withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left").drop("_lang")  # noqa: E731  one row for each language
@@ -217,5 +329,8 @@ def bounds(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns; rows with a null id stay."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
     bad = score(docs, labels, id_col, text_col, lang_col).where("not kept").select(F.col(id_col).alias("_bad")).where("_bad is not null").distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(id_col).cast("long").alias("_id"))
+    good = own.join(bad, F.col("_id") == F.col("_bad"), "left_anti")
+    return good.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
