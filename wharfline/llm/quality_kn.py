@@ -29,6 +29,7 @@ result. Scores are whole numbers of 1/UNIT nats, so sums do not depend on their
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -56,9 +57,8 @@ HALF = "pmod(xxhash64(coalesce(text, '')), 2)"
 BLOCK, PAGE = 64_000_000, 8_000_000
 #: A number holds the bytes of an n-gram, its order above them and the half of its model above that.
 ORDER_AT, HALF_AT = 8 * ORDER, 8 * ORDER + 4
-PAGES = (
-    "block long, page int, ids array<long>, langs array<string>, good array<boolean>, repeated array<long>, halves binary, sizes binary, text binary, asked binary, seen binary, times binary"
-)
+#: Flat columns only: rows with arrays are slow to hand to Python. ``meta`` holds what is known of a page's documents, as JSON.
+PAGES = "block long, page int, meta binary, text binary, asked binary, seen binary, times binary"
 
 
 def tag(half: int, order: int) -> np.uint64:
@@ -119,12 +119,11 @@ def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     meta: dict[str, list] = {"ids": [], "langs": [], "good": [], "repeated": [], "halves": []}
 
-    def row(page: int, **values: object) -> pd.DataFrame:
-        return pd.DataFrame({c.split()[0]: [values.get(c.split()[0])] for c in PAGES.split(", ")} | {"block": [(part << 32) + block], "page": [page]})
+    def row(page: int, **values: bytes) -> pd.DataFrame:
+        return pd.DataFrame({c: [values.get(c)] for c in ("meta", "text", "asked", "seen", "times")} | {"block": [(part << 32) + block], "page": [page]})
 
     def page_row() -> pd.DataFrame:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        return row(held, **meta | {"halves": bytes(meta["halves"])}, sizes=sizes.tobytes(), text=zlib.compress(b"".join(texts), 1))
+        return row(held, meta=json.dumps(meta | {"sizes": [len(t) for t in texts]}).encode(), text=zlib.compress(b"".join(texts), 1))
 
     def block_row() -> pd.DataFrame:
         code, n = summed(seen, times)
@@ -230,6 +229,27 @@ def costs(code: np.ndarray, half: int, table: tuple[np.ndarray, np.ndarray, np.n
     return np.rint(-UNIT * np.log(np.maximum(p, 1e-12))).astype(np.int64)
 
 
+class Lookup:
+    """The costs of a block's n-grams by a table of hashes; n-grams whose slot another one has are searched."""
+
+    def __init__(self, code: np.ndarray, cost: np.ndarray):
+        self.code, self.cost, self.bits = code, cost, max(4, (8 * len(code)).bit_length())
+        self.in_slot = np.zeros(1 << self.bits, np.int32)
+        self.in_slot[self._slot(code)] = np.arange(len(code), dtype=np.int32)
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """The costs of some of the block's n-grams."""
+        if not len(code):
+            return np.zeros(0, np.int64)
+        at = self.in_slot[self._slot(code)]
+        other = np.flatnonzero(self.code[at] != code)
+        at[other] = np.searchsorted(self.code, code[other])
+        return self.cost[at]
+
+
 def scores(paged: DataFrame, learnt: DataFrame) -> DataFrame:
     """(id, lang, good, n, cost, repeated) of every document: block n-grams joined to the model, answers returned to their block."""
 
@@ -241,42 +261,44 @@ def scores(paged: DataFrame, learnt: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"block": block, "gram": code[i : i + 500_000]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, found, table = None, [], None
+        at, found, known = None, [], None
         for f in frames:
             for block, g in f.groupby("block", sort=True):
                 if block != at:
-                    at, found, table = block, [], None
-                answers = g[g["page"] == -1]
+                    at, found = block, []
+                answers = g[g["page"] == -2]
                 if len(answers):
                     found.append((answers["gram"].to_numpy(np.int64).view(np.uint64), answers["share"].to_numpy(np.float64), answers["back"].to_numpy(np.float64)))
-                for page in g[g["page"] >= 0].itertuples():
-                    if table is None:
-                        found = found or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
-                        codes, shares, backs = (np.concatenate([x[i] for x in found]) for i in range(3))
-                        order = np.argsort(codes)
-                        table, found = (codes[order], shares[order], backs[order]), []
-                    yield from read_page(page, table)
-
-    def read_page(page, table) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        data, size, half = zlib.decompress(page.text), np.frombuffer(page.sizes, np.int64), np.frombuffer(page.halves, np.uint8)
+                for page in g[g["page"] >= -1].itertuples():
+                    if page.page >= 0:
+                        yield read_page(page, known)
+                        continue
+                    found = found or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
+                    codes, shares, backs = (np.concatenate([x[i] for x in found]) for i in range(3))
+                    order, asked = np.argsort(codes), np.frombuffer(page.asked, np.uint64)
+                    table, low = (codes[order], shares[order], backs[order]), np.uint64((1 << ORDER_AT) - 1)
+                    of = asked >> np.uint64(HALF_AT)
+                    cost = np.zeros(len(asked), np.int64)
+                    for h in (0, 1):
+                        cost[of == h] = costs(asked[of == h] & low, h, table)
+                    known, found = Lookup(asked, cost), []
+
+    def read_page(page, known: Lookup) -> pd.DataFrame:  # noqa: ANN001
+        data, meta = zlib.decompress(page.text), json.loads(page.meta)
+        size, half = np.array(meta["sizes"], np.int64), np.array(meta["halves"], np.uint64)
         ends, total, i = np.cumsum(size), np.zeros(len(size), np.int64), 0
         while i < len(size):  # some of the page's texts at a time
             j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + WINDOW)))
             code, at = grams([data[e - n : e] for e, n in zip(ends[i:j].tolist(), size[i:j].tolist(), strict=True)])
-            kind = np.repeat(half[i:j], size[i:j])
-            cost = np.zeros(len(code), np.int64)
-            for h in (0, 1):
-                own = np.flatnonzero(kind == h)
-                distinct, which = np.unique(code[own], return_inverse=True)
-                cost[own] = costs(distinct, 1 - h, table)[which]
-            sums = np.concatenate([[0], np.cumsum(cost)])
+            code |= np.repeat((np.uint64(1) - half[i:j]) << np.uint64(HALF_AT), size[i:j])
+            sums = np.concatenate([[0], np.cumsum(known.costs(code))])
             total[i:j] = sums[at[1:]] - sums[at[:-1]]
             i = j
-        yield pd.DataFrame({"id": pd.array(page.ids, "Int64"), "lang": page.langs, "good": page.good, "n": size, "cost": total, "repeated": page.repeated})
+        return pd.DataFrame({"id": pd.array(meta["ids"], "Int64"), "lang": meta["langs"], "good": meta["good"], "n": size, "cost": total, "repeated": meta["repeated"]})
 
     requests = paged.where("page = -1").select("block", "asked").repartition(partitions(paged.sparkSession)).mapInPandas(ask, "block long, gram long")
-    answers = requests.join(learnt, "gram").select("block", F.lit(-1).alias("page"), "gram", "share", "back")
-    texts = paged.where("page >= 0").select("block", "page", "ids", "langs", "good", "repeated", "halves", "sizes", "text")
+    answers = requests.join(learnt, "gram").select("block", F.lit(-2).alias("page"), "gram", "share", "back")
+    texts = paged.select("block", "page", "meta", "text", "asked")
     met = answers.unionByName(texts, allowMissingColumns=True).repartition(partitions(paged.sparkSession), "block").sortWithinPartitions("block", "page")
     return met.mapInPandas(run, "id long, lang string, good boolean, n long, cost long, repeated long")
 
