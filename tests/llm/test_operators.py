@@ -362,10 +362,30 @@ def test_perplexity_equals_brute_force(spark):
         assert out[i]["n_symbols"] == len(cost) and abs(np.log(out[i]["perplexity"]) - np.mean(cost)) < 1e-3
 
 
-def test_grams_and_blocks(spark, monkeypatch):
+def test_grams():
     code, at = quality_kn.grams([b"abc", b"", b"\xff"])
     assert at.tolist() == [0, 3, 3, 4] and [int(c) & 0xFF for c in code] == [97, 98, 99, 255] and int(code[2]) == int.from_bytes(b"\n\nabc", "big")
     assert [quality_kn.grams(x)[0].size for x in ([], [b""], [b"a", b"b"])] == [0, 0, 2]
+    table = quality_kn.Lookup(np.unique(code), np.arange(4))
+    assert table.costs(code).tolist() == np.searchsorted(np.unique(code), code).tolist()
+    with pytest.raises(KeyError):
+        table.costs(np.array([7], np.uint64))
+
+
+def test_bitmap_keeps_every_trusted_row(spark):
+    rows = spark.range(0, 5000).select(F.col("id"), F.lit("t").alias("text")).union(spark.createDataFrame([(None, "n")], "id long, text string"))
+    ids = spark.range(0, 9000, 7).select(F.col("id").alias("_trusted"))
+    assert sorted(r["id"] for r in quality_kn.among(rows, ids).collect()) == list(range(0, 5000, 7)) and quality_kn.among(rows, ids.limit(0)).count() == 0
+
+
+def test_blocks_and_pages_change_no_score(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcde é"), int(rng.integers(1, 400)))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 3)], "doc_id long, quality int")
+    want = sorted(quality_kn.score(df, labels).collect())
+    monkeypatch.setattr(quality_kn, "BLOCK", 1500)
+    assert sorted(quality_kn.score(df, labels).collect()) == want
 
 
 def test_sharding(spark, docs, empty):

@@ -6,10 +6,16 @@ the distinct left neighbours of their n-grams. Joins sharded by context bring to
 three discounts of each order. The model stays a table: for each n-gram its discounted share, and as a context the
 weight it leaves to the order below. It is never collected or broadcast.
 
-The model meets the documents in a join sharded by n-gram. Documents are read once and gathered into blocks of about BLOCK
-bytes, which are written compressed, with the distinct n-grams of each block beside them: pre-aggregated, so that an n-gram goes
-once to the join for each block however often it occurs. The shares and weights found return to the block, where every whole text is scored.
-A block's pages stream past its answers, so a task holds one block's n-grams and one page of text.
+The model meets the documents in a join sharded by n-gram. A block is what one task reads (or a share of it, by a hash, of about BLOCK
+bytes). A first reading sends the distinct n-grams of every block to the join: pre-aggregated, so that an n-gram goes
+once for each block however often it occurs. A second reading sends the texts, compressed in pages, to their block's
+answers (shares and weights), where every whole text is scored. Pages stream past the answers, so a task holds one block's n-grams and
+one page of text. Both readings need the same blocks, so the documents have to be a table or a plan that deals its
+rows alike each time; a checksum of what was asked
+stops the job otherwise.
+
+Which texts are the trusted documents' is settled by a join on their ids; before it, a bitmap of hashes of those ids (BITS bits,
+whatever their number) keeps other texts from being moved.
 
 Trusted documents fall into two halves by a hash of their text, each with a model of its own. A document, trusted or not, is
 scored by the model of the half that its hash is not in, so that trusted scores are no better than those of new documents.
@@ -55,10 +61,13 @@ HALF = "pmod(xxhash64(coalesce(text, '')), 2)"
 
 #: Bytes of text of a block and of a page, about.
 BLOCK, PAGE = 64_000_000, 8_000_000
+#: Bits of the bitmap of trusted ids, 8 MB, which is broadcast.
+BITS = 1 << 26
 #: A number holds the bytes of an n-gram, its order above them and the half of its model above that.
 ORDER_AT, HALF_AT = 8 * ORDER, 8 * ORDER + 4
+NO_GRAM = -1
 #: Flat columns only: rows with arrays are slow to hand to Python. ``meta`` holds what is known of a page's documents, as JSON.
-PAGES = "block long, page int, meta binary, text binary, asked binary, seen binary, times binary"
+PAGES = "block long, page int, meta binary, text binary, asked binary"
 
 
 def tag(half: int, order: int) -> np.uint64:
@@ -109,55 +118,86 @@ def repetition(text: str | None) -> int:
     return STEP * repeated // (len(words) + NEW)
 
 
-def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of documents (id, lang, good, half, text): rows with pages of compressed texts, and one (page -1) with the block's n-grams."""
-    from pyspark import TaskContext
+class Grams:
+    """Distinct n-grams of texts and how often they were added, merged as they come."""
+
+    def __init__(self) -> None:
+        self.codes, self.times, self.held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
 
-    part = TaskContext.get().partitionId()
-    block, held, texts, size = 0, 0, [], 0
-    asked: list[np.ndarray] = [np.zeros(0, np.uint64)]
-    seen, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    meta: dict[str, list] = {"ids": [], "langs": [], "good": [], "repeated": [], "halves": []}
+    def add(self, code: np.ndarray) -> None:
+        one, n = np.unique(code, return_counts=True)
+        self.codes.append(one), self.times.append(n)
+        self.held += len(one)
+        if self.held > 4_000_000 and self.held > 2 * len(self.codes[0]):
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        code, n = summed(self.codes, self.times)
+        self.codes, self.times, self.held = [code], [n], len(code)
+        return code, n
 
-    def row(page: int, **values: bytes) -> pd.DataFrame:
-        return pd.DataFrame({c: [values.get(c)] for c in ("meta", "text", "asked", "seen", "times")} | {"block": [(part << 32) + block], "page": [page]})
 
-    def page_row() -> pd.DataFrame:
-        return row(held, meta=json.dumps(meta | {"sizes": [len(t) for t in texts]}).encode(), text=zlib.compress(b"".join(texts), 1))
+def _encoded(f: pd.DataFrame) -> list[bytes]:
+    return [t.encode("utf-8", "replace") if t else b"" for t in f["text"]]
 
-    def block_row() -> pd.DataFrame:
-        code, n = summed(seen, times)
-        return row(-1, asked=np.unique(np.concatenate(asked)).tobytes(), seen=code.tobytes(), times=n.tobytes())
 
+def _own_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(block, rows) of rows (text, block, ...), some text at a time."""
     for f in _slices(frames):
-        raw = [t.encode("utf-8", "replace") if t else b"" for t in f["text"]]
-        code, at = grams(raw)
-        good, half = f["good"].to_numpy(bool), f["half"].to_numpy(np.int64)
-        in_half, in_good = np.repeat(half, np.diff(at)), np.repeat(good, np.diff(at))
-        for h in (0, 1):
-            asked.append(np.unique(code[in_half == h]) | tag(1 - h, 0))
-            own, n = np.unique(code[(in_half == h) & in_good], return_counts=True)
-            seen.append(own | tag(h, 0)), times.append(n)
-        if sum(map(len, asked)) > 4_000_000:
-            asked = [np.unique(np.concatenate(asked))]
-            seen, times = ([x] for x in summed(seen, times))
-        meta["ids"] += [None if pd.isna(x) else int(x) for x in f["id"]]
-        meta["langs"] += f["lang"].tolist()
-        meta["good"] += good.tolist()
-        meta["repeated"] += [repetition(t) for t in f["text"]]
-        meta["halves"] += half.tolist()
-        texts += raw
-        size += int(at[-1])
-        if size >= PAGE:
-            yield page_row()
-            held, texts, size, meta = held + 1, [], 0, {k: [] for k in meta}
-            if held * PAGE >= BLOCK:
-                yield block_row()
-                block, held, asked, seen, times = block + 1, 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    if texts:
-        yield page_row()
-    if texts or held:
-        yield block_row()
+        for block, g in f.groupby("block", sort=True):
+            yield int(block), g
+
+
+def _answering(raw: list[bytes], half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams with the mark of the model that scores them, offsets of each text)."""
+    code, at = grams(raw)
+    return code | np.repeat((1 - half.astype(np.int64)).astype(np.uint64) << np.uint64(HALF_AT), np.diff(at)), at
+
+
+def asks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, gram, mark): what the blocks of (text, half, block) need of the model, and a row with NO_GRAM and the checksum of it."""
+    blocks: dict[int, Grams] = {}
+    for block, f in _own_blocks(frames):
+        blocks.setdefault(block, Grams()).add(_answering(_encoded(f), f["half"].to_numpy())[0])
+    for block, seen in blocks.items():
+        own = seen.sum()[0]
+        yield pd.DataFrame({"block": [block], "gram": [NO_GRAM], "mark": [checksum(own)]})
+        code = expand(own).view(np.int64)
+        for i in range(0, len(code), 500_000):
+            yield pd.DataFrame({"block": block, "gram": code[i : i + 500_000], "mark": 0})
+
+
+def checksum(code: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(code, initial=np.uint64(0)))
+
+
+def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of (id, lang, text, half, block): rows with pages of compressed texts, and one (page -1) with the block's n-grams."""
+    blocks: dict[int, Grams] = {}
+    held: dict[int, list] = {}
+
+    def row(block: int, page: int, **values: bytes) -> pd.DataFrame:
+        return pd.DataFrame({c: [values.get(c)] for c in ("meta", "text", "asked")} | {"block": [block], "page": [page]})
+
+    def page_row(block: int) -> pd.DataFrame:
+        page, texts, meta, _ = held[block]
+        held[block] = [page + 1, [], {k: [] for k in meta}, 0]
+        return row(block, page, meta=json.dumps(meta | {"sizes": [len(t) for t in texts]}).encode(), text=zlib.compress(b"".join(texts), 6))
+
+    for block, f in _own_blocks(frames):
+        raw, half = _encoded(f), f["half"].to_numpy()
+        blocks.setdefault(block, Grams()).add(_answering(raw, half)[0])
+        own = held.setdefault(block, [0, [], {"ids": [], "langs": [], "repeated": [], "halves": []}, 0])
+        own[1] += raw
+        for name, values in {"ids": [None if pd.isna(x) else int(x) for x in f["id"]], "langs": f["lang"].tolist(), "repeated": [repetition(t) for t in f["text"]], "halves": half.tolist()}.items():
+            own[2][name] += values
+        own[3] += sum(map(len, raw))
+        if own[3] >= PAGE:
+            yield page_row(block)
+    for block, seen in blocks.items():
+        if held[block][1]:
+            yield page_row(block)
+        yield row(block, -1, asked=zlib.compress(seen.sum()[0].tobytes(), 1))
 
 
 def expand(code: np.ndarray) -> np.ndarray:
@@ -173,17 +213,31 @@ def expand(code: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def count(paged: DataFrame) -> DataFrame:
-    """(gram, n) of the trusted documents of both halves."""
+def count(texts: DataFrame) -> DataFrame:
+    """(gram, n) of the texts (text, half)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for seen, times in zip(f["seen"], f["times"], strict=True):
-                code, n = np.frombuffer(seen, np.int64), np.frombuffer(times, np.int64)
-                for i in range(0, len(code), 500_000):
-                    yield pd.DataFrame({"gram": code[i : i + 500_000], "n": n[i : i + 500_000]})
+        seen = Grams()
+        for f in _slices(frames):
+            seen.add(_answering(_encoded(f), 1 - f["half"].to_numpy())[0])
+        code, n = seen.sum()
+        code = code.view(np.int64)
+        for i in range(0, len(code), 500_000):
+            yield pd.DataFrame({"gram": code[i : i + 500_000], "n": n[i : i + 500_000]})
 
-    return paged.where("page = -1").select("seen", "times").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, ...) whose id is in ``ids`` (one column); most others are left out by a bitmap before anything is moved."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    name = ids.columns[0]
+    bitmap = ids.groupBy(F.bitmap_bucket_number(at(name)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(name))).alias("_bits"))
+    bit = F.bitmap_bit_position(at("id"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at("id")) == F.col("_bucket"))  # BITS / 8 bytes at most
+    near = near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns)
+    return near.join(ids, F.col("id") == F.col(name), "left_semi")
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -246,36 +300,34 @@ class Lookup:
             return np.zeros(0, np.int64)
         at = self.in_slot[self._slot(code)]
         other = np.flatnonzero(self.code[at] != code)
-        at[other] = np.searchsorted(self.code, code[other])
+        at[other] = np.minimum(np.searchsorted(self.code, code[other]), len(self.code) - 1)
+        if (self.code[at[other]] != code[other]).any():
+            raise KeyError("an n-gram that is not the block's")
         return self.cost[at]
 
 
-def scores(paged: DataFrame, learnt: DataFrame) -> DataFrame:
-    """(id, lang, good, n, cost, repeated) of every document: block n-grams joined to the model, answers returned to their block."""
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for block, asked in zip(f["block"].tolist(), f["asked"], strict=True):
-                code = expand(np.frombuffer(asked, np.uint64)).view(np.int64)
-                for i in range(0, len(code), 500_000):
-                    yield pd.DataFrame({"block": block, "gram": code[i : i + 500_000]})
+def scores(rows: DataFrame, learnt: DataFrame) -> DataFrame:
+    """(id, lang, n, cost, repeated) of every document: block n-grams joined to the model, answers returned to their block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, found, known = None, [], None
+        at, found, marks, known = None, [], [], None
         for f in frames:
             for block, g in f.groupby("block", sort=True):
                 if block != at:
-                    at, found = block, []
+                    at, found, marks = block, [], []
                 answers = g[g["page"] == -2]
                 if len(answers):
                     found.append((answers["gram"].to_numpy(np.int64).view(np.uint64), answers["share"].to_numpy(np.float64), answers["back"].to_numpy(np.float64)))
+                    marks = answers.loc[answers["gram"] == NO_GRAM, "mark"].tolist() or marks
                 for page in g[g["page"] >= -1].itertuples():
                     if page.page >= 0:
                         yield read_page(page, known)
                         continue
                     found = found or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
                     codes, shares, backs = (np.concatenate([x[i] for x in found]) for i in range(3))
-                    order, asked = np.argsort(codes), np.frombuffer(page.asked, np.uint64)
+                    order, asked = np.argsort(codes), np.frombuffer(zlib.decompress(page.asked), np.uint64)
+                    if marks != [checksum(asked)]:
+                        raise RuntimeError("the documents were dealt differently when they were read again; give a table or a plan that always deals them alike")
                     table, low = (codes[order], shares[order], backs[order]), np.uint64((1 << ORDER_AT) - 1)
                     of = asked >> np.uint64(HALF_AT)
                     cost = np.zeros(len(asked), np.int64)
@@ -289,18 +341,21 @@ def scores(paged: DataFrame, learnt: DataFrame) -> DataFrame:
         ends, total, i = np.cumsum(size), np.zeros(len(size), np.int64), 0
         while i < len(size):  # some of the page's texts at a time
             j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + WINDOW)))
-            code, at = grams([data[e - n : e] for e, n in zip(ends[i:j].tolist(), size[i:j].tolist(), strict=True)])
-            code |= np.repeat((np.uint64(1) - half[i:j]) << np.uint64(HALF_AT), size[i:j])
+            code, at = _answering([data[e - n : e] for e, n in zip(ends[i:j].tolist(), size[i:j].tolist(), strict=True)], half[i:j])
             sums = np.concatenate([[0], np.cumsum(known.costs(code))])
             total[i:j] = sums[at[1:]] - sums[at[:-1]]
             i = j
-        return pd.DataFrame({"id": pd.array(meta["ids"], "Int64"), "lang": meta["langs"], "good": meta["good"], "n": size, "cost": total, "repeated": meta["repeated"]})
+        return pd.DataFrame({"id": pd.array(meta["ids"], "Int64"), "lang": meta["langs"], "n": size, "cost": total, "repeated": meta["repeated"]})
 
-    requests = paged.where("page = -1").select("block", "asked").repartition(partitions(paged.sparkSession)).mapInPandas(ask, "block long, gram long")
-    answers = requests.join(learnt, "gram").select("block", F.lit(-2).alias("page"), "gram", "share", "back")
-    texts = paged.select("block", "page", "meta", "text", "asked")
-    met = answers.unionByName(texts, allowMissingColumns=True).repartition(partitions(paged.sparkSession), "block").sortWithinPartitions("block", "page")
-    return met.mapInPandas(run, "id long, lang string, good boolean, n long, cost long, repeated long")
+    n = partitions(rows.sparkSession)
+    learnt = learnt.unionByName(learnt.sparkSession.range(1).select(F.lit(NO_GRAM).cast("long").alias("gram")), allowMissingColumns=True)
+    rows = rows.withColumn("block", F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.col("sub")).drop("sub")
+    rows = rows.select("id", "lang", "text", "half", "block")  # both readings need the same columns: a shuffle below may deal by them
+    requests = rows.mapInPandas(asks, "block long, gram long, mark long")
+    answers = requests.join(learnt, "gram").select("block", F.lit(-2).alias("page"), "gram", "mark", "share", "back")
+    texts = rows.mapInPandas(pages, PAGES)
+    met = answers.unionByName(texts, allowMissingColumns=True).repartition(n, "block").sortWithinPartitions("block", "page")
+    return met.mapInPandas(run, "id long, lang string, n long, cost long, repeated long")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -309,10 +364,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(spark)
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    flagged = rows.join(trusted, F.col("id") == F.col("_trusted"), "left").select("id", "lang", "text", F.col("_trusted").isNotNull().alias("good"), F.expr(HALF).alias("half"))
-    paged = materialise(flagged.mapInPandas(pages, PAGES), "pages")
-    learnt = materialise(model(materialise(count(paged), "counts")), "model")
-    of = materialise(scores(paged, learnt), "scores")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = max(1, -(-size // (BLOCK * max(1, rows.rdd.getNumPartitions()))))
+    rows = rows.select("id", "lang", "text", F.expr(HALF).alias("half"), F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(shares)).alias("sub"))
+    learnt = materialise(model(materialise(count(among(rows.select("id", "text", "half"), trusted)), "counts")), "model")
+    scored = materialise(scores(rows, learnt), "scores")
+    of = scored.join(trusted, F.col("id") == F.col("_trusted"), "left").withColumn("good", F.col("_trusted").isNotNull()).drop("_trusted")
     mean = of.where("good and n > 0").withColumn("step", F.rint(F.col("cost") * F.lit(STEP / UNIT) / F.col("n")).cast("long"))
     middle = quantiles(mean, "step", {"median": 0.5}).drop("rows")
     near = lambda df, q: df.join(F.broadcast(q.where("lang is not null").withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left").drop("_lang")  # noqa: E731  one row for each language
