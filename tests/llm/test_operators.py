@@ -218,6 +218,39 @@ def test_near_components(spark, docs, empty):
     assert ngram_join.drop_near_copies(docs).columns == docs.columns and ngram_join.near_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_unrelated_documents_share_no_page(num):
+    rng = np.random.default_rng(num)
+    for size, n in ((3, 2000), (5, 2000), (17, 1000), (60, 300), (407, 60), (711, 60), (12138, 12)):
+        sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + np.uint64(1)) for _ in range(n)]
+        key, name = ngram_join.page_keys(sets, np.arange(n), num, 100)
+        one = {tuple(x) for x in np.stack([key, name], axis=1).tolist()}
+        assert len({k for k, _ in one}) == len(one), size
+    for low, high, groups, spare in ngram_join.levels(20000, num, 100):
+        assert groups - spare > (high - 1) * (100 - num) // num  # linked documents have a full group in common
+
+
+def test_near_copies_of_long_documents_share_pages():
+    rng = np.random.default_rng(9)
+    for size in (4, 30, 711, 4000):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)
+        changed = int(size * 0.11)  # of the union, a fifth at most
+        other = np.append(base[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64))
+        key, name = ngram_join.page_keys([np.unique(base), np.unique(other)], np.arange(2), 80, 100)
+        assert set(key[name == 0].tolist()) & set(key[name == 1].tolist()), size
+
+
+def test_clashing_columns(spark):
+    names = ["_bad", "_gone", "_id", "_c0", "keep_id", "component_id", "shard", "slot", "start", "ids", "digest", "license_id", "size"]
+    rows = [(i, t, "en", *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e f", "a b c d e f", "Licensed under the MIT License.", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for kept in (quality_kn.keep_good(df, labels), exact_dedup.drop_copies(df), ngram_join.drop_near_copies(df)):
+        assert kept.columns == df.columns and 2 in {r["doc_id"] for r in kept.collect() if r["_id"] == f"_id{r['doc_id']}" and r["_c0"] == f"_c0{r['doc_id']}"}
+    for out in (licenses.scan(df), quality_kn.score(df, labels), exact_dedup.duplicate_groups(df), ngram_join.near_components(df), bpe.digests(df), token_files.round_trip(df), packing.pack(df), sharding.assign(df, sharding.uniform_tree(3))):
+        assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3]
+
+
 def test_count_rtree_is_a_bound():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 80))).astype(np.uint64) * np.uint64(2)) for _ in range(300)]

@@ -10,8 +10,9 @@ of unrelated documents of a size lie close together. The leaves of the index are
 that can be linked at all. A pair with Jaccard similarity of at least t differs in at most d = n (1 - t) / t
 shingles (n the smaller size), so if the hash space is cut into more than d groups, one group at least holds the
 same shingles in both. A document enters a page for each of its groups, keyed by the group's content. Groups
-are counted per level of size; empty groups, which say nothing, are made up for by spare groups, and a document
-with more empty groups than spares enters the pages of its empty groups too. No link is lost.
+are counted per level of size; empty groups, which say nothing, are made up for by spare groups: as many as are expected to be empty
+at the level's smallest size, and six standard deviations. A document with more empty groups than that, which no random
+one has, enters the pages of its empty groups too. No link is lost.
 
 Within a page the smallest document is a star's centre and is verified against all others; the components of the
 links found so far decide what is left: documents of a page that are not in the centre's component search the
@@ -26,6 +27,7 @@ repeat an id are one node; an empty table gives an empty result. Only id and tex
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,10 +84,10 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
             s = np.sort(rolled[i : j - k + 1])
             out.append(s[np.append(True, s[1:] != s[:-1])])
         elif j > i:
-            few = np.uint64(j - i)
+            few = np.array([j - i], np.uint64)
             for w, o in zip(word[i:j], odd, strict=False):
                 few = few * np.uint64(31) + w * o
-            out.append(mix(np.array([few], np.uint64)))
+            out.append(mix(few))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -160,8 +162,14 @@ def levels(upto: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
     while low <= upto:
         high = max(low + 1, low * 3 // 2)
         differ = (high - 1) * (den - num) // num
-        spare = 2 + -(-differ * 8 // 100)
-        out.append((low, high, differ + 1 + spare, spare))
+        groups = differ + 3
+        while True:  # more spares make groups emptier; from sixteen groups for each shingle on, hardly any two share one
+            empty = groups * math.exp(-low / groups)
+            more = min(16 * high + differ, differ + 1 + math.ceil(empty + 6 * math.sqrt(empty) + 2))
+            if more <= groups:
+                break
+            groups = more
+        out.append((low, high, groups, groups - differ - 1))
         low = high
     return out
 
@@ -398,4 +406,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """The rows of ``docs`` that stay, with all their columns: of each component the document with the smallest id."""
     found = near_components(docs, k, num, den, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(id_col).cast("long").alias("_id"))
+    kept = own.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

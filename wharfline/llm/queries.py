@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.layout import spread
 from . import ann_forest, bpe, chat, exact_dedup, licenses, ngram_join, packing, quality_kn, sharding, token_files
 
 
@@ -14,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_read(spark, sf_dir, "documents"))
+    return licenses.scan(spread(_read(spark, sf_dir, "documents")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_read(spark, sf_dir, "documents"))
+    return bpe.digests(spread(_read(spark, sf_dir, "documents")))
 
 
 def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack(spread(_read(spark, sf_dir, "documents")))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
