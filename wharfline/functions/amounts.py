@@ -13,6 +13,8 @@ DECIMAL = "decimal(18,6)"
 # Spellings of currencies and of scales.
 PREFIX = r"(?i)^(US\$|\$|₹|RS\.?|INR|USD|EUR|€|£|GBP)\s*"
 SUFFIX = r"(?i)\s*(INR|USD|EUR|GBP|/-)$"
+#: Shapes that most cells have: digits, and digits with thousands marks before a decimal point.
+COMMON = r"^-?[$₹]?(?:\d+|\d[\d,]*\.\d+)\z"
 SCALED = r"(?i)^(\d{1,3}(?:\.\d+)?)\s*(L|LAC|LACS|LAKH|LAKHS|CR|CRORE|CRORES|K|M|MN|MILLION)$"
 SCALES = {"L": 100000, "LAC": 100000, "LACS": 100000, "LAKH": 100000, "LAKHS": 100000, "CR": 10000000, "CRORE": 10000000, "CRORES": 10000000, "K": 1000, "M": 1000000, "MN": 1000000, "MILLION": 1000000}
 
@@ -66,11 +68,12 @@ def amount(c: Column) -> Column:
     """struct(v, e): null and no error for blank text."""
 
     def parsed(w: Column) -> Column:
-        found = F.when(w.rlike(r"^\d+(\.\d+)?\z"), w.try_cast(DECIMAL)).when(w != "", _signed(w))  # most cells are plain digits
         bad = lambda v: F.when((w != "") & v.isNull(), F.concat(F.lit("'"), w, F.lit("' is not a valid amount")))
-        return let(found, lambda v: F.struct(v.cast(DECIMAL).alias("v"), bad(v).alias("e")))
+        return let(F.when(w != "", _signed(w)), lambda v: F.struct(v.cast(DECIMAL).alias("v"), bad(v).alias("e")))
 
-    return let(strip(F.translate(c, NBSP, " ")), parsed)
+    # common shapes need none of the steps below, nor a lambda
+    plain = F.translate(c, ",$₹", "").try_cast(DECIMAL)
+    return F.when(c.rlike(COMMON) & (F.length(c) < 12), F.struct(plain.alias("v"), F.lit(None).cast("string").alias("e"))).otherwise(let(strip(F.translate(c, NBSP, " ")), parsed))
 
 
 def parse_amount(c: Column) -> tuple[Column, Column]:

@@ -43,10 +43,10 @@ def _shape(pattern: str):
 
 def special(s: Column) -> Column:
     """ISO timestamps, in their own offset, and five-digit Excel serials."""
-    serial = F.when(s.rlike(r"^\d{5}(\.\d+)?$"), s.try_cast("double"))
-    return F.when(s.rlike(ISO), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")).when(
-        (serial > 20000) & (serial < 80000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int"))
-    )
+    day = lambda n: F.when((n > 20000) & (n < 80000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int")))
+    serial = F.when(s.rlike(r"^\d{5}(\.\d+)?$"), let(s.try_cast("double"), day))
+    stamp = F.when(s.rlike(ISO), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+    return F.when(s.contains("T"), stamp).when((F.length(s) == 5) | s.contains("."), serial)
 
 
 def date(c: Column, patterns: list[str] | None = None) -> Column:
@@ -58,7 +58,12 @@ def date(c: Column, patterns: list[str] | None = None) -> Column:
         found = F.coalesce(special(s), *[try_pattern(s, p) for p in names])
         return let(found, lambda v: F.struct(v.alias("v"), F.when((s != "") & v.isNull(), F.concat(F.lit("'"), s, said)).alias("e")))
 
-    return let(strip(c), parsed)
+    slow = let(strip(c), parsed)
+    if not any(mark in names[0] for mark in "/- "):
+        return slow
+    # no serial and no timestamp has the shape of a pattern with such marks, so the first pattern may be tried first
+    first = try_pattern(c, names[0])
+    return F.when(first.isNotNull(), F.struct(first.alias("v"), F.lit(None).cast("string").alias("e"))).otherwise(slow)
 
 
 def parse_date(c: Column, patterns: list[str] | None = None) -> tuple[Column, Column]:

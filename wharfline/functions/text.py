@@ -11,7 +11,8 @@ SMALL_WORDS = ["a", "an", "and", "of", "the", "for", "in", "on", "to", "x"]
 NUMERIC = r"(?i)^[(+-]?\s*(?:[$₹€£]|RS\.?|INR|USD)?\s*[0-9][0-9,.'\s]*\)?(?:\s*(?:CR|DR|-))?$"
 DATE_SHAPE = r"^(\d{1,4}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,2}[-\s][A-Za-z]{3,9}[-\s,]+\d{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}T.*)$"
 
-EDGE_SPACE = r"^\p{javaWhitespace}+|\p{javaWhitespace}+$"
+#: White space of Java's Character.isWhitespace; fixed values.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000]))
 NBSP = " "
 
 
@@ -22,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Unicode white space off both ends; a non-breaking space stays."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -31,7 +32,17 @@ def is_blank(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Stripped text, null for the tokens that mean no value."""
-    return let(strip(F.translate(c, NBSP, " ")), lambda s: F.when((s != "") & ~F.upper(s).isin(NULL_TOKENS), s))
+    return let(stripped(c), known)
+
+
+def stripped(c: Column) -> Column:
+    """Without white space and non-breaking spaces at its ends; those inside become spaces."""
+    return strip(F.translate(c, NBSP, " "))
+
+
+def known(s: Column) -> Column:
+    """Stripped text, null for the tokens that mean no value."""
+    return F.when((s != "") & ~F.upper(s).isin(NULL_TOKENS), s)
 
 
 def collapse(c: Column) -> Column:
@@ -62,7 +73,8 @@ def title(c: Column) -> Column:
 
 def plain(c: Column) -> Column:
     """A decimal as text without trailing zeros."""
-    return F.regexp_replace(c.cast("string"), r"\.0+$|(?<=\.\d{0,18}[1-9])0+$", "")
+    s = c.cast("string")
+    return F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
 
 
 def looks_numeric(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts
-from ..functions.text import clean, is_blank, let, normalize_key, plain, strip
+from ..functions.text import is_blank, known, let, normalize_key, plain, strip, stripped
 from ..plans.model import VIOLATION, ConfigError, FieldMapping, MappingSpec, TargetSchema
 from ..plans.transforms import Context, Value, apply_transform, coerce, compile_transform
 
@@ -55,40 +55,56 @@ def resolve(source: str, columns: list[str] | None) -> Column:
     return F.when(F.map_contains_key("fields", F.lit(source)), F.lit(source)).otherwise(alike)
 
 
-def _source(m: FieldMapping, columns: list[str] | None) -> tuple[Value, Column]:
+def _source(m: FieldMapping, names: list[Column], parts: list[Column]) -> tuple[Value, Column]:
+    """The raw value and the lineage of a field whose sources have these names and cleaned values."""
     if m.const is not None:
         return Value(F.lit(m.const)), F.array(F.lit("const"))
-    names = [resolve(s, columns) for s in m.sources]
-    parts = [clean(F.try_element_at("fields", n)) for n in names]
     used = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
     lineage = F.when(F.size(used) > 0, used).otherwise(F.array(*[F.lit(s) for s in m.sources]).cast("array<string>"))
     if not parts:
         return Value(F.lit(None).cast("string")), lineage
     if m.join == "+":
         def total(ps: Column) -> Column:
-            bad = F.get(F.filter(ps, lambda p: p["e"].isNotNull()), F.lit(0))["e"]
-            sums = F.aggregate(ps, F.lit(0).cast(amounts.DECIMAL), lambda a, p: (a + F.coalesce(p["v"], F.lit(0).cast(amounts.DECIMAL))).cast(amounts.DECIMAL))
-            return F.struct(F.when(bad.isNull() & (F.size(ps) > 0), sums).alias("v"), bad.alias("e"))
-
-        return Value(let(F.transform(F.array_compact(F.array(*parts)), amounts.amount), total), "decimal", True), lineage
+            bad = F.coalesce(*[ps[f"_{i}"]["e"] for i in range(len(parts))])
+            some = F.greatest(*[ps[f"_{i}"]["v"] for i in range(len(parts))]) if len(parts) > 1 else ps["_0"]["v"]
+            sums = F.lit(0).cast(amounts.DECIMAL)
+            for i in range(len(parts)):
+                sums = (sums + F.coalesce(ps[f"_{i}"]["v"], F.lit(0).cast(amounts.DECIMAL))).cast(amounts.DECIMAL)
+            return F.struct(F.when(bad.isNull() & some.isNotNull(), sums).alias("v"), bad.alias("e"))
+
+        return Value(let(F.struct(*[amounts.amount(p).alias(f"_{i}") for i, p in enumerate(parts)]), total), "decimal", True), lineage
     if len(parts) == 1:
         return Value(parts[0]), lineage
     return Value(let(F.array_compact(F.array(*parts)), lambda ps: F.when(F.size(ps) > 0, F.array_join(ps, m.join)))), lineage
 
 
 def map_records(records: DataFrame, spec: MappingSpec, schema: TargetSchema, context: Context, columns: list[str] | None = None) -> DataFrame:
-    """Map with one projection; ``columns``, where known, settles column names when the plan is built."""
+    """Map in one stage; ``columns``, where known, settles column names when the plan is built.
+
+    Source cells are cleaned in projections of their own, so that generated code, and no lambda, computes each once.
+    """
     check_spec(spec, schema)
+    own = [c for c in records.columns if c not in ("fields", "columns")]
+    sources = list(dict.fromkeys(s for m in spec.fields if m.const is None for s in m.sources))
+    at = {s: i for i, s in enumerate(sources)}
+    names = {s: resolve(s, columns) for s in sources}
+    if columns is None:
+        records = records.select(*own, "fields", *[n.alias(f"_n_{at[s]}") for s, n in names.items()])
+        names = {s: F.col(f"_n_{i}") for s, i in at.items()}
+    shown = [F.col(f"_n_{i}") for i in at.values()] if columns is None else []
+    records = records.select(*own, *shown, *[stripped(F.try_element_at("fields", names[s])).alias(f"_s_{i}") for s, i in at.items()])
+    records = records.select(*own, *shown, *[known(F.col(f"_s_{i}")).alias(f"_c_{i}") for i in at.values()])
     values, lineage, errors = {}, [], []
     for m in spec.fields:
         target = schema.field(m.target)
-        raw, used = _source(m, columns)
+        given = m.sources if m.const is None else ()
+        raw, used = _source(m, [names[s] for s in given], [F.col(f"_c_{at[s]}") for s in given])
         out = coerce(apply_transform(m.transform, raw, context), target.type)
         values[m.target] = out
         lineage += [F.lit(m.target), used]
         if out.failed:
             errors.append((m.target, target.label))
-    keep = [c for c in records.columns if c not in ("fields", "columns")]
+    keep = own
     made = records.select(*keep, *[v.source.alias(f"_m_{t}") for t, v in values.items()], (F.create_map(*lineage) if lineage else F.create_map().cast("map<string,array<string>>")).alias("lineage"))
     typed = []
     for f in schema.fields:
