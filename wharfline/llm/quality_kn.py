@@ -66,8 +66,11 @@ BITS = 1 << 26
 #: A number holds the bytes of an n-gram, its order above them and the half of its model above that.
 ORDER_AT, HALF_AT = 8 * ORDER, 8 * ORDER + 4
 NO_GRAM = -1
-#: Flat columns only: rows with arrays are slow to hand to Python. ``meta`` holds what is known of a page's documents, as JSON.
-PAGES = "block long, page int, meta binary, text binary, asked binary"
+#: A share and a weight are packed into one number, as negative logarithms in 1/FINE nats; NONE where there is none.
+FINE, NONE = 1 << 16, (1 << 31) - 1
+#: Flat columns only: rows with arrays are slow to hand to Python. ``data`` is a page of texts and, as JSON, what is known of its
+#: documents; ``value`` is the length of the JSON.
+PAGES = "block long, page int, value long, data binary"
 
 
 def tag(half: int, order: int) -> np.uint64:
@@ -176,13 +179,14 @@ def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     blocks: dict[int, Grams] = {}
     held: dict[int, list] = {}
 
-    def row(block: int, page: int, **values: bytes) -> pd.DataFrame:
-        return pd.DataFrame({c: [values.get(c)] for c in ("meta", "text", "asked")} | {"block": [block], "page": [page]})
+    def row(block: int, page: int, value: int, data: bytes) -> pd.DataFrame:
+        return pd.DataFrame({"block": [block], "page": [page], "value": [value], "data": [data]})
 
     def page_row(block: int) -> pd.DataFrame:
         page, texts, meta, _ = held[block]
         held[block] = [page + 1, [], {k: [] for k in meta}, 0]
-        return row(block, page, meta=json.dumps(meta | {"sizes": [len(t) for t in texts]}).encode(), text=zlib.compress(b"".join(texts), 6))
+        head = json.dumps(meta | {"sizes": [len(t) for t in texts]}).encode()
+        return row(block, page, len(head), zlib.compress(b"".join([head, *texts]), 6))
 
     for block, f in _own_blocks(frames):
         raw, half = _encoded(f), f["half"].to_numpy()
@@ -197,7 +201,7 @@ def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for block, seen in blocks.items():
         if held[block][1]:
             yield page_row(block)
-        yield row(block, -1, asked=zlib.compress(seen.sum()[0].tobytes(), 1))
+        yield row(block, -1, 0, zlib.compress(seen.sum()[0].tobytes(), 1))
 
 
 def expand(code: np.ndarray) -> np.ndarray:
@@ -229,7 +233,7 @@ def count(texts: DataFrame) -> DataFrame:
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, ...) whose id is in ``ids`` (one column); most others are left out by a bitmap before anything is moved."""
+    """The rows (id, ...) whose id is in ``ids`` (one column of distinct ids); most others are left out by a bitmap before anything is moved."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
     name = ids.columns[0]
     bitmap = ids.groupBy(F.bitmap_bucket_number(at(name)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(name))).alias("_bits"))
@@ -237,11 +241,11 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     near = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at("id")) == F.col("_bucket"))  # BITS / 8 bytes at most
     near = near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns)
-    return near.join(ids, F.col("id") == F.col(name), "left_semi")
+    return near.join(ids, F.col("id") == F.col(name)).drop(name)  # not a semi-join, which would be pushed below the bitmap
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """(gram, share, back): the discounted share of each n-gram of each order, and the weight that it leaves, as a context, to the order below."""
+    """(gram, packed share and back): the discounted share of each n-gram of each order, and the weight that it leaves, as a context, to the order below."""
     out = None
     table = counts
     for order in range(ORDER, 0, -1):
@@ -261,7 +265,12 @@ def model(counts: DataFrame) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
         if order > 1:
             table = materialise(table.select(half.bitwiseOR(own.bitwiseAND((1 << 8 * (order - 1)) - 1)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "counts")
-    return out.groupBy("gram").agg(F.max("share").cast("float").alias("share"), F.max("back").cast("float").alias("back"))
+    logs = lambda c: F.coalesce(F.rint(-F.ln(F.max(c)) * FINE).cast("long"), F.lit(NONE))
+    return out.groupBy("gram").agg((logs("share") * (1 << 32) + logs("back")).alias("packed"))
+
+
+def _unpacked(value: np.ndarray) -> np.ndarray:
+    return np.where(value == NONE, np.nan, np.exp(value / -FINE))
 
 
 def costs(code: np.ndarray, half: int, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -317,15 +326,16 @@ def scores(rows: DataFrame, learnt: DataFrame) -> DataFrame:
                     at, found, marks = block, [], []
                 answers = g[g["page"] == -2]
                 if len(answers):
-                    found.append((answers["gram"].to_numpy(np.int64).view(np.uint64), answers["share"].to_numpy(np.float64), answers["back"].to_numpy(np.float64)))
-                    marks = answers.loc[answers["gram"] == NO_GRAM, "mark"].tolist() or marks
+                    code, value = answers["gram"].to_numpy(np.int64), answers["value"].to_numpy(np.int64)
+                    found.append((code.view(np.uint64), _unpacked(value >> 32), _unpacked(value & 0xFFFFFFFF)))
+                    marks = value[code == NO_GRAM].tolist() or marks
                 for page in g[g["page"] >= -1].itertuples():
                     if page.page >= 0:
                         yield read_page(page, known)
                         continue
                     found = found or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
                     codes, shares, backs = (np.concatenate([x[i] for x in found]) for i in range(3))
-                    order, asked = np.argsort(codes), np.frombuffer(zlib.decompress(page.asked), np.uint64)
+                    order, asked = np.argsort(codes), np.frombuffer(zlib.decompress(page.data), np.uint64)
                     if marks != [checksum(asked)]:
                         raise RuntimeError("the documents were dealt differently when they were read again; give a table or a plan that always deals them alike")
                     table, low = (codes[order], shares[order], backs[order]), np.uint64((1 << ORDER_AT) - 1)
@@ -336,7 +346,8 @@ def scores(rows: DataFrame, learnt: DataFrame) -> DataFrame:
                     known, found = Lookup(asked, cost), []
 
     def read_page(page, known: Lookup) -> pd.DataFrame:  # noqa: ANN001
-        data, meta = zlib.decompress(page.text), json.loads(page.meta)
+        data = zlib.decompress(page.data)
+        meta, data = json.loads(data[: page.value]), data[page.value :]
         size, half = np.array(meta["sizes"], np.int64), np.array(meta["halves"], np.uint64)
         ends, total, i = np.cumsum(size), np.zeros(len(size), np.int64), 0
         while i < len(size):  # some of the page's texts at a time
@@ -352,7 +363,8 @@ def scores(rows: DataFrame, learnt: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.spark_partition_id().cast("long") * F.lit(1 << 32) + F.col("sub")).drop("sub")
     rows = rows.select("id", "lang", "text", "half", "block")  # both readings need the same columns: a shuffle below may deal by them
     requests = rows.mapInPandas(asks, "block long, gram long, mark long")
-    answers = requests.join(learnt, "gram").select("block", F.lit(-2).alias("page"), "gram", "mark", "share", "back")
+    value = F.when(F.col("gram") == NO_GRAM, F.col("mark")).otherwise(F.col("packed"))
+    answers = requests.join(learnt, "gram").select("block", F.lit(-2).alias("page"), "gram", value.alias("value"))
     texts = rows.mapInPandas(pages, PAGES)
     met = answers.unionByName(texts, allowMissingColumns=True).repartition(n, "block").sortWithinPartitions("block", "page")
     return met.mapInPandas(run, "id long, lang string, n long, cost long, repeated long")
