@@ -239,7 +239,7 @@ def gstin_check_char(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", g.alias("g"), codes.gstin_check_char(g).alias("check_char"))
 
 
-@query()
+@query("SELECT s_suppkey, jaro_winkler_similarity(s_name, reverse(s_name)) AS score FROM supplier")
 def jaro_winkler(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier")
     return s.select("s_suppkey", codes.jaro_winkler_column(F.col("s_name"), F.reverse("s_name")).alias("score"))
@@ -385,9 +385,12 @@ def key_template_null(spark, sf_dir):
     return mapped_lines(spark, sf_dir).select("invoiceNumber", "line", mapping.render("q={quantity}/{sku}", SCHEMA).alias("key"))
 
 
-@query(f"WITH {_E} SELECT invoiceNumber, line, description, CASE WHEN description IS NULL THEN p_name ELSE description END AS kept FROM e")
+@query(f"WITH {_E} SELECT invoiceNumber, line, CASE WHEN l_orderkey % 3 > 0 THEN description WHEN found THEN p_name END AS kept, l_orderkey % 3 = 0 AND found AS taken FROM e")
 def enrich_lookup_onlyifblank(spark, sf_dir):
-    return enriched_lines(spark, sf_dir).select("invoiceNumber", "line", "description", F.col("description").alias("kept"))
+    third = F.col("invoiceNumber").cast("long") % 3 == 0
+    blank = mapped_lines(spark, sf_dir).withColumn("description", F.when(third & (F.col("line") % 2 == 0), " ").when(~third, F.col("description")))
+    out = enrich(blank, (model.Lookup("catalog", "{sku}", {"description": "description"}, True),), SCHEMA, invoice_reference(spark, sf_dir))
+    return out.select("invoiceNumber", "line", F.when(F.trim("description") != "", F.col("description")).alias("kept"), (F.array_join(F.col("lineage")["description"], ",") == "catalog.description").alias("taken"))
 
 
 @query(f"WITH {_E} SELECT invoiceNumber, line, CASE WHEN found THEN p_name ELSE description END AS description, CASE WHEN found THEN 'catalog.description' END AS source FROM e")
@@ -482,14 +485,19 @@ def already_invoiced_semi(spark, sf_dir):
     return found.select("invoiceNumber", "line", "v.message")
 
 
-@query("""WITH g AS (SELECT c_custkey, """ + _GST14 + """ || CASE WHEN c_custkey % 2 = 0 THEN '0' ELSE '#' END AS g FROM customer)
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'GSTIN ''' || g || ''' is invalid (wrong format)' END AS message FROM g WHERE c_custkey % 2 = 1""")
+@query(f"""WITH b AS (SELECT c_custkey, {_GST14} AS b FROM customer),
+p AS (SELECT c_custkey, b, list_transform(range(1, 15), lambda i: (instr('{codes.CHARSET}', b[i]) - 1) * CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END) AS ps FROM b),
+c AS (SELECT c_custkey, b, ('{codes.CHARSET}')[CAST((36 - list_sum(list_transform(ps, lambda x: x // 36 + x % 36)) % 36) % 36 AS INTEGER) + 1] AS digit FROM p),
+g AS (SELECT c_custkey, b || CASE c_custkey % 3 WHEN 0 THEN digit WHEN 1 THEN '#' ELSE CASE WHEN digit = 'A' THEN 'B' ELSE 'A' END END AS g FROM c)
+SELECT c_custkey, 'GSTIN ' || chr(39) || g || chr(39) || ' is invalid (' || CASE c_custkey % 3 WHEN 1 THEN 'wrong format' ELSE 'check digit does not match' END || ')' AS message FROM g WHERE c_custkey % 3 > 0""")
 def rule_gstin(spark, sf_dir):
     schema = model.load_schema({"name": "party", "fields": [{"name": "gstin"}]})
     g = F.concat(F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0"), F.lit("AAP"), F.char(65 + F.col("c_custkey") % 26), F.lit("U"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit("F1Z"))
-    rows = _t(spark, sf_dir, "customer").select(F.lit("f").alias("file_id"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("line"), F.when(F.col("c_custkey") % 2 == 0, F.concat(g, codes.gstin_check_char(g))).otherwise(F.concat(g, F.lit("#"))).alias("gstin"), mapping.none_yet().alias("issues"))
+    digit, kind = codes.gstin_check_char(g), F.col("c_custkey") % 3
+    last = F.when(kind == 0, digit).when(kind == 1, "#").otherwise(F.when(digit == "A", "B").otherwise("A"))
+    rows = _t(spark, sf_dir, "customer").select(F.lit("f").alias("file_id"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("line"), F.concat(g, last).alias("gstin"), mapping.none_yet().alias("issues"))
     out = rules.validate(rows, model.load_rules({"rules": [{"id": "G", "type": "gstin", "field": "gstin"}]}), schema, Reference(), TODAY)
-    return out.select(F.col("line").alias("c_custkey"), F.explode("violations").alias("v")).select("c_custkey", "v.message")
+    return rules.violations(out, F.col("line").alias("c_custkey")).select("c_custkey", "v.message")
 
 
 _STATUS = f"""{_E}, s AS (SELECT *, CASE WHEN l_orderkey % 50 = 0 OR quantity < 2 OR quantity > 48 OR currency NOT IN ('USD', 'INR', 'EUR') THEN 'ERROR'
@@ -533,25 +541,38 @@ def deliverable_split(spark, sf_dir):
     return outbox.deliverable(_judged(spark, sf_dir)).groupBy("file_id", "invoiceNumber", "line").agg(F.sum(F.col("quantity").cast("double")).alias("quantity"))
 
 
-@query()
+_WARNED = "CASE WHEN taxAmount IS NULL THEN 1 ELSE 0 END + CASE WHEN length(sku) > 3 THEN 1 ELSE 0 END + CASE WHEN currency = 'JPY' THEN 1 ELSE 0 END"
+_FAILED = "CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END + CASE WHEN quantity < 2 OR quantity > 48 THEN 1 ELSE 0 END + CASE WHEN currency NOT IN ('USD', 'INR', 'EUR') THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {_STATUS} SELECT line, status, invoiceNumber AS invoice, strftime(invoiceDate, '%Y-%m-%d') AS day, CAST(lineAmount AS DOUBLE) AS amount, 'CGST' AS tax_from, {_WARNED} + {_FAILED} AS n_violations FROM s""")
 def export_json(spark, sf_dir):
-    return pipeline.export_json(_judged(spark, sf_dir), SCHEMA)
+    part = lambda path: F.get_json_object("json", path)
+    return pipeline.export_json(_judged(spark, sf_dir), SCHEMA).select(
+        part("$.line").cast("long").alias("line"), part("$.status").alias("status"), part("$.values.invoiceNumber").alias("invoice"), part("$.values.invoiceDate").alias("day"),
+        part("$.values.lineAmount").cast("double").alias("amount"), part("$.lineage.taxAmount[0]").alias("tax_from"), F.json_array_length(part("$.violations")).alias("n_violations"),
+    )
 
 
-@query()
+@query(f"""WITH {_STATUS} SELECT file_id || '-' || invoiceNumber || '-' || line AS record_id, supplierId AS partner, CAST(quantity AS DOUBLE) AS quantity, {_WARNED} AS n_warnings FROM s""")
 def delivered_payload(spark, sf_dir):
     keyed_rows = _judged(spark, sf_dir).withColumn("record_id", F.concat_ws("-", "file_id", "invoiceNumber", "line")).withColumn("partner_id", F.col("supplierId"))
-    return keyed_rows.select("record_id", pipeline.delivered_payload(keyed_rows, SCHEMA).alias("payload"))
+    payload = keyed_rows.select(pipeline.delivered_payload(keyed_rows, SCHEMA).alias("payload"))
+    part = lambda path: F.get_json_object("payload", path)
+    return payload.select(part("$._recordId").alias("record_id"), part("$._partner").alias("partner"), part("$.quantity").cast("double").alias("quantity"), F.json_array_length(part("$._warnings")).alias("n_warnings"))
 
 
-@query(f"""WITH {_STATUS} SELECT invoiceNumber, line, CAST(quantity + 1 AS DOUBLE) AS quantity, CASE WHEN quantity + 1 > 48 THEN 'ERROR' WHEN currency = 'JPY' THEN 'WARNING' ELSE 'VALID' END AS status
+@query(f"""WITH {_STATUS} SELECT invoiceNumber, line, CASE WHEN line % 2 = 0 THEN CAST(quantity + 1 AS DOUBLE) END AS quantity,
+ CASE WHEN line % 2 = 1 OR quantity + 1 > 48 THEN 'ERROR' WHEN currency = 'JPY' THEN 'WARNING' ELSE 'VALID' END AS status,
+ CASE WHEN line % 2 = 1 THEN 'Quantity: ' || chr(39) || 'abc' || chr(39) || ' is not a valid amount' END AS message, 'edited by ann' AS edited
 FROM s WHERE status = 'ERROR' AND quantity < 2""")
 def exception_fix(spark, sf_dir):
     held = _judged(spark, sf_dir).where("status = 'ERROR' and quantity < 2").withColumn("record_id", F.monotonically_increasing_id())
-    held = held.drop("violations").withColumn("violations", mapping.none_yet())
-    edits = held.select("record_id", F.lit("quantity").alias("field"), (F.col("quantity") + 1).cast("string").alias("value"))
-    out = jobs.fix(held, edits, SPEC, SCHEMA, [r for r in RULES if r.id == "QTY"], invoice_reference(spark, sf_dir), TODAY)
-    return out.select("invoiceNumber", "line", F.col("quantity").cast("double").alias("quantity"), "status")
+    value = F.when(F.col("line") % 2 == 1, "abc").otherwise((F.col("quantity") + 1).cast("string"))
+    edits = held.select("record_id", F.lit("quantity").alias("field"), value.alias("value"))
+    out = jobs.fix(held, edits, SPEC, SCHEMA, [r for r in RULES if r.id == "QTY"], invoice_reference(spark, sf_dir), TODAY, "ann")
+    wrong = F.get(F.filter("violations", lambda v: v["rule"] == "MAPPING"), F.lit(0))["message"]
+    return out.select("invoiceNumber", "line", F.col("quantity").cast("double").alias("quantity"), "status", wrong.alias("message"), F.array_join(F.col("lineage")["quantity"], ",").alias("edited"))
 
 
 # ---- the store's relational queries
@@ -672,10 +693,11 @@ def outbox_claim(spark, sf_dir):
     return outbox.claim(_records(spark, sf_dir), F.lit("2100-01-01").cast("timestamp")).select("record_id", "next_attempt_at")
 
 
-@query(f"""WITH {_R} SELECT partner_id, sha256(string_agg(record_id || ':' || job_id, ',' ORDER BY record_id || ':' || job_id)) AS key FROM r WHERE job_id < 20 GROUP BY 1""")
+@query(f"""WITH {_R} SELECT partner_id, sha256(string_agg(record_id || ':' || job_id, ',' ORDER BY next_attempt_at, record_id)) AS key FROM r GROUP BY 1""")
 def delivery_idempotency_key(spark, sf_dir):
-    r = _records(spark, sf_dir).where("job_id < 20")
-    return r.groupBy("partner_id").agg(outbox.idempotency_key(F.collect_list(F.concat_ws(":", "record_id", "job_id"))).alias("key"))
+    claimed = F.sort_array(F.collect_list(F.struct("next_attempt_at", "record_id", "job_id")))
+    pairs = F.transform(claimed, lambda x: F.concat_ws(":", x["record_id"], x["job_id"]))
+    return _records(spark, sf_dir).groupBy("partner_id").agg(outbox.idempotency_key(pairs).alias("key"))
 
 
 @query(f"WITH {_R} SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'DELIVERED' ELSE status END AS status FROM r")
@@ -684,7 +706,7 @@ def delivery_success(spark, sf_dir):
     return outbox.after_success(r, r.where("record_id % 2 = 0")).select("record_id", "status")
 
 
-@query(f"WITH {_R} SELECT record_id, CASE WHEN record_id % 2 = 0 AND status IN ('ERROR', 'DEAD_LETTER') THEN 'DISMISSED' ELSE status END AS status FROM r")
+@query(f"WITH {_R} SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'DISMISSED' ELSE status END AS status FROM r")
 def exception_dismiss(spark, sf_dir):
     r = _records(spark, sf_dir)
     return jobs.dismiss(r, r.where("record_id % 2 = 0")).select("record_id", "status")
@@ -766,10 +788,10 @@ def x12_envelope_counts(spark, sf_dir):
     return edi.envelope_counts(edi.segments(x12_documents(spark, sf_dir))).select("file_id", "tx_type", "n_segments", "declared")
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS file_id, strftime(o_orderdate, '%Y%m%d') AS day, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, CAST(l_partkey AS VARCHAR) AS sku FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS file_id, strftime(o_orderdate, '%Y%m%d') AS day, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, CAST(l_partkey AS VARCHAR) AS sku, CAST(l_partkey AS VARCHAR) AS paired_sku FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def x12_flatten(spark, sf_dir):
     flat = edi.flattened(edi.segments(x12_documents(spark, sf_dir)), "IT1")
-    return flat.select("file_id", F.col("fields")["BIG01"].alias("day"), F.col("fields")["IT101"].alias("line"), F.col("fields")["IT102"].alias("quantity"), F.col("fields")["IT107"].alias("sku"))
+    return flat.select("file_id", F.col("fields")["BIG01"].alias("day"), F.col("fields")["IT101"].alias("line"), F.col("fields")["IT102"].alias("quantity"), F.col("fields")["IT107"].alias("sku"), F.col("fields")["IT1.VP"].alias("paired_sku"))
 
 
 def _as_files(docs: DataFrame, suffix: str) -> DataFrame:

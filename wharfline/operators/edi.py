@@ -304,7 +304,11 @@ def flattened(segs: DataFrame, record: str) -> DataFrame:
     keyed = loops.select("file_id", "tx_no", "loop_no", "pos", "seg_id", qualified.alias("_q"), first.alias("_f"), F.posexplode("elements").alias("_i", "_v"))
     keyed = keyed.withColumn("_v", F.btrim("_v")).where((F.col("_v") != "") & ~(F.col("_q") & (F.col("_i") == 0)))
     key = F.concat("seg_id", F.when(F.col("_q"), F.concat(F.lit("."), "_f", F.lit("."))).otherwise(""), F.lpad((F.col("_i") + 1).cast("string"), 2, "0"))
-    value = keyed.withColumn("_k", key).groupBy("file_id", "tx_no", "loop_no", "_k").agg(F.min_by("_v", "pos").alias("_v"))
+    # product identifiers come in pairs of qualifier and value: IT1.VP is the value that follows VP
+    paired = loops.where((F.col("seg_id") == record) & F.col("seg_id").isin(*PAIRED)).select("file_id", "tx_no", "loop_no", "pos", "seg_id", "elements", F.explode(F.sequence(F.lit(5), F.greatest(F.size("elements") - 2, F.lit(5)), F.lit(2))).alias("_i"))
+    at = lambda n: F.btrim(F.get("elements", F.col("_i") + n))
+    paired = paired.where((at(0) != "") & (at(1) != "")).select("file_id", "tx_no", "loop_no", "pos", F.concat("seg_id", F.lit("."), at(0)).alias("_k"), at(1).alias("_v"))
+    value = keyed.select("file_id", "tx_no", "loop_no", "pos", key.alias("_k"), "_v").unionByName(paired).groupBy("file_id", "tx_no", "loop_no", "_k").agg(F.min_by("_v", "pos").alias("_v"))
     maps = value.groupBy("file_id", "tx_no", "loop_no").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("own"))
     head = maps.where("loop_no = 0").select("file_id", "tx_no", F.col("own").alias("head"))
     joined = maps.where("loop_no > 0").join(head, ["file_id", "tx_no"], "left")

@@ -6,11 +6,12 @@ import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..plans.model import MappingSpec, Rule, TargetSchema
+from ..functions.text import is_blank
+from ..plans.model import ConfigError, MappingSpec, Rule, TargetSchema
+from ..plans.transforms import Value, coerce
 from .enrich import enrich
-from .mapping import none_yet
+from .mapping import violation
 from .reference import Reference
 from .rules import validate
 
@@ -70,18 +71,35 @@ def audit_trail(audit: DataFrame, record_id: str) -> DataFrame:
     return audit.where(F.col("record_id") == record_id).orderBy("at", "audit_id")
 
 
-def fix(records: DataFrame, edits: DataFrame, spec: MappingSpec, schema: TargetSchema, rules: list[Rule], reference: Reference, today: datetime.date) -> DataFrame:
+def fix(
+    records: DataFrame, edits: DataFrame, spec: MappingSpec, schema: TargetSchema, rules: list[Rule], reference: Reference, today: datetime.date, actor: str = "operator"
+) -> DataFrame:
     """Records with edits (record_id, field, value) applied, coerced, enriched and validated again.
 
-    The rules see each record in a file of its own, so duplicates within the file do not fire again.
+    A blank or null value empties the field. A value that its type does not take is an error of the record. An edited field's
+    lineage names the actor. A field that the schema lacks stops the call. The rules see each record in a file of its
+    own, so duplicates within the file do not fire again.
     """
-    from ..plans.transforms import Value, coerce
-
-    wide = edits.groupBy("record_id").pivot("field", [f.name for f in schema.fields]).agg(F.first("value"))
-    renamed = wide.select("record_id", *[F.col(f.name).alias(f"_new_{f.name}") for f in schema.fields])
-    joined = records.join(renamed, "record_id")
-    values = {f.name: F.when(F.col(f"_new_{f.name}").isNotNull(), coerce(Value(F.col(f"_new_{f.name}")), f.type).column).otherwise(F.col(f.name)) for f in schema.fields}
-    fresh = joined.withColumns(values).drop(*[f"_new_{f.name}" for f in schema.fields], "violations", "status").withColumn("issues", none_yet())
+    names = [f.name for f in schema.fields]
+    unknown = [r["field"] for r in edits.where(~F.col("field").isin(names)).select("field").distinct().limit(5).collect()]
+    if unknown:
+        raise ConfigError(f"unknown field {', '.join(map(str, unknown))}")
+    said = F.col("value").cast("string")
+    wide = edits.groupBy("record_id").pivot("field", names).agg(F.max(F.struct(F.when(~is_blank(said), said).alias("value"))))
+    joined = records.join(wide.select("record_id", *[F.col(f"`{n}`").alias(f"_new_{n}") for n in names]), "record_id")
+    edited = {n: F.col(f"_new_{n}").isNotNull() for n in names}
+    made = {f.name: coerce(Value(F.col(f"_new_{f.name}")["value"]), f.type) for f in schema.fields}
+    joined = joined.withColumns({f"_typed_{n}": v.source for n, v in made.items()})
+    of = lambda n, part: F.col(f"_typed_{n}")[part] if made[n].failed else F.col(f"_typed_{n}") if part == "v" else F.lit(None).cast("string")
+    wrong = [F.when(edited[f.name] & of(f.name, "e").isNotNull(), violation("MAPPING", f.name, "ERROR", F.concat(F.lit(f"{f.label}: "), of(f.name, "e")))) for f in schema.fields]
+    traced = F.map_from_entries(F.array_compact(F.array(*[F.when(edited[n], F.struct(F.lit(n).alias("key"), F.array(F.lit(f"edited by {actor}")).alias("value"))) for n in names])))
+    kept = F.map_filter("lineage", lambda k, _: ~F.map_contains_key(F.col("_traced"), k))
+    fresh = joined.withColumn("_traced", traced).withColumns({
+        **{n: F.when(edited[n], of(n, "v")).otherwise(F.col(n)) for n in names},
+        "issues": F.array_compact(F.array(*wrong)),
+        "lineage": F.map_concat(kept, F.col("_traced")),
+    })
+    fresh = fresh.drop("_traced", *[f"{p}{n}" for n in names for p in ("_new_", "_typed_")], "violations", "status")
     alone = fresh.withColumn("_file", F.col("file_id")).withColumn("file_id", F.col("record_id").cast("string"))
     out = validate(enrich(alone, spec.enrich, schema, reference), rules, schema, reference, today)
     return out.withColumn("file_id", F.col("_file")).drop("_file")
@@ -92,19 +110,14 @@ def audit_of(edits: DataFrame, action: str, actor: str, at: datetime.datetime) -
 
 
 def dismiss(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records of ``ids`` that are held become DISMISSED."""
+    """The records of ``ids`` become DISMISSED, whatever their status."""
     marked = records.join(ids.select("record_id").distinct().withColumn("_hit", F.lit(True)), "record_id", "left")
-    gone = F.col("_hit") & F.col("status").isin("ERROR", "DEAD_LETTER")
-    return marked.withColumn("status", F.when(gone, "DISMISSED").otherwise(F.col("status"))).drop("_hit")
+    return marked.withColumn("status", F.when(F.col("_hit"), "DISMISSED").otherwise(F.col("status"))).drop("_hit")
 
 
 def replay(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """Dead letters of ``ids`` become deliverable again, as WARNING if they have one, else VALID."""
+    """Dead letters of ``ids`` become deliverable again: WARNING if any violation is left, else VALID. Other records stay as they are."""
     marked = records.join(ids.select("record_id").distinct().withColumn("_hit", F.lit(True)), "record_id", "left")
     again = F.col("_hit") & (F.col("status") == "DEAD_LETTER")
-    fresh = F.when(F.exists("violations", lambda v: v["severity"] == "WARNING"), "WARNING").otherwise("VALID")
+    fresh = F.when(F.coalesce(F.size("violations"), F.lit(0)) > 0, "WARNING").otherwise("VALID")
     return marked.withColumn("status", F.when(again, fresh).otherwise(F.col("status"))).drop("_hit")
-
-
-def row_numbers(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -22,9 +23,9 @@ def claim(outbox: DataFrame, now: Column, limit: int = BATCH) -> DataFrame:
     return due.orderBy("next_attempt_at", "record_id").limit(limit)
 
 
-def idempotency_key(ids: Column) -> Column:
-    """Of the ids in a delivery: the digest of ``id:key`` pairs in order."""
-    return F.sha2(F.array_join(F.array_sort(ids), ","), 256)
+def idempotency_key(pairs: Column) -> Column:
+    """Of a delivery's ``id:business key`` pairs, in the order in which its records were claimed."""
+    return F.sha2(F.array_join(pairs, ","), 256)
 
 
 def backoff_seconds(attempts: Column) -> Column:
@@ -114,19 +115,37 @@ class CircuitBreaker:
             self.calls.clear()
 
 
-def deliver(batch: DataFrame, send: Callable[[str, list[str]], None], breaker: CircuitBreaker) -> tuple[list[str], list[str], list[str]]:
-    """(delivered, failed, postponed) record ids of one claimed batch, at most BATCH rows, one call for each schema."""
+def deliver(batch: DataFrame, send: Callable[[str, list[str], str], None], breaker: CircuitBreaker) -> tuple[list, list, list]:
+    """(delivered, failed, postponed) record ids of one claimed batch, at most BATCH rows.
+
+    One call ``send(schema, payloads, key)`` for each schema, in the order of the claim; a repeated delivery has the same key.
+    """
     done, failed, held = [], [], []
     rows: dict[str, list] = {}
-    for r in batch.select("schema", "record_id", "payload").collect():  # a claimed batch
+    for r in batch.select("schema", "record_id", "business_key", "payload").collect():  # a claimed batch
         rows.setdefault(r["schema"], []).append(r)
     for schema, rs in rows.items():
         ids = [r["record_id"] for r in rs]
+        pairs = ",".join(f"{r['record_id']}:{'null' if r['business_key'] is None else r['business_key']}" for r in rs)
+        key = hashlib.sha256(pairs.encode()).hexdigest()
         try:
-            breaker.call(lambda: send(schema, [r["payload"] for r in rs]))
+            breaker.call(lambda: send(schema, [r["payload"] for r in rs], key))
             done += ids
         except CircuitOpen:
             held += ids
         except Exception:  # whatever the receiver raises is a failed attempt
             failed += ids
     return done, failed, held
+
+
+def deliver_due(
+    outbox: DataFrame, keys: DataFrame, po_lines: DataFrame, now: Column, send: Callable[[str, list[str], str], None], breaker: CircuitBreaker, limit: int = BATCH
+) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(outbox, delivered keys, order lines, number delivered) after one batch: claim, send, mark, remember, consume; failures retried or dead."""
+    done, failed, held = deliver(claim(outbox, now, limit), send, breaker)
+    kind = outbox.schema["record_id"].dataType.simpleString()
+    ids = lambda some: outbox.sparkSession.createDataFrame([(i,) for i in some], f"record_id {kind}")  # noqa: E731  a batch at most
+    sent = outbox.join(ids(done), "record_id", "left_semi")
+    keys = remember_delivered(keys, sent)
+    po_lines = consume_open_quantity(po_lines, sent.where("schema = 'invoice-line'"))
+    return postpone(after_failure(after_success(outbox, ids(done)), ids(failed), now), ids(held), now), keys, po_lines, len(done)

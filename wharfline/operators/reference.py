@@ -21,7 +21,7 @@ def reference_key(c: Column) -> Column:
 
 
 def keyed(rows: DataFrame, template: str, order: str | None = None) -> DataFrame:
-    """(ref_key, row): one row for each key, the last by ``order``; rows with a blank key part are left out."""
+    """(ref_key, row): one row for each key, the last by ``order`` or, without one, as read; rows with a blank key part are left out."""
     kinds = dict(rows.dtypes)
     text = lambda n: plain(F.col(n)) if kinds[n].startswith("decimal") else strip(F.col(n).cast("string"))
     parts, at, ok = [], 0, F.lit(True)
@@ -31,7 +31,7 @@ def keyed(rows: DataFrame, template: str, order: str | None = None) -> DataFrame
         at = m.end()
     key = reference_key(F.concat(*parts, F.lit(template[at:])))
     whole = F.struct(*[c for c in rows.columns if c != order])
-    out = rows.where(ok).select(key.alias("ref_key"), whole.alias("row"), (F.col(order) if order else F.lit(0)).alias("_order"))
+    out = rows.where(ok).select(key.alias("ref_key"), whole.alias("row"), (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"))
     return out.groupBy("ref_key").agg(F.max_by("row", "_order").alias("row"))
 
 

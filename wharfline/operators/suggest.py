@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import codes, dates
 from ..functions.text import clean, let, looks_like_date, looks_numeric, mask_pii
@@ -83,7 +84,9 @@ def profile(records: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     main = typed.groupBy("file_id", "column").agg(F.count("value").alias("filled"), F.count_distinct("value").alias("distinct"), *[share[k].alias(f"_{k}") for k in KINDS])
     total = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("total"))
     firsts = cells.where("value is not null").groupBy("file_id", "column", "value").agg(F.min("seq").alias("_at"))
-    samples = firsts.groupBy("file_id", "column").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), 1, 5).alias("samples"))
+    turn = F.row_number().over(Window.partitionBy("file_id", "column").orderBy("_at", "value"))  # its limit is pushed below the shuffle
+    firsts = firsts.withColumn("_turn", turn).where("_turn <= 5")
+    samples = firsts.groupBy("file_id", "column").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("samples"))
     patterns = dates.infer_patterns(cells, "value", ["file_id", "column"])
     out = main.join(total, "file_id").join(samples, ["file_id", "column"], "left").join(patterns, ["file_id", "column"], "left")
     shares = F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*[F.coalesce(F.try_divide(F.col(f"_{k}"), F.col("filled")), F.lit(0.0)) for k in KINDS]))
@@ -295,9 +298,14 @@ def draft_spec(report: Report, partner_id: str, schema: TargetSchema, constants:
     return {"partnerId": partner_id, "version": 1, "schema": schema.name, "format": "UNKNOWN", "fields": fields, "enrich": enrich}
 
 
+def _masked(text: str) -> str:
+    """The driver's twin of :func:`mask_pii`, for the few samples of a profile."""
+    return re.sub(r"\d", "9", re.sub(r"\b\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b", "[GSTIN]", text, flags=re.ASCII), flags=re.ASCII)
+
+
 def advise(report: Report, profiles: list[Profile], advisor) -> Report:
     """Ask ``advisor(fields, {column: masked samples})`` about unresolved fields; its confidence counts 0.75 at most."""
-    masked = {p.column: [re.sub(r"\d", "9", s) for s in p.samples] for p in profiles if p.column in report.unused}
+    masked = {p.column: [_masked(s) for s in p.samples] for p in profiles if p.column in report.unused}
     open_ = [s.target for s in report.suggestions if not s.sources]
     for target, (column, confidence, why) in (advisor(open_, masked) if open_ and masked else {}).items():
         s = next((x for x in report.suggestions if x.target == target and not x.sources), None)
