@@ -18,6 +18,8 @@ from ..plans.transforms import Context, Value, apply_transform, coerce, compile_
 
 SPARK_TYPES = {"STRING": "string", "INTEGER": "bigint", "DECIMAL": amounts.DECIMAL, "DATE": "date", "BOOLEAN": "boolean"}
 KINDS = {"STRING": "text", "INTEGER": "long", "DECIMAL": "decimal", "DATE": "date", "BOOLEAN": "bool"}
+#: Columns that every record has beside its schema's.
+RESERVED = {"file_id", "seq", "line", "fields", "columns", "lineage", "issues", "violations", "status"}
 PLACEHOLDER = re.compile(r"\{([A-Za-z0-9_]+)\}")
 
 
@@ -39,6 +41,9 @@ def normal(name: str) -> str:
 
 def check_spec(spec: MappingSpec, schema: TargetSchema) -> None:
     """Unknown targets and transforms fail here, named."""
+    clash = sorted({f.name for f in schema.fields} & RESERVED)
+    if clash:
+        raise ConfigError(f"schema {schema.name} has fields with names of record columns: {', '.join(clash)}")
     unknown = [m.target for m in spec.fields if schema.field(m.target) is None]
     if unknown:
         raise ConfigError(f"spec for {spec.partner_id} maps fields that are not in schema {schema.name}: {', '.join(unknown)}")
