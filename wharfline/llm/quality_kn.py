@@ -131,7 +131,7 @@ class Grams:
         one, n = np.unique(code, return_counts=True)
         self.codes.append(one), self.times.append(n)
         self.held += len(one)
-        if self.held > 4_000_000 and self.held > 2 * len(self.codes[0]):
+        if self.held > 2_000_000 and self.held > 2 * len(self.codes[0]):
             self.sum()
 
     def sum(self) -> tuple[np.ndarray, np.ndarray]:
@@ -383,13 +383,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = materialise(scores(rows, learnt), "scores")
     of = scored.join(trusted, F.col("id") == F.col("_trusted"), "left").withColumn("good", F.col("_trusted").isNotNull()).drop("_trusted")
     mean = of.where("good and n > 0").withColumn("step", F.rint(F.col("cost") * F.lit(STEP / UNIT) / F.col("n")).cast("long"))
-    middle = quantiles(mean, "step", {"median": 0.5}).drop("rows")
+    # tables of a few rows, written so that plans stay small
+    middle = materialise(quantiles(mean, "step", {"median": 0.5}).drop("rows"), "medians")
     near = lambda df, q: df.join(F.broadcast(q.where("lang is not null").withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left").drop("_lang")  # noqa: E731  one row for each language
     whole = lambda q: F.broadcast(q.where("lang is null").drop("lang").select([F.col(c).alias(f"all_{c}") for c in q.columns if c != "lang"]))  # noqa: E731  one row
     drawn = near(of, middle).join(whole(middle), how="left").withColumn("median", F.coalesce("median", "all_median", F.lit(0.0)))
     drawn = drawn.withColumn("score", F.rint((F.col("cost") * F.lit(STEP / UNIT) + PRIOR * F.col("median")) / (F.col("n") + PRIOR)).cast("long")).drop("all_median")
-    limits = bounds(drawn.where("good and n > 0"), "score", HIGH, "limit")
-    most = bounds(drawn.where("good and n > 0"), "repeated", MOST, "most")
+    drawn = materialise(drawn, "drawn")
+    limits = materialise(bounds(drawn.where("good and n > 0"), "score", HIGH, "limit"), "limits")
+    most = materialise(bounds(drawn.where("good and n > 0"), "repeated", MOST, "most"), "limits")
     judged = near(drawn, limits).join(whole(limits), how="left").withColumn("limit", F.coalesce("limit", "all_limit"))
     judged = near(judged, most).join(whole(most), how="left").withColumn("most", F.coalesce("most", "all_most"))
     return judged.select(

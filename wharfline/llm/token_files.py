@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import in_batches, load
-from .common import partitions, shared_folder, ship
+from .common import partitions, run_folder, ship
 
 MAGIC = b"WRP1"
 #: A pair with fewer occurrences costs a rule more than it saves.
@@ -216,6 +216,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files into the shared folder and read them back."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/wharfline/tokens-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write(docs, path, end_id, tokenizer, id_col, text_col)
     return read(spark, path).withColumnRenamed("doc_id", id_col)
