@@ -523,6 +523,80 @@ def test_full_licenses(spark):
     assert [got[i] for i in range(len(texts))] == [n for n, _ in texts]
 
 
+def _components(texts, k, num):
+    sets, root = {i: _shingles(t, k) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    names = sorted(texts)
+    for n, i in enumerate(names):
+        for j in names[:n]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in names}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, tokenizer):
+    """Every stage on the rows that the one before kept, against plain Python (the classifier against its own tested scores)."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(["ta", "re", "on", "in", "the", "er"], int(rng.integers(1, 4))))
+    base = [" ".join(word() for _ in range(int(rng.integers(30, 90)))) for _ in range(60)]
+    near = [" ".join([*t.split()[:-1], "tareontheer"]) for t in base[:15]]
+    texts = [*base, *near, *[t[:-1] + t[-1].upper() for t in base[15:25]], *["%%% $$$ " * 30, "QX!! " * 50], None, "", "tail word", "tail word"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(None, base[30], "en", "s", 1), (None, "only this", None, "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), "stage")
+        kept.append(Counter((r["doc_id"], r["text"]) for r in docs.collect()))
+    whole = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    bad = {r["doc_id"] for r in quality_kn.score(whole, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect() if not r["kept"]} - {None}
+    assert kept[0] == Counter((r[0], r[1]) for r in rows if r[0] not in bad) and {85, 86} <= bad and not bad & set(range(75))
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    groups = defaultdict(list)
+    for i, t in kept[0].elements():
+        groups[low(t)].append((i, t))
+    want = Counter(min(v, key=lambda x: (x[0] is None, x[0] or 0)) for v in groups.values())
+    assert {(i, low(t)) for i, t in kept[1]} == {(i, low(t)) for i, t in want} and sum(kept[1].values()) == len(want)
+    of = _components({i: t for i, t in kept[1] if i is not None}, 5, 80)
+    assert kept[2] == Counter({(i, t): n for (i, t), n in kept[1].items() if i is None or of[i] == i}) and len(kept[2]) < len(kept[1])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    per = defaultdict(int)
+    for r in packed:
+        per[r["doc_id"]] += r["length"]
+    want = defaultdict(int)
+    for (i, t), n in kept[2].items():
+        want[i] += n * (len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1)
+    assert per == want
+
+
+def test_pieces_are_gapless_and_dense(spark, tokenizer):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 500, int(n))) for n in [*rng.integers(1, 900, 300), 3000]]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    per, last = defaultdict(list), 0
+    for r in rows:
+        per[r["doc_id"]].append(r)
+        last = max(last, r["sequence_id"])
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(per[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]])
+            at += r["length"]
+        assert at == len(ids)
+    assert sum(r["length"] for r in rows) >= 0.97 * 2048 * last
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

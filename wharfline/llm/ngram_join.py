@@ -85,8 +85,8 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
             out.append(s[np.append(True, s[1:] != s[:-1])])
         elif j > i:
             few = np.array([j - i], np.uint64)
-            for w, o in zip(word[i:j], odd, strict=False):
-                few = few * np.uint64(31) + w * o
+            for at_, o in zip(range(i, j), odd, strict=False):
+                few = few * np.uint64(31) + word[at_ : at_ + 1] * o
             out.append(mix(few))
         else:
             out.append(np.zeros(0, np.uint64))
