@@ -513,6 +513,17 @@ def test_wrapped_licenses(spark):
     assert all(r["c"] for r in lines)
 
 
+def test_rewrapped_licenses(spark):
+    import textwrap
+
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and t.startswith("Permission"))
+    bodies = {"MIT": mit, "ISC": next(t for i, t in licenses.KNOWN if i == "ISC"), "BSD-3-Clause": (licenses.TEXTS / "BSD-3-Clause.txt").read_text(encoding="utf-8"), "Apache-2.0": (licenses.TEXTS / "Apache-2.0.txt").read_text(encoding="utf-8")}
+    rows = [(name, width, "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in re.split(r"\n\s*\n|\n(?=The above)|\n(?=THE SOFT)", body))) for name, body in bodies.items() for width in (range(40, 121) if name != "Apache-2.0" else range(60, 101, 10))]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string").repartition(8)
+    missed = [rows[r["doc_id"]][:2] for r in licenses.scan(df).collect() if r["license_id"] != rows[r["doc_id"]][0]]
+    assert not missed
+
+
 def test_full_licenses(spark):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT" and t.startswith("Permission"))
     read = lambda name: (licenses.TEXTS / f"{name}.txt").read_text(encoding="utf-8")

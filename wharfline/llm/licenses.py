@@ -40,6 +40,8 @@ EQUIVALENT = [
     ("favour", "favor"),
     ("acknowledgement", "acknowledgment"),
 ]
+#: Spellings of several words, made equal once more in the joined text, where a line may have ended between the words.
+WRAPPED = [("copyright (?:holders?|owners)", "copyright owner"), ("per cent", "percent"), ("non infringement", "noninfringement"), ("sub license", "sublicense")]
 #: The SQL twin's wider pattern; it also drops wrapped prose that begins a line.
 COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Words after "copyright" that are prose and not a holder's name.
@@ -129,7 +131,14 @@ def canonical_lines(text: Column) -> Column:
 
 def whole(lines: Column) -> Column:
     """The canonical form of a text from those of its lines."""
-    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
+    joined = F.array_join(F.filter(lines, lambda line: line != ""), " ")
+    return F.transform(F.array(joined), lambda text: F.when(text.rlike("|".join(p for p, _ in WRAPPED)), _unwrapped(text)).otherwise(text))[0]
+
+
+def _unwrapped(text: Column) -> Column:
+    for pattern, by in WRAPPED:
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def catalogue(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:

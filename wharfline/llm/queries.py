@@ -76,7 +76,13 @@ def _canonical(line: str) -> str:
 
 def license_sql() -> str:
     lines = lambda t: f"list_transform(string_split(coalesce({t}, ''), chr(10)), lambda x: {_canonical('x')})"
-    whole = lambda c: f"sha256(array_to_string(list_filter({c}, lambda y: y <> ''), ' '))"
+
+    def whole(c: str) -> str:
+        out = f"array_to_string(list_filter({c}, lambda y: y <> ''), ' ')"
+        for pattern, by in licenses.WRAPPED:
+            out = f"regexp_replace({out}, {_quote(pattern)}, {_quote(by)}, 'g')"
+        return f"sha256({out})"
+
     known = ", ".join(f"({_quote(i)}, {_quote(t)})" for i, t in licenses.KNOWN)
     return f"""
 WITH k AS (SELECT {whole("c")} AS digest, min(id) AS license_id FROM (SELECT id, {lines("t")} AS c FROM (VALUES {known}) v(id, t)) GROUP BY 1),
