@@ -12,7 +12,7 @@ from wharfline import __main__ as cli
 from wharfline.functions import amounts, dates, text
 from wharfline.operators import jobs, outbox, suggest
 from wharfline.operators.reference import Reference, keyed
-from wharfline.plans import model
+from wharfline.plans import layout, model
 from wharfline.sources import parsers
 
 SCHEMA = {
@@ -154,3 +154,11 @@ def test_fast_paths_change_no_value(spark):
 
 def test_advisor_sees_no_tax_number():
     assert suggest._masked("27AAPFU0939F1ZV due 12") == "[GSTIN] due 99"
+
+
+def test_small_inputs_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spread = layout.spread(spark.read.parquet(str(tmp_path / "one")))
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread.count() == 100
+    many = spark.range(0, 100, 1, 64)
+    assert layout.spread(many) is many
