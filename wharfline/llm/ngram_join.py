@@ -11,7 +11,7 @@ that can be linked at all. A pair with Jaccard similarity of at least t differs
 shingles (n the smaller size), so if the hash space is cut into more than d groups, one group at least holds the
 same shingles in both. A document enters a page for each of its groups, keyed by the group's content. Groups
 are counted per level of size; empty groups, which say nothing, are made up for by spare groups: as many as are expected to be empty
-at the level's smallest size, and six standard deviations. A document with more empty groups than that, which no random
+at the level's smallest size, and five standard deviations. A document with more empty groups than that, which hardly a random
 one has, enters the pages of its empty groups too. No link is lost.
 
 Within a page the smallest document is a star's centre and is verified against all others; the components of the
@@ -160,15 +160,15 @@ def levels(upto: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
     """(first size, first size beyond, groups, spares) of the levels up to a size."""
     out, low = [], 1
     while low <= upto:
-        high = max(low + 1, low * 3 // 2)
+        high = max(low + 1, low * 5 // 4)
         differ = (high - 1) * (den - num) // num
-        groups = differ + 3
-        while True:  # more spares make groups emptier; from sixteen groups for each shingle on, hardly any two share one
-            empty = groups * math.exp(-low / groups)
-            more = min(16 * high + differ, differ + 1 + math.ceil(empty + 6 * math.sqrt(empty) + 2))
-            if more <= groups:
+        groups = differ + 1
+        while groups < 16 * high:  # until the full groups of the smallest size are enough, five deviations below their mean
+            void = math.exp(-low / groups)
+            deviation = math.sqrt(max(0.0, groups * (void - (1 + low / groups) * void * void)))
+            if groups * (1 - void) - 5 * deviation >= differ + 1:
                 break
-            groups = more
+            groups += max(1, groups // 100)
         out.append((low, high, groups, groups - differ - 1))
         low = high
     return out
