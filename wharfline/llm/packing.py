@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, length: int, end_id: int, path: str | None, id_col:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, end = load(path), np.array([end_id], "<u4")
-        for f in in_batches(frames):
+        for f in in_batches(frames, 4_000_000):
             flat, at = bpe.encode_batch(f["text"].tolist())
             rows = []
             for doc, i, j in zip(f["doc_id"].tolist(), at.tolist(), at[1:].tolist(), strict=False):

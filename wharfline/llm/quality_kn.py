@@ -60,7 +60,7 @@ HALF = "pmod(xxhash64(coalesce(text, '')), 2)"
 
 
 #: Bytes of text of a block and of a page, about.
-BLOCK, PAGE = 64_000_000, 8_000_000
+BLOCK, PAGE = 64_000_000, 4_000_000
 #: Bits of the bitmap of trusted ids, 8 MB, which is broadcast.
 BITS = 1 << 26
 #: A number holds the bytes of an n-gram, its order above them and the half of its model above that.
@@ -131,7 +131,7 @@ class Grams:
         one, n = np.unique(code, return_counts=True)
         self.codes.append(one), self.times.append(n)
         self.held += len(one)
-        if self.held > 2_000_000 and self.held > 2 * len(self.codes[0]):
+        if self.held > 1_000_000 and self.held > 2 * len(self.codes[0]):
             self.sum()
 
     def sum(self) -> tuple[np.ndarray, np.ndarray]:
