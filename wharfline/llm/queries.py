@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.layout import spread
-from . import ann_forest, bpe, chat, exact_dedup, licenses, ngram_join, packing, quality_kn, sharding, token_files
+from . import ann_forest, bpe, chat, exact_dedup, filter_audit, licenses, ngram_join, packing, quality_kn, sharding, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"), tree := sharding.uniform_tree(24), sharding.grown(tree))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_license_scan, op2_quality_classifier, op3_exact_dedup, op4_ngram_join, op5_bpe, op6_ann_forest, op7_token_files, op8_chat_rotation, op9_packing, op10_sharding]
+    named = [op1_license_scan, op2_quality_classifier, op3_exact_dedup, op4_ngram_join, op5_bpe, op6_ann_forest, op7_token_files, op8_chat_rotation, op9_packing, op10_sharding, op11_filter_audit]
     return {f.__name__: f for f in named}
 
 
@@ -110,5 +114,24 @@ SELECT n.conv_id, rank // {chat.PART} AS part, (n_all + {chat.PART - 1}) // {cha
 FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY n.conv_id, part, n_parts, speaker"""
 
 
+#: Documents of a part are counted by what fails; an order's step keeps those that none of its filters so far fails.
+AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS id FROM d GROUP BY t),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+judged AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS dd, coalesce(first.id < d.doc_id, false) AS e
+  FROM d JOIN first USING (t) LEFT JOIN marks ON marks.doc_id = d.doc_id),
+kinds AS (SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * dd::INT + 16 * e::INT AS fails, count(*) AS n FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits FROM letters v, letters w, letters x, letters y, letters z WHERE v.bit + w.bit + x.bit + y.bit + z.bit = 31 AND len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, bits[step] AS bit, list_sum([0] || bits[1:step - 1])::INT AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counted AS (SELECT part, filter_order, step, filter, sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails & before = 0 AND fails & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails & before <> 0 AND fails & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN good AND fails & before = 0 AND fails & bit <> 0 THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN toxic AND fails & before = 0 AND fails & bit <> 0 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM kinds, steps GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op3_exact_dedup": DEDUP_SQL, "op8_chat_rotation": CHAT_SQL}
+    return {"op11_filter_audit": AUDIT_SQL, "op1_license_scan": license_sql(), "op3_exact_dedup": DEDUP_SQL, "op8_chat_rotation": CHAT_SQL}
