@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.layout import spread
-from . import ann_forest, bpe, chat, exact_dedup, filter_audit, licenses, ngram_join, packing, quality_kn, sharding, token_files
+from . import ann_forest, bpe, chat, exact_dedup, filter_audit, hard_negatives, licenses, ngram_join, packing, quality_kn, sharding, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +59,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", moved.alias("label"), "embedding"), every=50, positives=5, negatives=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_license_scan, op2_quality_classifier, op3_exact_dedup, op4_ngram_join, op5_bpe, op6_ann_forest, op7_token_files, op8_chat_rotation, op9_packing, op10_sharding, op11_filter_audit]
+    named = [op1_license_scan, op2_quality_classifier, op3_exact_dedup, op4_ngram_join, op5_bpe, op6_ann_forest, op7_token_files, op8_chat_rotation, op9_packing, op10_sharding, op11_filter_audit, op13_hard_negatives]
     return {f.__name__: f for f in named}
 
 
@@ -133,5 +140,15 @@ counted AS (SELECT part, filter_order, step, filter, sum(CASE WHEN fails & (befo
 SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted"""
 
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id AS id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS own, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": AUDIT_SQL, "op1_license_scan": license_sql(), "op3_exact_dedup": DEDUP_SQL, "op8_chat_rotation": CHAT_SQL}
+    return {"op11_filter_audit": AUDIT_SQL, "op13_hard_negatives": NEGATIVES_SQL, "op1_license_scan": license_sql(), "op3_exact_dedup": DEDUP_SQL, "op8_chat_rotation": CHAT_SQL}
