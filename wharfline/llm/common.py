@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 
 from ..ship import ship
 
-__all__ = ["all_of", "ascii_lower", "clear", "materialise", "partitions", "ranked", "run_folder", "shared_folder", "ship"]
+__all__ = ["all_of", "among", "ascii_lower", "clear", "materialise", "partitions", "ranked", "run_folder", "shared_folder", "ship"]
 
+#: Bits of the bitmap of ids, 8 MB, which is broadcast.
+BITS = 1 << 26
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -80,3 +82,15 @@ def all_of(conditions: list[Column]) -> Column:
     for c in conditions[1:]:
         out = out & c
     return out
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, ...) whose id is in ``ids`` (one column of distinct ids); most others are left out by a bitmap before anything is moved."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    name = ids.columns[0]
+    bitmap = ids.groupBy(F.bitmap_bucket_number(at(name)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(name))).alias("_bits"))
+    bit = F.bitmap_bit_position(at("id"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at("id")) == F.col("_bucket"))  # BITS / 8 bytes at most
+    near = near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns)
+    return near.join(ids, F.col("id") == F.col(name)).drop(name)  # not a semi-join, which would be pushed below the bitmap

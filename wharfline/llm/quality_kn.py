@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import WINDOW
-from .common import materialise, partitions, ship
+from .common import among, materialise, partitions, ship
 
 ORDER, UNIT = 5, 4096
 PRIOR, HIGH = 200, 0.99
@@ -61,8 +61,6 @@ HALF = "pmod(xxhash64(coalesce(text, '')), 2)"
 
 #: Bytes of text of a block and of a page, about.
 BLOCK, PAGE = 64_000_000, 4_000_000
-#: Bits of the bitmap of trusted ids, 8 MB, which is broadcast.
-BITS = 1 << 26
 #: A number holds the bytes of an n-gram, its order above them and the half of its model above that.
 ORDER_AT, HALF_AT = 8 * ORDER, 8 * ORDER + 4
 NO_GRAM = -1
@@ -232,18 +230,6 @@ def count(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, ...) whose id is in ``ids`` (one column of distinct ids); most others are left out by a bitmap before anything is moved."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
-    name = ids.columns[0]
-    bitmap = ids.groupBy(F.bitmap_bucket_number(at(name)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(name))).alias("_bits"))
-    bit = F.bitmap_bit_position(at("id"))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at("id")) == F.col("_bucket"))  # BITS / 8 bytes at most
-    near = near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns)
-    return near.join(ids, F.col("id") == F.col(name)).drop(name)  # not a semi-join, which would be pushed below the bitmap
-
-
 def model(counts: DataFrame) -> DataFrame:
     """(gram, packed share and back): the discounted share of each n-gram of each order, and the weight that it leaves, as a context, to the order below."""
     out = None

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.layout import spread
-from . import ann_forest, bpe, chat, exact_dedup, filter_audit, hard_negatives, licenses, ngram_join, packing, quality_kn, sharding, token_files
+from . import ann_forest, bpe, chat, exact_dedup, filter_audit, hard_negatives, licenses, ngram_join, packing, quality_kn, quality_rules, sharding, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spread(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "labels"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -66,7 +70,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_license_scan, op2_quality_classifier, op3_exact_dedup, op4_ngram_join, op5_bpe, op6_ann_forest, op7_token_files, op8_chat_rotation, op9_packing, op10_sharding, op11_filter_audit, op13_hard_negatives]
+    named = [op1_license_scan, op2_quality_classifier, op3_exact_dedup, op4_ngram_join, op5_bpe, op6_ann_forest, op7_token_files, op8_chat_rotation, op9_packing, op10_sharding, op11_filter_audit, op12_quality_rules, op13_hard_negatives]
     return {f.__name__: f for f in named}
 
 
