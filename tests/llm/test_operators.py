@@ -619,3 +619,72 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {r["doc_id"] for r in packed}
     assert set(range(12)) <= kept and 13 not in kept and 14 in kept and 15 not in kept
+
+
+def test_words_of_two_letters_do_not_collide(spark):
+    """Thue-Morse words of 1,024 letters and their complements have equal hashes under any polynomial modulo 2^64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for size in (1024, 64, 48, 16):
+        a, b = word[:size], other[:size]
+        for seed in (ngram_join.PAGING, ngram_join.VERIFYING):
+            assert len(set(ngram_join.words([a, b], seed)[0].tolist())) == 2
+    texts = [word, other, f"x y {word} z v", f"x y {other} z v", f"x y {word} z v", " ".join([word, other] * 9), " ".join([other, word] * 9 + [other])]
+    rows = ngram_join.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: 5}
+
+
+def test_hashes_follow_case_and_space_only():
+    texts = ["One  two\tTHREE", "one two three", "onetwo three", "", None, "x" * 65 + " " + "y" * 64 + " é日"]
+    for seed in (1, 2):
+        flat, at = ngram_join.words(texts, seed)
+        assert at.tolist() == [0, 3, 6, 8, 8, 8, 11] and flat[:3].tolist() == flat[3:6].tolist() and len(set(flat.tolist())) == 7
+    assert ngram_join.words(texts, 1)[0].tolist() != ngram_join.words(texts, 2)[0].tolist()
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_shared_headers_do_not_fill_pages(spark, num):
+    """With a header of 60 words that all documents share, pairs within pages grow no faster than the documents."""
+    found = []
+    for n in (500, 2000):
+        rng = np.random.default_rng(n)
+        common = rng.integers(0, 1 << 63, 57).astype(np.uint64) * np.uint64(2)
+        sets = [np.unique(np.append(common, rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))) for _ in range(n)]
+        which, need, keys, at = ngram_join.group_keys(sets, num, 100)
+        raw = keys.tobytes()
+        entries = spark.createDataFrame([(raw[8 * i : 8 * j],) for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)], "keys binary")
+        kept = ngram_join.chosen(need, keys, at, ngram_join.popularity(keys, ngram_join.popular(entries)))
+        pages = Counter(keys[kept].tolist())
+        assert (np.bincount(np.repeat(np.arange(len(need)), np.diff(at))[kept]) == need).all()
+        found.append(sum(m * (m - 1) // 2 for m in pages.values()))
+    assert found[1] <= 4 * found[0] + 100, found
+
+
+def test_popular_contents_lose_no_link(spark, monkeypatch):
+    """Linked documents made mostly of what everybody has; many wants of one document."""
+    monkeypatch.setattr(ngram_join, "POPULAR", (4, 16, 32))
+    monkeypatch.setattr(ngram_join, "WANTS", 8)
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        own = [f"o{i}_{j}" for j in range(int(rng.integers(5, 80)))]
+        texts += [" ".join(common[: int(rng.integers(60, 121))] + own) for _ in range(3)]
+    sets = [_shingles(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}

@@ -8,17 +8,23 @@ survive are verified on the whole shingle sets.
 A single tree over the corpus would compare points of equal size all with all: at the usual thresholds counts
 of unrelated documents of a size lie close together. The leaves of the index are therefore pages of documents
 that can be linked at all. A pair with Jaccard similarity of at least t differs in at most d = n (1 - t) / t
-shingles (n the smaller size), so if the hash space is cut into more than d groups, one group at least holds the
-same shingles in both. A document enters a page for each of its groups, keyed by the group's content. Groups
-are counted per level of size; empty groups, which say nothing, are made up for by spare groups: as many as are expected to be empty
-at the level's smallest size, and five standard deviations. A document with more empty groups than that, which hardly a random
-one has, enters the pages of its empty groups too. No link is lost.
+shingles (n the smaller size), so if the hash space is cut into g > d groups, at least g - d hold the
+same shingles in both. A page is keyed by the content of a group. All documents order their groups alike, by the popularity of
+the content and then its hash, and each enters the pages of its first d + 1: of the groups that two linked documents share, the first in the order is among
+the first d + 1 of either, since at most d others come before it. No link is lost, and content that many documents have, as
+headers and footers, is passed over wherever a document has enough of its own. Groups are counted per level of size, and there are spare ones: as many as are expected to be
+empty at the level's smallest size, five standard deviations and a quarter. Empty groups come last in the order.
+Popularity is in three levels (POPULAR) and known from a bitmap of hashed keys; where two keys share a bit both count as popular, for all documents
+alike.
 
 Within a page the smallest document is a star's centre and is verified against all others; the components of the
 links found so far decide what is left: documents of a page that are not in the centre's component search the
 R-trees of the page's blocks, and whatever the bound does not exclude is verified too. Pages, blocks and stars
 are streamed in sorted order or dealt out by a salt, so no task holds a page.
 
+Exact copies are told by a 128-bit digest of their words' bytes. Pages are made with one 64-bit hash of words and shingles
+and links are verified with a second, independent one, on the whole sets: a wrong link would need both to fail together.
+
 Defined results: null texts and texts without words have no shingles and no links; a text with fewer words than a
 shingle is one shingle as a whole; rows with a null id take no part and have a null component; rows that
 repeat an id are one node; an empty table gives an empty result. Only id and text are read.
@@ -35,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ASCII_SPACE, TO_LOWER, WINDOW, powers
+from .bpe import ASCII_SPACE, TO_LOWER, WINDOW
 from .common import materialise, partitions, ship
 from .graph import components
 
@@ -45,6 +51,17 @@ GROUPS = 512
 PAGE, SALTS = 1024, 32
 
 
+#: Seeds of the two independent hashes of words and shingles.
+PAGING, VERIFYING = 1, 2
+#: Words of more bytes are hashed by BLAKE2; masks that keep the first bytes of eight.
+LONG_WORD, KEPT = 64, np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LOWER_BYTES = TO_LOWER.tobytes()
+#: A page key that more than so many documents have is popular; the more, the higher its level. Bits of the bitmap of a level, 8 MB.
+POPULAR, BITS = (32, 1024, 32768), 1 << 26
+#: Wants of a document that travel with one copy of its text, about.
+WANTS = 512
+
+
 # ---- shingle sets
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,25 +71,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, offsets of each text): A-Z lower-cased, split at ASCII white space."""
+def words(texts: list[str | None], seed: int = PAGING) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, offsets of each text): A-Z lower-cased, split at ASCII white space.
+
+    A word is hashed eight bytes at a time, each step through :func:`mix`, so no family of words has equal hashes whatever they are
+    made of, as words of two letters have under a polynomial; words above LONG_WORD bytes by BLAKE2.
+    """
     raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
-    joined = TO_LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    joined = TO_LOWER[np.frombuffer(b"\n".join([*raw, b"", b""]) + b"\n" * 8, np.uint8)]
     ends = np.cumsum([len(x) + 1 for x in raw])
     space = ASCII_SPACE[joined]
     start = np.flatnonzero(~space & np.append(True, space[:-1]))
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    up, down = powers(len(joined) + 1)
-    total = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    size = end - start
+    eights = np.ndarray((len(joined) - 7,), "<u8", joined.tobytes(), strides=(1,))
+    odd = mix(np.array([seed], np.uint64))[0] | np.uint64(1)
+    hashed = mix((size.astype(np.uint64) + np.uint64(1)) * odd)
+    at, offset = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        eight = eights[start[at] + offset] & KEPT[np.minimum(size[at] - offset, 8)]
+        hashed[at] = mix((hashed[at] ^ eight) * odd)
+        offset += 8
+        at = at[size[at] > offset]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashed[i] = int.from_bytes(hashlib.blake2b(joined[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
     return hashed, np.concatenate([[0], np.searchsorted(start, ends)])
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int, seed: int = PAGING) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
-    word, at = words(texts)
-    odd = [mix(np.array([2 * i + 1], np.uint64))[0] | np.uint64(1) for i in range(k)]
+    word, at = words(texts, seed)
+    odd = [mix(np.array([(seed << 8) + 2 * i + 1], np.uint64))[0] | np.uint64(1) for i in range(k)]
     n = max(0, len(word) - k + 1)
     rolled = np.zeros(n, np.uint64)
     for i in range(k):
@@ -86,13 +115,18 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
         elif j > i:
             few = np.array([j - i], np.uint64)
             for at_, o in zip(range(i, j), odd, strict=False):
-                few = few * np.uint64(31) + word[at_ : at_ + 1] * o
-            out.append(mix(few))
+                few = mix(few + word[at_ : at_ + 1] * o)
+            out.append(few)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
+def word_digest(text: str | None) -> bytes:
+    """A digest of the bytes of a text's words; texts that share it have the same shingles for any number of words."""
+    return hashlib.blake2b(b" ".join((text or "").encode("utf-8", "replace").translate(LOWER_BYTES).split()), digest_size=16).digest()
+
+
 def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Slices of Arrow batches of about WINDOW characters."""
     for f in frames:
@@ -163,10 +197,10 @@ def levels(upto: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
         high = max(low + 1, low * 5 // 4)
         differ = (high - 1) * (den - num) // num
         groups = differ + 1
-        while groups < 16 * high:  # until the full groups of the smallest size are enough, five deviations below their mean
+        while groups < 16 * high:  # until the full groups of the smallest size are enough and a quarter more, five deviations below their mean
             void = math.exp(-low / groups)
             deviation = math.sqrt(max(0.0, groups * (void - (1 + low / groups) * void * void)))
-            if groups * (1 - void) - 5 * deviation >= differ + 1:
+            if groups * (1 - void) - 5 * deviation >= 1.25 * differ + 1:
                 break
             groups += max(1, groups // 100)
         out.append((low, high, groups, groups - differ - 1))
@@ -174,8 +208,13 @@ def levels(upto: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def page_keys(sets: list[np.ndarray], ids: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ids) of the pages that each document enters."""
+def group_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, need, keys of all entries, their offsets): an entry for each level that a document takes part in.
+
+    ``need`` keys, the first in an order that is the same for all documents, have to be entered, and any two linked documents then share one: they
+    differ in fewer than ``need`` groups, so one of those that they share is among the first of either. Empty groups
+    come last in the order and are listed only where the full ones are not enough.
+    """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     table = levels(int(size.max()) if len(size) else 0, num, den)
     lows = np.array([x[0] for x in table], np.int64)
@@ -190,24 +229,64 @@ def page_keys(sets: list[np.ndarray], ids: np.ndarray, num: int, den: int) -> tu
         which, level = np.concatenate([which, more]), np.concatenate([level, lower])
         lower = lower - 1
     if not len(which):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, names = [], []
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
     groups = np.array([x[2] for x in table], np.uint64)[level]
-    spares = np.array([x[3] for x in table])[level]
+    need = groups.astype(np.int64) - np.array([x[3] for x in table])[level]
     flat = np.concatenate([sets[i] for i in which.tolist()])
     row = np.repeat(np.arange(len(which)), size[which])
     group = ((flat >> np.uint64(32)) * groups[row]) >> np.uint64(32)
     cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])))
     content = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), cut)
     salt = lambda r, g: mix(level[r].astype(np.uint64) * np.uint64(0x100000001) + (g << np.uint64(20)) + np.uint64(7))
-    keys.append(mix(content + salt(row[cut], group[cut])))
-    names.append(which[row[cut]])
+    keys, rows = [mix(content + salt(row[cut], group[cut]))], [row[cut]]
     full = np.bincount(row[cut], minlength=len(which))
-    for r in np.flatnonzero(groups.astype(np.int64) - full > spares).tolist():
-        empty = np.setdiff1d(np.arange(int(groups[r]), dtype=np.uint64), group[row == r])
+    for r in np.flatnonzero(full < need).tolist():
+        empty = np.setdiff1d(np.arange(int(groups[r]), dtype=np.uint64), group[row == r])[: int(need[r] - full[r])]
         keys.append(mix(salt(np.full(len(empty), r), empty)))
-        names.append(np.full(len(empty), which[r]))
-    return np.concatenate(keys).view(np.int64), ids[np.concatenate(names)]
+        rows.append(np.full(len(empty), r))
+    key, at = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(at, kind="stable")  # the empty groups of an entry stay last
+    return which, need, key[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(which)))])
+
+
+def chosen(need: np.ndarray, keys: np.ndarray, at: np.ndarray, popularity: np.ndarray) -> np.ndarray:
+    """Places of the keys to enter: of each entry the ``need`` keys that are least popular, and smallest among those."""
+    row = np.repeat(np.arange(len(need)), np.diff(at))
+    order = np.lexsort((keys, popularity, row))
+    return order[np.arange(len(order)) - at[row[order]] < need[row[order]]]
+
+
+def page_keys(sets: list[np.ndarray], ids: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ids) of the pages that each document enters where no key is popular."""
+    which, need, keys, at = group_keys(sets, num, den)
+    kept = chosen(need, keys, at, np.zeros(len(keys), np.int8))
+    return keys[kept].view(np.int64), ids[np.repeat(which, np.diff(at))[kept]]
+
+
+def popular(entries: DataFrame) -> list[np.ndarray]:
+    """A bitmap of hashed keys for each level of popularity, from the entries (keys): 8 MB each, whatever the number of documents."""
+
+    def flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": np.frombuffer(b"".join(f["keys"]), np.int64)})
+
+    counts = entries.select("keys").mapInPandas(flat, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > POPULAR[0])
+    bit = F.pmod("key", F.lit(BITS)) + 1
+    held = counts.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"), F.explode(F.array(*[F.when(F.col("n") > n, i) for i, n in enumerate(POPULAR)])).alias("level")).where("level is not null")
+    out = [np.zeros(BITS // 8, np.uint8) for _ in POPULAR]
+    for r in held.groupBy("level", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        first = (r["bucket"] - 1) * len(part)
+        out[r["level"]][first : first + len(part)] = part
+    return out
+
+
+def popularity(keys: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
+    """How popular each key may be. A key that shares its bit with a popular one counts as popular for every document alike, so no link is lost by it."""
+    bit = keys.view(np.uint64) & np.uint64(BITS - 1)
+    byte, shift = (bit >> np.uint64(3)).astype(np.int64), (bit & np.uint64(7)).astype(np.uint8)
+    return sum(((b[byte] >> shift) & 1 for b in bitmaps), np.zeros(len(keys), np.uint8)).astype(np.int8)
 
 
 def stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,12 +321,16 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
     wants = salted.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("second"))
     wants = wants.union(salted.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("second")))
-    wants = materialise(wants.groupBy("id").agg(F.collect_list(F.struct("a", "salt", "second")).alias("wants")), "wants")
+    wants = materialise(wants, "wants")
+    # a document's wants travel with copies of its text, about WANTS with each, however many there are
+    parts = wants.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / WANTS).alias("_parts"))
+    dealt = wants.join(parts, "id").withColumn("_part", F.pmod(F.xxhash64("a", "salt"), "_parts"))
+    wants = materialise(dealt.groupBy("id", "_part").agg(F.collect_list(F.struct("a", "salt", "second")).alias("wants")).drop("_part"), "wants")
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in windows(frames):
             a, salt, second, name, sets, held = [], [], [], [], [], 0
-            for doc, want, s in zip(f["id"].tolist(), f["wants"], shingle_sets(f["text"].tolist(), k), strict=True):
+            for doc, want, s in zip(f["id"].tolist(), f["wants"], shingle_sets(f["text"].tolist(), k, VERIFYING), strict=True):
                 raw = s.tobytes()
                 for w in want:
                     a.append(w["a"])
@@ -298,17 +381,18 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in windows(frames):
-            sets = shingle_sets(f["text"].tolist(), k)
+            texts = f["text"].tolist()
+            sets = shingle_sets(texts, k)
             yield pd.DataFrame({
                 "id": f["id"].astype("Int64"), "n": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "point": [point(s).tobytes() for s in sets],
+                "digest": [word_digest(t) for t in texts], "point": [point(s).tobytes() for s in sets],
             })
 
     def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in windows(frames):
-            key, name = page_keys(shingle_sets(f["text"].tolist(), k), f["id"].to_numpy(np.int64), num, den)
-            for i in range(0, len(key), 200_000):
-                yield pd.DataFrame({"key": key[i : i + 200_000], "id": name[i : i + 200_000]})
+            which, need, key, at = group_keys(shingle_sets(f["text"].tolist(), k), num, den)
+            raw = key.tobytes()
+            yield pd.DataFrame({"id": f["id"].to_numpy(np.int64)[which], "need": need, "keys": [raw[8 * i : 8 * j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]})
 
     described = materialise(source.mapInPandas(describe, "id long, n long, digest binary, point binary"), "points")
     live = described.where("id is not null and n > 0")
@@ -318,8 +402,20 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     shape = live.groupBy("id").agg(F.max("n").alias("n"), F.max_by("point", "n").alias("point"))
 
     known = source.where("id is not null")
-    entered = known.mapInPandas(enter, "key long, id long")
-    paged = entered.repartition(partitions(spark), "key").sortWithinPartitions("key", "id")
+    entries = materialise(known.mapInPandas(enter, "id long, need long, keys binary"), "entries")
+    bitmaps = spark.sparkContext.broadcast(popular(entries))
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            raw = f["keys"].tolist()
+            keys, at = np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw], dtype=np.int64)])
+            need, name = f["need"].to_numpy(np.int64), f["id"].to_numpy(np.int64)
+            kept = chosen(need, keys, at, popularity(keys, bitmaps.value))
+            key, name = keys[kept].view(np.int64), np.repeat(name, np.diff(at))[kept]
+            for i in range(0, len(key), 200_000):
+                yield pd.DataFrame({"key": key[i : i + 200_000], "id": name[i : i + 200_000]})
+
+    paged = entries.mapInPandas(choose, "key long, id long").repartition(partitions(spark), "key").sortWithinPartitions("key", "id")
     starred = materialise(paged.mapInPandas(stars, "key long, a long, b long"), "stars")
 
     # exact copies stand for one another from here on
