@@ -130,7 +130,7 @@ def _rules(rows, trusted):
     """(count of (id, counts, failed, kept, score)) by the method, with dictionaries."""
     q, words = quality_rules, [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
     grams = [[(w,) for w in ws] + list(zip(ws, ws[1:], strict=False)) for ws in words]
-    buckets = q.buckets_for(2 * sum(map(len, words)))
+    buckets = q.buckets_for(sum(len((t or '').encode()) for _, t, *_ in rows))
     half = [_hash(t or "") % 2 for _, t, *_ in rows]
     raw, target = [Counter(), Counter()], [Counter(), Counter()]
     for (i, *_), gs, h in zip(rows, grams, half, strict=True):
@@ -172,6 +172,7 @@ ODD = [
 
 def test_quality_rules_equal_brute_force(spark):
     rows = [(i, t, ["en", "de", None, ""][i % 4], "x") for i, t in enumerate(_texts(300, 5))] + ODD
+    rows += [(1000 + i, " ".join(f"zz{i}_{j}" for j in range(80)), "de", "x") for i in range(9)]
     labels = [(i, int(i % 3 > 0), 0) for i in range(200)] + [(905, 1, 0), (905, 0, 0), (None, 1, 0), (4000, 1, 0)]
     trusted = {i for i, q, _ in labels if q == 1 and i is not None}
     got = quality_rules.judge(_docs(spark, rows), spark.createDataFrame(labels, LABELS))

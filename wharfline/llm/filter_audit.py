@@ -45,7 +45,7 @@ def text_filters(text: Column) -> dict[str, Column]:
     """The four filters that look at one text alone; true where the text fails."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "")
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]++", ""))
     return {
         "A": F.size(words) < 50,
         "B": 100 * F.size(F.array_distinct(words)) < 65 * F.size(words),

@@ -8,7 +8,7 @@ of its n-grams. It is rejected below the LOW quantile of the scores of trusted d
 Texts fall into two halves by a hash, and each half has multinomials of its own; a text is scored by those of the half it is not in. So
 neither a trusted text nor any number of copies of one tells the model about itself.
 
-Buckets are a power of two, PER_BUCKET n-grams of the corpus to each, at most MOST_BUCKETS: one row for each, which is broadcast (at most
+Buckets are a power of two, one for PER_BUCKET bytes of the corpus, at most MOST_BUCKETS: one row for each, which is broadcast (at most
 MOST_BUCKETS * 24 bytes). Everything is DataFrame functions. N-grams are exploded, met with their weights and summed within a task,
 for rows of a document follow one another: one row for each document and task is shuffled, and no text. Only trusted texts
 move, to be met with the labels; before that a bitmap of their ids leaves other texts out.
@@ -40,8 +40,8 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEATED, MOST_REPEATED = 50, 3, 50
 #: Words of an n-gram at most.
 GRAMS = 2
-#: The corpus's share in the target, N-grams of the corpus for each bucket, and the bounds of the number of buckets.
-MIX, PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 0.1, 1, 1 << 14, 1 << 20
+#: The corpus's share in the target, bytes of the corpus for each bucket, and the bounds of the number of buckets.
+MIX, PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 0.1, 16, 1 << 14, 1 << 18
 UNIT = 1 << 16
 #: Scores of trusted documents below this quantile are rejected; as many values are needed for the lowest to be below it with a confidence of 0.95.
 LOW, FEW = 0.005, 598
@@ -93,8 +93,8 @@ def base_counts(text: Column) -> list[Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return [
         F.size(words).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]++", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat_words(words).alias("n_repeat_words"),
     ]
@@ -104,20 +104,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def _grams(words: Column, buckets: int) -> Column:
-    """The buckets of the n-grams of up to GRAMS words."""
-    n = F.size(words)
+def _neighbours(words: Column) -> Column:
+    """Every word with those after it, as an array of structs; fields beyond the end are null."""
+    return F.arrays_zip(*[(F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))) if i else words).alias(f"w{i}") for i in range(GRAMS)])
 
-    def of(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - size), lambda i: F.pmod(F.xxhash64(*[F.get(words, i + j) for j in range(size)]), F.lit(buckets)).cast("int"))
 
-    every = [F.when(n >= size, of(size)).otherwise(F.array().cast("array<int>")) for size in range(1, GRAMS + 1)]
-    return F.concat(*every)
+def _buckets(buckets: int) -> list[Column]:
+    """The buckets of the n-grams of up to GRAMS words that begin with a row's first (null where the text ends before)."""
+    at = lambda i: F.pmod(F.xxhash64(*[F.col(f"w{j}") for j in range(i + 1)]), F.lit(buckets)).cast("int")
+    return [F.when(F.col(f"w{i}").isNotNull(), at(i)).alias(f"b{i}") for i in range(GRAMS)]
 
 
 def _counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
-    """(half, bucket, count) of the n-grams of texts (half, words)."""
-    each = texts.select("half", F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
+    """(half, bucket, count) of the n-grams of texts (half, text). No lambda: the whole way to the first sums is generated code."""
+    words = texts.select("half", F.inline(_neighbours(words_of(F.col("text")))))
+    each = words.select("half", F.explode(F.array(*_buckets(buckets))).alias("bucket")).where("bucket is not null")
     return each.groupBy("half", "bucket").agg(F.count(F.lit(1)).alias(name))
 
 
@@ -140,8 +141,9 @@ def least_weight() -> int:
     return round(math.log(MIX) * UNIT)
 
 
-def buckets_for(n_grams: int) -> int:
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, n_grams // PER_BUCKET - 1).bit_length()))
+def buckets_for(size: int) -> int:
+    """The number of buckets for so many bytes of text."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, size // PER_BUCKET - 1).bit_length()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -151,20 +153,23 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.select("id", "lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
     trusted = materialise(trusted, "trusted")
-    n_grams = GRAMS * (rows.agg(F.sum(F.size(words_of(F.col("text"))).cast("long"))).first()[0] or 0)
-    buckets = buckets_for(n_grams)
-    raw = materialise(_counts(rows.select("half", words_of(F.col("text")).alias("words")), buckets, "raw"), "raw")
+    buckets = buckets_for(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    raw = materialise(_counts(rows.select("half", "text"), buckets, "raw"), "raw")
     known = among(rows.select("id", "text", "half"), trusted)
-    target = materialise(_counts(known.select("half", words_of(F.col("text")).alias("words")), buckets, "target"), "target")
+    target = materialise(_counts(known.select("half", "text"), buckets, "target"), "target")
     table = materialise(weights(raw, target, buckets), "weights")
 
     measured = rows.select("id", "lang", "half", F.xxhash64("text").alias("_x"), F.xxhash64("text", F.lit(1)).alias("_y"), words_of(F.col("text")).alias("words"), *base_counts(F.col("text")))
     own = ["id", "lang", "_x", "_y", *BASE]
-    # the null at the front counts the rows of a document; those that repeat it fall into one
-    each = measured.select(*own, "half", F.explode(F.concat(F.array(F.lit(None).cast("int")), _grams(F.col("words"), buckets))).alias("bucket"))
-    weighed = each.join(F.broadcast(table.withColumnRenamed("bucket", "_bucket")), F.col("bucket") == F.col("_bucket"), "left")  # at most MOST_BUCKETS rows
-    weight = F.when(F.col("bucket").isNull(), 0).otherwise(F.coalesce(F.when(F.col("half") == 0, F.col("w1")).otherwise(F.col("w0")), F.lit(least_weight())))
-    summed = weighed.groupBy(*own).agg(F.sum(weight.cast("long")).alias("sum"), F.count("bucket").alias("n"), F.count_if(F.col("bucket").isNull()).alias("rows"))
+    # a row without words, in front, counts the rows of a document; those that repeat it fall into one
+    marker = F.array(F.struct(*[F.lit(None).cast("string").alias(f"w{i}") for i in range(GRAMS)]))
+    each = measured.select(*own, "half", F.inline(F.concat(marker, _neighbours(F.col("words"))))).select(*own, "half", *_buckets(buckets))
+    weight, met = F.lit(0), F.lit(0)
+    for i in range(GRAMS):  # each a broadcast of at most MOST_BUCKETS rows
+        each = each.join(F.broadcast(table.select(F.col("bucket").alias(f"_b{i}"), F.col("w0").alias(f"u{i}"), F.col("w1").alias(f"v{i}"))), F.col(f"b{i}") == F.col(f"_b{i}"), "left")
+        other = F.coalesce(F.when(F.col("half") == 0, F.col(f"v{i}")).otherwise(F.col(f"u{i}")), F.lit(least_weight()))
+        weight, met = weight + F.when(F.col(f"b{i}").isNotNull(), other).otherwise(0), met + F.col(f"b{i}").isNotNull().cast("int")
+    summed = each.groupBy(*own).agg(F.sum(weight.cast("long")).alias("sum"), F.sum(met.cast("long")).alias("n"), F.count_if(F.col("b0").isNull()).alias("rows"))
     score = F.when(F.col("n") > 0, F.rint(F.col("sum") / F.col("n")).cast("long"))
     failed = base_failed().alias("base_failed")
     scored = materialise(summed.select("id", "lang", *BASE, failed, score.alias("score"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row")).drop("_row"), "scores")
