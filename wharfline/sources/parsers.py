@@ -94,26 +94,81 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 # ---- tabular
 
+class RowReader:
+    """Rows of delimited text from its lines, fed one at a time without their line feed.
+
+    A quote opens a quoted cell only where nothing but white space stands before it; within one, line feeds belong to the cell and two quotes are one. After the closing quote, and in
+    other cells, quotes are ordinary characters. Rows end at a line feed, a carriage return or both. A quoted cell that is never closed ends with the text.
+    ``inside`` and ``line`` are where reading begins: within a quoted cell or not, and the number of the physical line.
+    """
+
+    def __init__(self, delimiter: str, inside: bool = False, line: int = 1):
+        d = re.escape(delimiter)
+        self.delimiter, self.inside, self.line, self.start = delimiter, inside, line, line
+        self.cells: list[str] = []
+        self.open = ""
+        self.opening, self.bare = re.compile(rf'([^\S{d}\r]*+)"'), re.compile(rf"[^{d}\r]*+")
+        self.quoted = re.compile(r'([^"]*+(?:""[^"]*+)*+)("?)')
+
+    def _close(self, text: str, at: int) -> int:
+        """Read on in a quoted cell; where it ends, or -1 if it goes on in the next line."""
+        m = self.quoted.match(text, at)
+        self.open += m[1].replace('""', '"')
+        if not m[2]:
+            self.open, self.inside = self.open + "\n", True
+            self.line += 1
+            return -1
+        self.inside, rest = False, self.bare.match(text, m.end())
+        self.open += rest[0]
+        return rest.end()
+
+    def feed(self, text: str) -> list[tuple[int, list[str]]]:
+        """(first line, cells) of the rows that end in this line."""
+        if not self.inside and '"' not in text and "\r" not in text[:-1]:
+            self.line += 1
+            return [(self.line - 1, text.removesuffix("\r").split(self.delimiter))]
+        rows, at = [], 0
+        fresh = not self.inside
+        if fresh:
+            self.start = self.line
+        while True:
+            if fresh:
+                m = self.opening.match(text, at)
+                if m:
+                    self.open = m[1]
+                    at = self._close(text, m.end())
+                else:
+                    m = self.bare.match(text, at)
+                    self.open, at = m[0], m.end()
+            else:
+                at = self._close(text, 0)
+            if at < 0:
+                return rows
+            self.cells.append(self.open)
+            fresh, self.open = True, ""
+            if at < len(text) and text[at] == self.delimiter:
+                at += 1
+                continue
+            rows.append((self.start, self.cells))
+            self.cells = []
+            self.line += 1
+            self.start = self.line
+            if at + 1 >= len(text):
+                return rows
+            at += 1
+
+    def finish(self) -> list[tuple[int, list[str]]]:
+        """The row of a quoted cell that the text ends within."""
+        return [(self.start, [*self.cells, self.open.removesuffix("\n")])] if self.inside else []
+
+
 def csv_rows(text: str, delimiter: str) -> list[tuple[int, list[str]]]:
-    """(physical first line, cells) of each row; quotes inside unquoted cells are ordinary characters."""
-    text = text.removeprefix("﻿")
-    token = re.compile(rf'(?:"((?:[^"]|"")*)"|([^{re.escape(delimiter)}\r\n]*))([^{re.escape(delimiter)}\r\n]*)({re.escape(delimiter)}|\r\n|\n|\r|\Z)')
-    rows, cells, line, start, at = [], [], 1, 1, 0
-    while at < len(text) or cells:
-        m = token.match(text, at)
-        quoted, bare, rest, end = m.groups()
-        cells.append((quoted.replace('""', '"') if quoted is not None else bare) + rest)
-        line += len(re.findall(r"\r\n|\n|\r", m[0]))
-        at = m.end()
-        if end != delimiter:
-            rows.append((start, cells))
-            cells, start = [], line
-            if at >= len(text):
-                break
-        elif at >= len(text):
-            rows.append((start, [*cells, ""]))
-            break
-    return rows
+    """(physical first line, cells) of each row of a whole text."""
+    reader = RowReader(delimiter)
+    lines = text.removeprefix("\ufeff").split("\n")
+    if not lines[-1]:
+        lines.pop()
+    return [row for line in lines for row in reader.feed(line)] + reader.finish()
 
 
 def blank(cell: str | None) -> bool:
@@ -193,35 +248,55 @@ def column_names(group: list[str] | None, header: list[str]) -> list[str]:
     return out
 
 
-def tabular(rows: list[tuple[int, list[str]]], header_row: int | None = None) -> Parsed:
-    """Records below the header; blank rows, footers and repeated headers are left out."""
-    head = [cells for _, cells in rows[:HEADER_ROWS]]
-    at = next((i for i, (n, _) in enumerate(rows[:HEADER_ROWS]) if n == header_row), -1) if header_row is not None else locate_header(head)
-    if at < 0:
-        names, keys, first = [f"column_{i + 1}" for i in range(max(map(len, head), default=0))], [], 0
-    else:
-        header, group, first = head[at], None, at + 1
-        follows = next((r for r in head[at + 2 :] if _filled(r)), None)
-        if first < len(head) and _labels(head[first]) and _gap(header, head[first]) and follows is not None and _numeric(follows):
-            header, group, first = head[first], header, first + 1
-        elif at and _labels(head[at - 1]) and all(len(c.strip()) <= 25 for c in _filled(head[at - 1])) and _gap(head[at - 1], header):
-            group = head[at - 1]
-        names, keys = column_names(group, header), [normal(c) for c in header]
-    out = Parsed(columns=list(names))
-    for number, cells in rows[first:]:
+@dataclass(frozen=True)
+class Heading:
+    """Names of a table's columns, the normalised cells of its header row, and the number of its last line (0 where there is none)."""
+
+    names: list[str]
+    keys: list[str]
+    last: int
+
+    def record(self, cells: list[str]) -> dict[str, str] | None:
+        """The fields of a row below the header; None for blank rows, footers and repeated headers."""
         filled = _filled(cells)
         if not filled or FOOTER.match(filled[0].strip()):
-            continue
-        compared = [(k, normal(c)) for k, c in zip(keys, cells, strict=False) if k]
+            return None
+        compared = [(k, normal(c)) for k, c in zip(self.keys, cells, strict=False) if k]
         if len(compared) >= 2 and sum(k == c for k, c in compared) >= 0.8 * len(compared):
-            continue
-        fields = {}
-        for i in range(max(len(names), len(cells))):
-            value = (cells[i] if i < len(cells) else "").replace(" ", " ").strip()
-            if i < len(names) or value:
-                fields[names[i] if i < len(names) else f"column_{i + 1}"] = value
-        out.records.append((number, fields))
-        out.columns += [c for c in fields if c not in out.columns]
+            return None
+        fields, n = {}, len(self.names)
+        for i in range(max(n, len(cells))):
+            value = (cells[i] if i < len(cells) else "").replace("\u00a0", " ").strip()
+            if i < n or value:
+                fields[self.names[i] if i < n else f"column_{i + 1}"] = value
+        return fields
+
+
+def heading(rows: list[tuple[int, list[str]]], header_row: int | None = None) -> Heading:
+    """The heading of a table, from its first HEADER_ROWS rows."""
+    rows = rows[:HEADER_ROWS]
+    head = [cells for _, cells in rows]
+    at = next((i for i, (n, _) in enumerate(rows) if n == header_row), -1) if header_row is not None else locate_header(head)
+    if at < 0:
+        return Heading([f"column_{i + 1}" for i in range(max(map(len, head), default=0))], [], 0)
+    header, group, last = head[at], None, at
+    follows = next((r for r in head[at + 2 :] if _filled(r)), None)
+    if at + 1 < len(head) and _labels(head[at + 1]) and _gap(header, head[at + 1]) and follows is not None and _numeric(follows):
+        header, group, last = head[at + 1], header, at + 1
+    elif at and _labels(head[at - 1]) and all(len(c.strip()) <= 25 for c in _filled(head[at - 1])) and _gap(head[at - 1], header):
+        group = head[at - 1]
+    return Heading(column_names(group, header), [normal(c) for c in header], rows[last][0])
+
+
+def tabular(rows: list[tuple[int, list[str]]], header_row: int | None = None) -> Parsed:
+    """Records below the header; blank rows, footers and repeated headers are left out."""
+    top = heading(rows, header_row)
+    out = Parsed(columns=list(top.names))
+    for number, cells in rows:
+        fields = top.record(cells) if number > top.last else None
+        if fields is not None:
+            out.records.append((number, fields))
+            out.columns += [c for c in fields if c not in out.columns]
     return out
 
 
@@ -309,27 +384,41 @@ def xlsx_rows(data: bytes, sheet: str | None) -> list[tuple[int, list[str]]]:
 
 # ---- fixed width
 
+def detail_type(o: ReaderOptions) -> str:
+    return o.detail or (next(iter(o.layouts)) if len(o.layouts) == 1 else "D")
+
+
+def line_type(o: ReaderOptions):  # noqa: ANN201
+    """A function that tells the record type of a line: the longest that it starts with, None for blank and other lines."""
+    kinds = sorted(o.layouts, key=len, reverse=True)
+    return lambda line: None if blank(line) else next((k for k in kinds if line.startswith(k)), None)
+
+
+def cut_fields(o: ReaderOptions, kind: str, line: str) -> dict[str, str]:
+    return {c.name: line[c.start - 1 : c.start - 1 + c.length].strip() for c in o.layouts[kind]}
+
+
+def header_fields(o: ReaderOptions, kind: str, line: str) -> dict[str, str]:
+    return {f"{kind}.{n}": v for n, v in cut_fields(o, kind, line).items()}
+
+
 def read_fixed(data: bytes, o: ReaderOptions) -> Parsed:
     """Detail lines with the header fields above them carried down as ``TYPE.NAME``."""
     if not o.layouts:
         raise ReadError("fixed-width files need a record layout in the mapping spec")
-    detail = o.detail or (next(iter(o.layouts)) if len(o.layouts) == 1 else "D")
+    detail, type_of = detail_type(o), line_type(o)
     out = Parsed(columns=[c.name if t == detail else f"{t}.{c.name}" for t, cs in o.layouts.items() for c in cs])
-    kinds = sorted(o.layouts, key=len, reverse=True)
     held: dict[str, dict[str, str]] = {}
     declared = None
     for number, line in enumerate(re.split(r"\r\n|\n|\r", data.decode(o.charset, "replace")), 1):
-        kind = next((k for k in kinds if line.startswith(k)), None)
-        if kind is None or blank(line):
-            continue
-        values = {c.name: line[c.start - 1 : c.start - 1 + c.length].strip() for c in o.layouts[kind]}
+        kind = type_of(line)
         if kind == detail:
-            out.records.append((number, {f"{t}.{n}": v for t, vs in held.items() for n, v in vs.items()} | values))
-        elif kind == o.trailer:
-            if values.get("RECORD_COUNT"):
-                declared = (declared or 0) + int(values["RECORD_COUNT"])
-        else:
-            held[kind] = values
+            out.records.append((number, {n: v for vs in held.values() for n, v in vs.items()} | cut_fields(o, kind, line)))
+        elif kind is not None and kind == o.trailer:
+            if count := cut_fields(o, kind, line).get("RECORD_COUNT"):
+                declared = (declared or 0) + int(count)
+        elif kind is not None:
+            held[kind] = header_fields(o, kind, line)
     if declared is not None:
         out.totals["lineCount"] = str(declared)
     return out
