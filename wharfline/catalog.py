@@ -19,10 +19,10 @@ from .operators import edi, jobs, mapping, outbox, pipeline, rules, suggest
 from .operators.enrich import enrich
 from .operators.reference import Reference, keyed
 from .plans import model
-from .plans.layout import spread
+from .plans.layout import kept, spread, work_folder
 from .plans.transforms import Context, Value, apply_transform
 from .ship import ship
-from .sources import reader
+from .sources import reader, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -519,6 +519,44 @@ def file_summary(spark, sf_dir):
     return pipeline.file_summary(_judged(spark, sf_dir))
 
 
+#: The deviation from the list price in hundredths of a percent, rounded half up in whole numbers.
+_EXACT_OFF = "CAST((20000 * CAST(abs(unitPrice - listPrice) * 100 AS BIGINT) + CAST(listPrice * 100 AS BIGINT)) // (2 * CAST(listPrice * 100 AS BIGINT)) AS DECIMAL(18,0)) * 0.01"
+
+
+def _all_rules_sql() -> str:
+    """Every violation of a run with the whole rule set: the twins of the single rules, side by side."""
+    named = lambda name, rule, field, severity: f"SELECT invoiceNumber, line, '{rule}' AS rule, '{field}' AS field, '{severity}' AS severity, message FROM ({_SQL[name]})"
+    whole = [f"SELECT invoiceNumber, line, rule, field, severity, message FROM ({_SQL[n]})" for n in ("rule_required", "rule_matches", "rule_range", "rule_date_window", "rule_one_of", "rule_arithmetic", "rule_when", "rule_unique")]
+    bands = f"""WITH {_E}, o AS (SELECT *, CAST({_EXACT_OFF} AS DECIMAL(18,6)) AS off FROM e WHERE found)
+SELECT invoiceNumber, line, 'PRICE' AS rule, 'unitPrice' AS field, CASE WHEN off > 150 THEN 'ERROR' ELSE 'WARNING' END AS severity,
+ 'unitPrice ' || {_plain('unitPrice')} || ' is ' || {_plain('off')} || '% ' || CASE WHEN unitPrice > listPrice THEN 'above' ELSE 'below' END || ' list price ' || {_plain('listPrice')} AS message FROM o WHERE off > 50"""
+    other = [
+        named("coercion_errors", "MAPPING", "lineNumber", "ERROR"), named("po_missing_anti", "PRICE", "sku", "ERROR"), named("open_quantity_atmost", "PRICE", "quantity", "WARNING"),
+        named("rule_reference_equals", "PRICE", "description", "WARNING"), named("already_invoiced_semi", "KNOWN", "invoiceNumber", "WARNING"), f"SELECT * FROM ({bands})",
+        f"SELECT invoiceNumber, line, 'FX_RATE' AS rule, 'lineAmountUsd' AS field, 'WARNING' AS severity, issue AS message FROM ({_SQL['enrich_convert_fx']}) WHERE issue IS NOT NULL",
+    ]
+    return " UNION ALL ".join(whole + other)
+
+
+@query(_all_rules_sql())
+def all_rules(spark, sf_dir):
+    """Mapping, enrichment and all ten rules in one plan: every violation."""
+    return rules.violations(outcomes(spark, sf_dir), "invoiceNumber", "line").select("invoiceNumber", "line", "v.rule", "v.field", "v.severity", "v.message")
+
+
+@query(f"""WITH {_E}, f AS (SELECT file_id, invoiceNumber, lineNumber, min(seq) AS s FROM m WHERE lineNumber IS NOT NULL GROUP BY ALL),
+j AS (SELECT e.*, f.s < e.seq AS dup, CASE WHEN found THEN {_EXACT_OFF} END AS off, o_orderkey IS NOT NULL AND lineNumber = 1 AS known
+ FROM e LEFT JOIN f USING (file_id, invoiceNumber, lineNumber) LEFT JOIN orders ON e.l_orderkey = o_orderkey AND o_orderstatus = 'F'),
+s AS (SELECT file_id, l_orderkey % 50 = 0 OR coalesce(quantity < 2 OR quantity > 48, false) OR coalesce(currency NOT IN ('USD', 'INR', 'EUR'), false) OR coalesce(dup, false) OR (sku IS NOT NULL AND NOT found) OR coalesce(off > 150, false)
+ OR coalesce(abs(lineAmount - quantity * unitPrice) > greatest(0.05, round(quantity * unitPrice * 0.000001, 6)), false) OR coalesce(currency = 'INR' AND lineAmount > 50000, false) AS bad,
+ taxAmount IS NULL OR coalesce(length(sku) > 3, false) OR coalesce(invoiceDate > DATE '2001-07-05' OR invoiceDate < DATE '2001-06-30' - INTERVAL 2000 DAY, false) OR currency = 'JPY' OR coalesce(off > 50, false)
+ OR coalesce(found AND quantity > round(open * 1.05, 6), false) OR coalesce(found AND upper(description) <> upper(p_name), false) OR coalesce(known, false) AS warned FROM j)
+SELECT file_id, count(*) AS total, count(*) FILTER (NOT bad AND NOT warned) AS valid, count(*) FILTER (NOT bad AND warned) AS warnings, count(*) FILTER (bad) AS errors, count(*) FILTER (bad) / count(*) AS error_rate FROM s GROUP BY file_id""")
+def all_rules_summary(spark, sf_dir):
+    """The totals of each file after mapping, enrichment and all ten rules."""
+    return pipeline.file_summary(outcomes(spark, sf_dir))
+
+
 @query("""WITH n AS (SELECT CAST(l_suppkey AS VARCHAR) AS file_id, count(*) AS total, l_suppkey AS k FROM lineitem GROUP BY l_suppkey)
 SELECT file_id, 'CONTROL_TOTAL' AS rule, 'WARNING' AS severity, CASE WHEN k % 3 = 2 THEN 'file declares ''many'' line items, which is not a number' ELSE 'file declares ' || total + 1 || ' line items but ' || total || ' were read' END AS message
 FROM n WHERE k % 3 > 0""")
@@ -785,12 +823,12 @@ def x12_segments(spark, sf_dir):
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS file_id, '810' AS tx_type, count(*) + 4 AS n_segments, count(*) + 4 + CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS declared FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def x12_envelope_counts(spark, sf_dir):
-    return edi.envelope_counts(edi.segments(x12_documents(spark, sf_dir))).select("file_id", "tx_type", "n_segments", "declared")
+    return edi.envelope_counts(edi.segment_arrays(x12_documents(spark, sf_dir))).select("file_id", "tx_type", "n_segments", "declared")
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS file_id, strftime(o_orderdate, '%Y%m%d') AS day, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, CAST(l_partkey AS VARCHAR) AS sku, CAST(l_partkey AS VARCHAR) AS paired_sku FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS file_id, strftime(o_orderdate, '%Y%m%d') AS day, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, CAST(l_partkey AS VARCHAR) AS sku, CAST(l_partkey AS VARCHAR) AS paired_sku FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 9 <> 0""")
 def x12_flatten(spark, sf_dir):
-    flat = edi.flattened(edi.segments(x12_documents(spark, sf_dir)), "IT1")
+    flat = edi.transactions(x12_documents(spark, sf_dir), "IT1")  # rejected transactions have no records
     return flat.select("file_id", F.col("fields")["BIG01"].alias("day"), F.col("fields")["IT101"].alias("line"), F.col("fields")["IT102"].alias("quantity"), F.col("fields")["IT107"].alias("sku"), F.col("fields")["IT1.VP"].alias("paired_sku"))
 
 
@@ -804,14 +842,29 @@ def x12_records(spark, sf_dir):
     return out.select("file_id", F.col("fields")["IT101"].alias("line_no"), F.col("fields")["IT1.VP"].alias("sku"))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS file_id, CASE WHEN o_orderkey % 9 = 0 THEN 'AK5*R*4' ELSE 'AK5*A' END AS ak5, CASE WHEN o_orderkey % 9 = 0 THEN 'AK9*R*1*1*0' ELSE 'AK9*A*1*1*1' END AS ak9 FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def x12_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, text): an 810 for each order, whole or with one of the faults that an acknowledgment tells apart, by the key's rest by 7."""
+    o = _t(spark, sf_dir, "orders")
+    kind, key = F.col("o_orderkey") % 7, F.col("o_orderkey").cast("string")
+    pick = lambda at, then, other: F.when(kind == at, F.lit(then)).otherwise(F.lit(other))
+    parts = [
+        F.lit("ISA*00*          *00*          *ZZ*SENDER         *ZZ*RECEIVER       *260922*0930*U*00401*000000077*0*P*>"), F.lit("GS*IN*SND*RCV*20260922*0930*77*X*004010"),
+        pick(1, "ST*999*0001", "ST*810*0001"), F.concat(F.lit("BIG*"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("*"), key),
+        F.when(kind == 2, None).when(kind == 3, "SE*3*0009").when(kind == 4, "SE*8*0001").otherwise("SE*3*0001"),
+        F.when(kind == 6, "ST*810*0002~\nSE*5*0002"), F.concat(F.lit("GE*"), pick(6, "2", "1"), pick(5, "*78", "*77")), F.lit("IEA*1*000000077"), F.lit(""),
+    ]
+    return o.select(key.alias("file_id"), F.concat_ws("~\n", *parts).alias("text"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS file_id, ['AK5*A', 'AK5*R*1', 'AK5*R*2', 'AK5*R*3', 'AK5*R*4', 'AK5*A', 'AK5*A|AK5*R*4'][o_orderkey % 7 + 1] AS ak5,
+ ['AK9*A*1*1*1', 'AK9*R*1*1*0', 'AK9*R*1*1*0', 'AK9*R*1*1*0', 'AK9*R*1*1*0', 'AK9*E*1*1*1', 'AK9*P*2*2*1'][o_orderkey % 7 + 1] AS ak9 FROM orders""")
 def x12_acknowledge(spark, sf_dir):
     def run(frames):
         for f in frames:
             acks = [edi.acknowledge(edi.parse(t), 1000, 500, datetime.datetime(2026, 9, 22, 9, 30)).split("~\n") for t in f["text"]]
-            yield f[["file_id"]].assign(ak5=[next(s for s in a if s.startswith("AK5")) for a in acks], ak9=[next(s for s in a if s.startswith("AK9")) for a in acks])
+            yield f[["file_id"]].assign(ak5=["|".join(s for s in a if s.startswith("AK5")) for a in acks], ak9=[next(s for s in a if s.startswith("AK9")) for a in acks])
 
-    return x12_documents(spark, sf_dir).mapInPandas(run, "file_id string, ak5 string, ak9 string")
+    return x12_envelopes(spark, sf_dir).mapInPandas(run, "file_id string, ak5 string, ak9 string")
 
 
 _LAYOUT = model.ReaderOptions(detail="D", trailer="T", layouts={
@@ -837,36 +890,86 @@ def fixed_width_carry_down(spark, sf_dir):
     return out.select("file_id", f["H.INV"].alias("invoice"), f["LINE"].alias("line_no"), f["PART"].alias("part"), f["QTY"].alias("qty"))
 
 
+@query("""WITH d AS (SELECT l_suppkey % 16 AS f, l_orderkey, l_suppkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n FROM lineitem),
+h AS (SELECT f, l_orderkey, l_suppkey, NULL AS l_linenumber, NULL AS l_partkey, NULL AS l_quantity, 0 AS n FROM d WHERE n = 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY l_orderkey, l_suppkey, n) AS line FROM (SELECT * FROM d UNION ALL SELECT * FROM h))
+SELECT CAST(f AS VARCHAR) AS file, line, CAST(l_orderkey AS VARCHAR) AS invoice, CAST(l_linenumber AS VARCHAR) AS line_no, CAST(l_partkey AS VARCHAR) AS part, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty FROM a WHERE n > 0""")
+def fixed_split_carry_down(spark, sf_dir):
+    """Fixed-width files read by as many tasks as they have blocks, headers carried over their borders."""
+    li = _t(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
+    file = (F.col("l_suppkey") % 16).cast("string").alias("file")
+    place = lambda n: F.struct("l_orderkey", "l_suppkey", n.alias("n")).alias("place")
+    head = li.where("n = 1").select(file, place(F.lit(0)), F.concat(F.lit("H"), F.rpad(F.col("l_orderkey").cast("string"), 12, " "), F.date_format("l_shipdate", "yyyyMMdd")).alias("text"))
+    body = li.select(file, place(F.col("n")), F.concat(F.lit("D"), F.lpad(F.col("l_linenumber").cast("string"), 4, " "), F.rpad(F.col("l_partkey").cast("string"), 12, " "), F.lpad(F.col("l_quantity").cast("int").cast("string"), 6, " ")).alias("text"))
+    out, f = splits.fixed_records(spark, _written(head.unionByName(body)), _LAYOUT), F.col("fields")
+    return out.select(F.regexp_extract("file_id", "file=([^/]+)/", 1).alias("file"), "line", f["H.INV"].alias("invoice"), f["LINE"].alias("line_no"), f["PART"].alias("part"), f["QTY"].alias("qty"))
+
+
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS file_id, CAST(count(*) AS VARCHAR) AS declared FROM lineitem GROUP BY 1")
 def fixed_width_trailer(spark, sf_dir):
     return reader.trailer_totals(_fixed_lines(spark, sf_dir), _LAYOUT)
 
 
-@query("SELECT n_name AS file_id, CAST(c_custkey AS VARCHAR) AS number, c_name || ', \"' || c_mktsegment || '\"' AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _written(lines: DataFrame) -> str:
+    """The lines (file, place, text) as text files, one folder for each file; its lines in their order."""
+    path = work_folder(lines.sparkSession)
+    lines.repartition("file").sortWithinPartitions("file", "place").select("file", "text").write.partitionBy("file").text(path)
+    return path
+
+
+#: Customers in a file, by ranges of their keys: files of some 30 MB.
+_PER_FILE = 500_000
+
+
+@query(f"""WITH c AS (SELECT *, c_nationkey || '-' || c_custkey // {_PER_FILE} AS file FROM customer),
+n AS (SELECT *, 3 + row_number() OVER w + coalesce(count(*) FILTER (c_custkey % 3 = 0) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM c WINDOW w AS (PARTITION BY file ORDER BY c_custkey))
+SELECT file, line, CAST(c_custkey AS VARCHAR) AS number, c_name || ', "' || c_mktsegment || '"' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || 'second line' ELSE '' END AS name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS balance FROM n""")
+def csv_split_rows(spark, sf_dir):
+    """Delimited files with a preamble, cells over two lines and a footer, read by as many tasks as they have blocks."""
+    file = F.concat_ws("-", F.col("c_nationkey").cast("string"), F.floor(F.col("c_custkey") / _PER_FILE).cast("string")).alias("file")
+    name = F.concat(F.lit('"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('""'), F.when(F.col("c_custkey") % 3 == 0, "\nsecond line").otherwise(""), F.lit('"'))
+    body = _t(spark, sf_dir, "customer").select(file, F.col("c_custkey").alias("place"), F.concat_ws(",", F.col("c_custkey").cast("string"), name, F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("text"))
+    around = F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("place"), F.lit(t).alias("text")) for p, t in ((-3, "Customer register"), (-2, ""), (-1, "Cust No.,Cust Name,Balance Amt"), (1 << 60, "Total,,1"))]))
+    rest = body.select("file").distinct().select("file", around.alias("_x")).select("file", "_x.place", "_x.text")
+    out, f = splits.csv_records(spark, _written(body.unionByName(rest))), F.col("fields")
+    return out.select(F.regexp_extract("file_id", "file=([^/]+)/", 1).alias("file"), "line", f["Cust No"].alias("number"), f["Cust Name"].alias("name"), f["Balance Amt"].alias("balance"))
+
+
+#: Customers of a file that one task parses.
+_PART = 1000
+
+
+@query("""WITH c AS (SELECT *, n_name || '-' || c_custkey // 1000 AS file_id, CAST(c_custkey AS VARCHAR) || ',"' || c_name AS place FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT file_id, 3 + row_number() OVER (PARTITION BY file_id ORDER BY place) AS line, CAST(c_custkey AS VARCHAR) AS number, c_name || ', "' || c_mktsegment || '"' AS name FROM c""")
 def csv_rows(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('"""')), F.col("c_acctbal").cast("decimal(18,2)").cast("string"))
-    body = c.groupBy("n_name").agg(F.array_join(F.sort_array(F.collect_list(line)), "\r\n").alias("lines"))
-    docs = body.select(F.col("n_name").alias("file_id"), F.concat(F.lit("Customer register\r\n\r\nCust No.,Cust Name,Balance Amt\r\n"), "lines", F.lit("\r\nTotal,,1")).alias("text"))
+    body = c.groupBy(_part().alias("file_id")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\r\n").alias("lines"))
+    docs = body.select("file_id", F.concat(F.lit("Customer register\r\n\r\nCust No.,Cust Name,Balance Amt\r\n"), "lines", F.lit("\r\nTotal,,1")).alias("text"))
     out = reader.read_files(_as_files(docs, ".csv"), model.ReaderOptions())
-    return out.select("file_id", F.col("fields")["Cust No"].alias("number"), F.col("fields")["Cust Name"].alias("name"))
+    return out.select("file_id", "line", F.col("fields")["Cust No"].alias("number"), F.col("fields")["Cust Name"].alias("name"))
+
+
+def _part():
+    """A nation's customers in files of a bounded size."""
+    return F.concat_ws("-", F.col("n_name"), F.floor(F.col("c_custkey") / _PART).cast("string"))
 
 
-@query("SELECT n_name AS file_id, CAST(c_custkey AS VARCHAR) AS number, c_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT n_name || '-' || c_custkey // 1000 AS file_id, CAST(c_custkey AS VARCHAR) AS number, c_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def json_records(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     item = F.struct(F.col("c_custkey").alias("no"), F.struct(F.col("c_name").alias("name")).alias("party"))
-    docs = c.groupBy("n_name", "n_regionkey").agg(F.collect_list(item).alias("rows")).select(F.col("n_name").alias("file_id"), F.to_json(F.struct(F.struct(F.col("n_regionkey").alias("region")).alias("head"), "rows")).alias("text"))
+    docs = c.groupBy(_part().alias("file_id"), "n_regionkey").agg(F.collect_list(item).alias("rows")).select("file_id", F.to_json(F.struct(F.struct(F.col("n_regionkey").alias("region")).alias("head"), "rows")).alias("text"))
     f = F.col("fields")
     return reader.read_files(_as_files(docs, ".json"), model.ReaderOptions(record_element="rows")).select("file_id", f["no"].alias("number"), f["party/name"].alias("name"), f["head/region"].alias("region"))
 
 
-@query("SELECT n_name AS file_id, CAST(c_custkey AS VARCHAR) AS number, c_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT n_name || '-' || c_custkey // 1000 AS file_id, CAST(c_custkey AS VARCHAR) AS number, c_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def xml_records(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     item = F.concat(F.lit('<c:Item no="'), F.col("c_custkey").cast("string"), F.lit('"><Party><Name>'), "c_name", F.lit("</Name></Party></c:Item>"))
-    body = c.groupBy("n_name", "n_regionkey").agg(F.array_join(F.collect_list(item), "\n").alias("items"))
-    docs = body.select(F.col("n_name").alias("file_id"), F.concat(F.lit('<?xml version="1.0"?>\n<Doc xmlns:c="urn:x"><Head region="'), F.col("n_regionkey").cast("string"), F.lit('"/>'), "items", F.lit("</Doc>")).alias("text"))
+    body = c.groupBy(_part().alias("file_id"), "n_regionkey").agg(F.array_join(F.collect_list(item), "\n").alias("items"))
+    docs = body.select("file_id", F.concat(F.lit('<?xml version="1.0"?>\n<Doc xmlns:c="urn:x"><Head region="'), F.col("n_regionkey").cast("string"), F.lit('"/>'), "items", F.lit("</Doc>")).alias("text"))
     f = F.col("fields")
     return reader.read_files(_as_files(docs, ".xml"), model.ReaderOptions(record_element="Item")).select("file_id", f["@no"].alias("number"), f["Party/Name"].alias("name"), f["Head/@region"].alias("region"))
 

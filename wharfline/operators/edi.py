@@ -7,11 +7,12 @@ whose issues come in order, is a function of its text.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Fixed values of the format.
 SUPPORTED = {"810", "850"}
@@ -98,7 +99,11 @@ def parse(raw: str) -> Interchange:
     text = (raw or "").removeprefix("﻿").lstrip()
     element, component, terminator = delimiters(text)
     parts = [p.strip().split(element) for p in text.split(terminator) if p.strip()]
-    segs = [Segment(i, p[0].strip(), tuple(p[1:])) for i, p in enumerate(parts, 1)]
+    return walked([Segment(i, p[0].strip(), tuple(p[1:])) for i, p in enumerate(parts, 1)], element, component, terminator)
+
+
+def walked(segs: list[Segment], element: str, component: str, terminator: str) -> Interchange:
+    """The interchange of these segments, of which the first is its ISA."""
     out = Interchange(element, component, terminator, segs[0])
     if len(segs[0].elements) != 16:
         out.issues.append(("", f"ISA has {len(segs[0].elements)} elements, expected 16", 1))
@@ -223,6 +228,11 @@ def flatten(tx: Transaction, record: str, envelope: dict[str, str]) -> tuple[lis
     return [(position, header | own) for position, own in loops], summary
 
 
+def transaction_records(x: Interchange, g: Group, t: Transaction, record: str | None) -> tuple[list[tuple[int, dict[str, str]]], dict[str, str]]:
+    envelope = {"ISA06": x.isa.at(6), "ISA08": x.isa.at(8), "ISA13": x.isa.at(13), "GS01": g.functional, "GS02": g.sender, "GS06": g.control}
+    return flatten(t, record or ("PO1" if t.type == "850" else "IT1"), envelope)
+
+
 def records(x: Interchange, record_segment: str | None = None):
     """Records of the accepted transactions; a CTT01 that is no number fails the file."""
     from ..sources.parsers import Parsed
@@ -230,8 +240,7 @@ def records(x: Interchange, record_segment: str | None = None):
     out = Parsed(context={"interchangeControl": x.isa.at(13), "sender": x.isa.at(6), "receiver": x.isa.at(8), "usage": x.isa.at(15)})
     for g in x.groups:
         for t in (t for t in g.transactions if t.accepted):
-            envelope = {"ISA06": x.isa.at(6), "ISA08": x.isa.at(8), "ISA13": x.isa.at(13), "GS01": g.functional, "GS02": g.sender, "GS06": g.control}
-            found, summary = flatten(t, record_segment or ("PO1" if t.type == "850" else "IT1"), envelope)
+            found, summary = transaction_records(x, g, t, record_segment)
             out.records += found
             if "CTT01" in summary:
                 out.totals["lineCount"] = str(int(out.totals.get("lineCount", "0")) + int(summary["CTT01"]))
@@ -271,46 +280,96 @@ def acknowledge(x: Interchange, interchange_control: int, group_control: int, no
 
 # ---- over many files
 
-def segments(files: DataFrame, text: str = "text") -> DataFrame:
-    """(file_id, pos, seg_id, elements) of all files: the delimiters come from each file's first segment."""
-    body = F.ltrim(F.regexp_replace(F.col(text), "^﻿", ""))
+def segment_arrays(files: DataFrame, text: str = "text") -> DataFrame:
+    """(file_id, segs array of (pos, seg_id, elements)) of all files: the delimiters come from each file's first segment."""
+    body = F.ltrim(F.regexp_replace(F.col(text), "^\ufeff", ""))
     head = files.select("file_id", body.alias("_t")).where(F.col("_t").startswith("ISA"))
     head = head.withColumn("_e", F.substring("_t", 4, 1))
     sixteenth = F.expr("length(substring_index(_t, _e, 16)) + 2")
     marked = head.withColumn("_x", F.substring("_t", sixteenth + 1, F.lit(1)))
     parts = F.transform(F.expr("split(_t, concat('\\\\Q', _x, '\\\\E'))"), lambda s: F.btrim(s, F.lit(" \t\r\n")))
-    rows = marked.select("file_id", "_e", F.posexplode(F.filter(parts, lambda s: s != "")).alias("_p", "_s"))
-    split = rows.select("file_id", (F.col("_p") + 1).cast("long").alias("pos"), F.expr("split(_s, concat('\\\\Q', _e, '\\\\E'))").alias("_a"))
-    return split.select("file_id", "pos", F.btrim(F.get("_a", F.lit(0))).alias("seg_id"), F.slice("_a", 2, 1 << 30).alias("elements"))
+    rows = marked.select("file_id", "_e", F.filter(parts, lambda s: s != "").alias("_s"))
+    cells = rows.select("file_id", F.expr("transform(_s, x -> split(x, concat('\\\\Q', _e, '\\\\E')))").alias("_a"))
+    one = lambda a, i: F.struct((i + 1).cast("long").alias("pos"), F.btrim(F.get(a, F.lit(0))).alias("seg_id"), F.slice(a, 2, 1 << 30).alias("elements"))
+    return cells.select("file_id", F.transform("_a", one).alias("segs"))
+
+
+def segments(files: DataFrame, text: str = "text") -> DataFrame:
+    """(file_id, pos, seg_id, elements): a row for each segment."""
+    return segment_arrays(files, text).select("file_id", F.inline("segs"))
+
+
+def _arrays(segs: DataFrame) -> DataFrame:
+    """Segments in arrays by file, in their order, whether they are so already or lie in rows."""
+    if "segs" in segs.columns:
+        return segs
+    return segs.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", "seg_id", "elements"))).alias("segs"))
 
 
 def envelope_counts(segs: DataFrame) -> DataFrame:
-    """(file_id, tx_no, tx_type, n_segments, declared): every transaction's segments against its SE01."""
-    w = Window.partitionBy("file_id").orderBy("pos")
-    tx = segs.withColumn("tx_no", F.count_if(F.col("seg_id") == "ST").over(w))
-    inside = tx.where((F.col("tx_no") > 0) & ~F.col("seg_id").isin("GS", "GE", "IEA"))
-    first = lambda seg, i: F.max(F.when(F.col("seg_id") == seg, F.btrim(F.get("elements", F.lit(i)))))
-    return inside.groupBy("file_id", "tx_no").agg(first("ST", 0).alias("tx_type"), F.count(F.lit(1)).alias("n_segments"), first("SE", 0).try_cast("long").alias("declared"))
-
-
-def flattened(segs: DataFrame, record: str) -> DataFrame:
-    """(file_id, tx_no, loop_no, fields): header fields and each loop's, the first value of a key counts."""
-    w = Window.partitionBy("file_id").orderBy("pos")
-    tx = segs.withColumn("tx_no", F.count_if(F.col("seg_id") == "ST").over(w)).where((F.col("tx_no") > 0) & ~F.col("seg_id").isin("ST", "SE", "GS", "GE", "IEA"))
-    inner = Window.partitionBy("file_id", "tx_no").orderBy("pos")
-    loops = tx.withColumn("loop_no", F.count_if(F.col("seg_id") == record).over(inner)).withColumn("_end", F.count_if(F.col("seg_id").isin(*SUMMARY)).over(inner)).where("_end = 0")
-    first = F.btrim(F.get("elements", F.lit(0)))
-    qualified = F.col("seg_id").isin(*QUALIFIED) & (F.coalesce(first, F.lit("")) != "")
-    keyed = loops.select("file_id", "tx_no", "loop_no", "pos", "seg_id", qualified.alias("_q"), first.alias("_f"), F.posexplode("elements").alias("_i", "_v"))
-    keyed = keyed.withColumn("_v", F.btrim("_v")).where((F.col("_v") != "") & ~(F.col("_q") & (F.col("_i") == 0)))
-    key = F.concat("seg_id", F.when(F.col("_q"), F.concat(F.lit("."), "_f", F.lit("."))).otherwise(""), F.lpad((F.col("_i") + 1).cast("string"), 2, "0"))
-    # product identifiers come in pairs of qualifier and value: IT1.VP is the value that follows VP
-    paired = loops.where((F.col("seg_id") == record) & F.col("seg_id").isin(*PAIRED)).select("file_id", "tx_no", "loop_no", "pos", "seg_id", "elements", F.explode(F.sequence(F.lit(5), F.greatest(F.size("elements") - 2, F.lit(5)), F.lit(2))).alias("_i"))
-    at = lambda n: F.btrim(F.get("elements", F.col("_i") + n))
-    paired = paired.where((at(0) != "") & (at(1) != "")).select("file_id", "tx_no", "loop_no", "pos", F.concat("seg_id", F.lit("."), at(0)).alias("_k"), at(1).alias("_v"))
-    value = keyed.select("file_id", "tx_no", "loop_no", "pos", key.alias("_k"), "_v").unionByName(paired).groupBy("file_id", "tx_no", "loop_no", "_k").agg(F.min_by("_v", "pos").alias("_v"))
-    maps = value.groupBy("file_id", "tx_no", "loop_no").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("own"))
-    head = maps.where("loop_no = 0").select("file_id", "tx_no", F.col("own").alias("head"))
-    joined = maps.where("loop_no > 0").join(head, ["file_id", "tx_no"], "left")
-    rest = F.map_filter(F.coalesce("head", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key("own", k))
-    return joined.select("file_id", "tx_no", "loop_no", F.map_concat("own", rest).alias("fields"))
+    """(file_id, tx_no, tx_type, n_segments, declared): every transaction's segments against its SE01.
+
+    ``segs`` are rows of :func:`segments` or, which moves nothing, arrays of :func:`segment_arrays`. A transaction is the slice from one ST to the next.
+    """
+    starts = F.filter(F.transform("segs", lambda s, i: F.when(s["seg_id"] == "ST", i)), lambda i: i.isNotNull())
+    held = _arrays(segs).withColumn("_st", starts)
+    upto = lambda k: F.coalesce(F.get("_st", k + 1), F.size("segs"))
+    slices = F.transform("_st", lambda i, k: F.filter(F.slice("segs", i + 1, upto(k) - i), lambda s: ~s["seg_id"].isin("GS", "GE", "IEA")))
+    each = held.select("file_id", F.posexplode(slices).alias("_k", "_own"))
+    ended = F.filter("_own", lambda s: s["seg_id"] == "SE")
+    said = F.btrim(F.get(F.get(ended, F.lit(0))["elements"], F.lit(0)))
+    kind = F.btrim(F.get(F.get("_own", F.lit(0))["elements"], F.lit(0)))
+    return each.select("file_id", (F.col("_k") + 1).cast("long").alias("tx_no"), kind.alias("tx_type"), F.size("_own").cast("long").alias("n_segments"), said.try_cast("long").alias("declared"))
+
+
+FLAT = "file_id string, tx_no long, loop_no long, line long, fields map<string,string>"
+
+
+def _flat(file_id: str, x: Interchange, record: str | None) -> list[tuple]:
+    out, number = [], 0
+    for g in x.groups:
+        for t in g.transactions:
+            number += 1
+            if t.accepted:
+                found = transaction_records(x, g, t, record)[0]
+                out += [(file_id, number, i, line, fields) for i, (line, fields) in enumerate(found, 1)]
+    return out
+
+
+def _flat_frames(files: Iterator[list[tuple]]) -> Iterator[pd.DataFrame]:
+    """The rows of many files in frames of some thousand: a frame for each file would cost more than its rows."""
+    frame = lambda rows: pd.DataFrame(rows, columns=["file_id", "tx_no", "loop_no", "line", "fields"])
+    held: list[tuple] = []
+    for rows in files:
+        held += rows
+        while len(held) >= 5000:
+            yield frame(held[:5000])
+            held = held[5000:]
+    if held:
+        yield frame(held)
+
+
+def transactions(files: DataFrame, record: str | None = None) -> DataFrame:
+    """(file_id, tx_no, loop_no, line, fields) of the loops of accepted transactions of (file_id, text): the same walk as of single files, and nothing is moved."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        for f in frames:
+            for file_id, text in zip(f["file_id"], f["text"], strict=True):
+                try:
+                    x = parse(text)
+                except X12Error:
+                    continue
+                yield _flat(file_id, x, record)
+
+    return files.select("file_id", "text").mapInPandas(lambda frames: _flat_frames(read(frames)), FLAT)
+
+
+def flattened(segs: DataFrame, record: str | None = None) -> DataFrame:
+    """The rows of :func:`transactions`, from segments."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        for f in frames:
+            for file_id, own in zip(f["file_id"], f["segs"], strict=True):
+                yield _flat(file_id, walked([Segment(int(s["pos"]), s["seg_id"], tuple(s["elements"])) for s in own], "", "", ""), record)
+
+    return _arrays(segs).mapInPandas(lambda frames: _flat_frames(read(frames)), FLAT)

@@ -16,7 +16,7 @@ from .rules import validate
 
 
 def run(records: DataFrame, spec: MappingSpec, schema: TargetSchema, rules: list[Rule], reference: Reference, context: Context, today: datetime.date, columns: list[str] | None = None) -> DataFrame:
-    """Records with typed columns, lineage, violations and status; one plan, no action."""
+    """Records with typed columns, lineage, violations and status, in one plan; only ``unique`` rules act before it, to find the keys that occur again."""
     mapped = map_records(records, spec, schema, context, columns)
     return validate(enrich(mapped, spec.enrich, schema, reference), rules, schema, reference, today)
 

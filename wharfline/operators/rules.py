@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.text import is_blank, plain
+from ..plans.layout import kept
 from ..plans.model import ConfigError, RefCheck, Rule, TargetSchema
 from .enrich import OPERATORS
 from .mapping import PLACEHOLDER, as_text, number, render, violation
@@ -145,15 +146,18 @@ class Compiler:
 
 
 def first_seen(df: DataFrame, r: Rule, schema: TargetSchema, condition: Column | None) -> DataFrame:
-    """Add ``_first_<id>``: the earliest (seq, line) of the row's file with the same key.
+    """Add ``_first_<id>``: the earliest (seq, line) of the row's file with the same key, where the key occurs more than once.
 
-    Counted by a partial aggregate and joined back, so a key that many rows share is not one task's work.
+    Keys that occur again are found first, from the key's fields alone (nothing else of a record is read or mapped for it), by a partial
+    aggregate that no key makes uneven. They are kept as a table, which is small next to the records as a rule; Spark knows its size when it plans the join, and
+    sends it to the records where it is under the session's threshold for broadcasts, so that whole records are moved only beyond it.
     """
     key = render("|".join(f"{{{f}}}" for f in r.fields), schema)
     key = F.upper(key if condition is None else F.when(condition, key))
     df = df.withColumn("_unique", key)
-    seen = df.where("_unique is not null").groupBy(F.col("file_id").alias("_f"), F.col("_unique").alias("_u")).agg(F.min(F.struct("seq", "line")).alias(f"_first_{r.id}"))
-    return df.join(seen, F.col("file_id").eqNullSafe(F.col("_f")) & (F.col("_unique") == F.col("_u")), "left").drop("_f", "_u", "_unique")
+    seen = df.where("_unique is not null").groupBy(F.col("file_id").alias("_f"), F.col("_unique").alias("_u")).agg(F.min(F.struct("seq", "line")).alias(f"_first_{r.id}"), F.count(F.lit(1)).alias("_n"))
+    again = kept(seen.where("_n > 1").drop("_n"))
+    return df.join(again, F.col("file_id").eqNullSafe(F.col("_f")) & (F.col("_unique") == F.col("_u")), "left").drop("_f", "_u", "_unique")
 
 
 def validate(df: DataFrame, rules: list[Rule], schema: TargetSchema, reference: Reference, today: datetime.date) -> DataFrame:
