@@ -384,17 +384,27 @@ def test_perplexity_equals_brute_force(spark):
     half = {r["doc_id"]: r["h"] for r in df.selectExpr("doc_id", f"{quality_kn.HALF} h").collect()}
     order = quality_kn.ORDER
     tables = [_kneser_ney([texts[i].encode() for i in range(5) if half[i] == h], order) for h in (0, 1)]
-    d = {k: _discounts(tables, k) for k in range(1, order + 1)}
+    d = [{k: _discounts([t], k) for k in range(1, order + 1)} for t in tables]  # a half's model has discounts of its own
     out = {r["doc_id"]: r for r in quality_kn.score(df, labels).collect()}
     for i, t in enumerate(texts):
         if not t:
             assert out[i]["perplexity"] is None and out[i]["kept"]
             continue
         b = b"\n" * (order - 1) + t.encode()
-        cost = [-np.log(_probability(tables, 1 - half[i], d, b[j : j + order - 1], b[j + order - 1 : j + order])) for j in range(len(t.encode()))]
+        cost = [-np.log(_probability(tables, 1 - half[i], d[1 - half[i]], b[j : j + order - 1], b[j + order - 1 : j + order])) for j in range(len(t.encode()))]
         assert out[i]["n_symbols"] == len(cost) and abs(np.log(out[i]["perplexity"]) - np.mean(cost)) < 1e-3
 
 
+def test_null_and_empty_language_have_limits_of_their_own(spark):
+    rng = np.random.default_rng(8)
+    text = lambda letters: "".join(rng.choice(list(letters), 300))
+    rows = [(i, text("ab cd") if i % 2 else text("efghijklmnop "), None if i % 2 else "") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = quality_kn.score(df, spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")).collect()
+    limits = {r["lang"]: r["threshold"] for r in out}
+    assert set(limits) == {None, ""} and len({(r["lang"], r["threshold"]) for r in out}) == 2 and limits[None] < limits[""]
+
+
 def test_grams():
     code, at = quality_kn.grams([b"abc", b"", b"\xff"])
     assert at.tolist() == [0, 3, 3, 4] and [int(c) & 0xFF for c in code] == [97, 98, 99, 255] and int(code[2]) == int.from_bytes(b"\n\nabc", "big")

@@ -17,7 +17,7 @@ stops the job otherwise.
 Which texts are the trusted documents' is settled by a join on their ids; before it, a bitmap of hashes of those ids (BITS bits,
 whatever their number) keeps other texts from being moved.
 
-Trusted documents fall into two halves by a hash of their text, each with a model of its own. A document, trusted or not, is
+Trusted documents fall into two halves by a hash of their text, each with a model and discounts of its own. A document, trusted or not, is
 scored by the model of the half that its hash is not in, so that trusted scores are no better than those of new documents.
 
 A document's score is its mean negative log-probability, drawn towards the median of its language by PRIOR bytes, so
@@ -28,7 +28,7 @@ rejected beyond the MOST quantile of the trusted documents. Below FEW trusted do
 bound of these quantiles; only there the limit is twice as far from the median.
 
 Defined results: null and empty texts have no symbols, the score of their language's median and are kept; a null
-language is a language of its own; a language without trusted documents takes the quantiles of all trusted ones;
+language is a language of its own, apart from the empty one; a language without trusted documents takes the quantiles of all trusted ones;
 without any trusted document everything is kept; repeated rows are scored each; an empty table gives an empty
 result. Scores are whole numbers of 1/UNIT nats, so sums do not depend on their order.
 """
@@ -235,15 +235,15 @@ def model(counts: DataFrame) -> DataFrame:
     out = None
     table = counts
     for order in range(ORDER, 0, -1):
-        stat = table.agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
+        half = F.col("gram").bitwiseAND(1 << HALF_AT)
+        stat = table.groupBy(half.alias("_half")).agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
         y = F.col("c1") / F.greatest(F.col("c1") + 2 * F.col("c2"), F.lit(1.0))
         over = lambda i: F.least(F.lit(float(i)), F.greatest(F.lit(0.1), i - (i + 1) * y * F.col(f"c{i + 1}") / F.greatest(F.col(f"c{i}"), F.lit(1.0))))
-        discounts = stat.select(*[over(i).alias(f"d{i}") for i in (1, 2, 3)])
-        half = F.col("gram").bitwiseAND(1 << HALF_AT)
+        discounts = stat.select("_half", *[over(i).alias(f"d{i}") for i in (1, 2, 3)])
         own = F.col("gram") - half
         shard = table.select("gram", "n", half.bitwiseOR(F.shiftright(own, 8)).bitwiseOR((order - 1) << ORDER_AT).alias("context"))
         per = shard.groupBy("context").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
-        per = per.join(F.broadcast(discounts))  # one row
+        per = per.join(F.broadcast(discounts), F.col("context").bitwiseAND(1 << HALF_AT) == F.col("_half"))  # a row for each half
         back = per.select("context", ((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")).alias("back"))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         share = shard.join(per.select("context", "total", "d1", "d2", "d3"), "context").select(F.col("gram").bitwiseOR(order << ORDER_AT).alias("gram"), ((F.col("n") - cut) / F.col("total")).alias("share"), F.lit(None).cast("double").alias("back"))
@@ -361,7 +361,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark: SparkSession = docs.sparkSession
     ship(spark)
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_trusted")).where("_trusted is not null").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shares = max(1, -(-size // (BLOCK * max(1, rows.rdd.getNumPartitions()))))
     rows = rows.select("id", "lang", "text", F.expr(HALF).alias("half"), F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(shares)).alias("sub"))
@@ -371,8 +371,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mean = of.where("good and n > 0").withColumn("step", F.rint(F.col("cost") * F.lit(STEP / UNIT) / F.col("n")).cast("long"))
     # tables of a few rows, written so that plans stay small
     middle = materialise(quantiles(mean, "step", {"median": 0.5}).drop("rows"), "medians")
-    near = lambda df, q: df.join(F.broadcast(q.where("lang is not null").withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left").drop("_lang")  # noqa: E731  one row for each language
-    whole = lambda q: F.broadcast(q.where("lang is null").drop("lang").select([F.col(c).alias(f"all_{c}") for c in q.columns if c != "lang"]))  # noqa: E731  one row
+    near = lambda df, q: df.join(F.broadcast(q.where("not every").drop("every").withColumnRenamed("lang", "_lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")  # noqa: E731  one row for each language
+    whole = lambda q: F.broadcast(q.where("every").select([F.col(c).alias(f"all_{c}") for c in q.columns if c not in ("lang", "every")]))  # noqa: E731  one row
     drawn = near(of, middle).join(whole(middle), how="left").withColumn("median", F.coalesce("median", "all_median", F.lit(0.0)))
     drawn = drawn.withColumn("score", F.rint((F.col("cost") * F.lit(STEP / UNIT) + PRIOR * F.col("median")) / (F.col("n") + PRIOR)).cast("long")).drop("all_median")
     drawn = materialise(drawn, "drawn")
@@ -390,20 +390,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quantiles(df: DataFrame, value: str, of: dict[str, float]) -> DataFrame:
-    """Exact quantiles of whole numbers for each language, and for all rows where lang is null; from counts by value."""
+    """(lang, every, rows, quantiles): exact quantiles of whole numbers for each language, null among them, and for all rows where ``every``; from counts by value."""
     counts = df.groupBy("lang", value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.unionByName(counts.groupBy(value).agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy(value))
-    total = F.sum("n").over(Window.partitionBy("lang"))
-    seen = counts.select("lang", value, upto.alias("upto"), total.alias("total"))
-    return seen.groupBy("lang").agg(F.max("total").alias("rows"), *[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col(value))).cast("double").alias(name) for name, q in of.items()])
+    together = counts.groupBy(value).agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), value, "n", F.lit(True).alias("every"))
+    counts = counts.withColumn("every", F.lit(False)).unionByName(together)
+    by = Window.partitionBy("lang", "every")
+    seen = counts.select("lang", "every", value, F.sum("n").over(by.orderBy(value)).alias("upto"), F.sum("n").over(by).alias("total"))
+    return seen.groupBy("lang", "every").agg(F.max("total").alias("rows"), *[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col(value))).cast("double").alias(name) for name, q in of.items()])
 
 
 def bounds(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
     """The quantile ``q`` for each language; with fewer than FEW rows, where no quantile bounds it, twice as far from the median."""
     seen = quantiles(df, value, {"mid": 0.5, "top": q})
     few = F.when(F.col("rows") < FEW, F.col("top") - F.col("mid")).otherwise(0.0)
-    return seen.select("lang", (F.col("top") + few).alias(name))
+    return seen.select("lang", "every", (F.col("top") + few).alias(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
