@@ -663,9 +663,7 @@ def test_shared_headers_do_not_fill_pages(spark, num):
         common = rng.integers(0, 1 << 63, 57).astype(np.uint64) * np.uint64(2)
         sets = [np.unique(np.append(common, rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))) for _ in range(n)]
         which, need, keys, at = ngram_join.group_keys(sets, num, 100)
-        raw = keys.tobytes()
-        entries = spark.createDataFrame([(raw[8 * i : 8 * j],) for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)], "keys binary")
-        kept = ngram_join.chosen(need, keys, at, ngram_join.popularity(keys, ngram_join.popular(entries)))
+        kept = ngram_join.chosen(need, keys, at, ngram_join.popularity(keys, ngram_join.popular(spark.createDataFrame(ngram_join.counted(keys)))))
         pages = Counter(keys[kept].tolist())
         assert (np.bincount(np.repeat(np.arange(len(need)), np.diff(at))[kept]) == need).all()
         found.append(sum(m * (m - 1) // 2 for m in pages.values()))

@@ -264,16 +264,22 @@ def page_keys(sets: list[np.ndarray], ids: np.ndarray, num: int, den: int) -> tu
     return keys[kept].view(np.int64), ids[np.repeat(which, np.diff(at))[kept]]
 
 
-def popular(entries: DataFrame) -> list[np.ndarray]:
-    """A bitmap of hashed keys for each level of popularity, from the entries (keys): 8 MB each, whatever the number of documents."""
+def places(keys: np.ndarray) -> np.ndarray:
+    """The 32 bits of each key by which its popularity is counted."""
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"key": np.frombuffer(b"".join(f["keys"]), np.int64)})
 
-    counts = entries.select("keys").mapInPandas(flat, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > POPULAR[0])
-    bit = F.pmod("key", F.lit(BITS)) + 1
-    held = counts.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"), F.explode(F.array(*[F.when(F.col("n") > n, i) for i, n in enumerate(POPULAR)])).alias("level")).where("level is not null")
+def counted(keys: np.ndarray) -> pd.DataFrame:
+    """(place, n) of some keys."""
+    place, n = np.unique(places(keys), return_counts=True)
+    return pd.DataFrame({"place": place, "n": n.astype(np.int32)})
+
+
+def popular(counts: DataFrame) -> list[np.ndarray]:
+    """A bitmap of places for each level of popularity, from the counts (place, n) of all keys: 8 MB each, whatever the number of documents."""
+    many = counts.groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") > POPULAR[0])
+    bit = F.pmod("place", F.lit(BITS)).cast("long") + 1
+    held = many.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"), F.explode(F.array(*[F.when(F.col("n") > n, i) for i, n in enumerate(POPULAR)])).alias("level")).where("level is not null")
     out = [np.zeros(BITS // 8, np.uint8) for _ in POPULAR]
     for r in held.groupBy("level", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -283,9 +289,9 @@ def popular(entries: DataFrame) -> list[np.ndarray]:
 
 
 def popularity(keys: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
-    """How popular each key may be. A key that shares its bit with a popular one counts as popular for every document alike, so no link is lost by it."""
-    bit = keys.view(np.uint64) & np.uint64(BITS - 1)
-    byte, shift = (bit >> np.uint64(3)).astype(np.int64), (bit & np.uint64(7)).astype(np.uint8)
+    """How popular each key may be. A key that shares its place or bit with others counts as popular as they are together, for every document alike, so no link is lost by it."""
+    bit = places(keys).view(np.uint32) & np.uint32(BITS - 1)
+    byte, shift = (bit >> np.uint32(3)).astype(np.int64), (bit & np.uint32(7)).astype(np.uint8)
     return sum(((b[byte] >> shift) & 1 for b in bitmaps), np.zeros(len(keys), np.uint8)).astype(np.int8)
 
 
@@ -388,11 +394,13 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                 "digest": [word_digest(t) for t in texts], "point": [point(s).tobytes() for s in sets],
             })
 
-    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in windows(frames):
-            which, need, key, at = group_keys(shingle_sets(f["text"].tolist(), k), num, den)
-            raw = key.tobytes()
-            yield pd.DataFrame({"id": f["id"].to_numpy(np.int64)[which], "need": need, "keys": [raw[8 * i : 8 * j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]})
+            yield f["id"].to_numpy(np.int64), *group_keys(shingle_sets(f["text"].tolist(), k), num, den)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, _, keys, _ in keyed(frames):
+            yield counted(keys)
 
     described = materialise(source.mapInPandas(describe, "id long, n long, digest binary, point binary"), "points")
     live = described.where("id is not null and n > 0")
@@ -402,20 +410,16 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     shape = live.groupBy("id").agg(F.max("n").alias("n"), F.max_by("point", "n").alias("point"))
 
     known = source.where("id is not null")
-    entries = materialise(known.mapInPandas(enter, "id long, need long, keys binary"), "entries")
-    bitmaps = spark.sparkContext.broadcast(popular(entries))
+    bitmaps = spark.sparkContext.broadcast(popular(known.mapInPandas(count, "place int, n int")))
 
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            raw = f["keys"].tolist()
-            keys, at = np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw], dtype=np.int64)])
-            need, name = f["need"].to_numpy(np.int64), f["id"].to_numpy(np.int64)
+    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, which, need, keys, at in keyed(frames):
             kept = chosen(need, keys, at, popularity(keys, bitmaps.value))
-            key, name = keys[kept].view(np.int64), np.repeat(name, np.diff(at))[kept]
+            key, name = keys[kept].view(np.int64), np.repeat(name[which], np.diff(at))[kept]
             for i in range(0, len(key), 200_000):
                 yield pd.DataFrame({"key": key[i : i + 200_000], "id": name[i : i + 200_000]})
 
-    paged = entries.mapInPandas(choose, "key long, id long").repartition(partitions(spark), "key").sortWithinPartitions("key", "id")
+    paged = known.mapInPandas(enter, "key long, id long").repartition(partitions(spark), "key").sortWithinPartitions("key", "id")
     starred = materialise(paged.mapInPandas(stars, "key long, a long, b long"), "stars")
 
     # exact copies stand for one another from here on
