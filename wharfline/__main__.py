@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import datetime
+import itertools
 import sys
 from pathlib import Path
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .operators import edi, pipeline, suggest
 from .operators.reference import TEMPLATES, Reference
 from .plans import model
-from .plans.layout import spread
+from .plans.layout import kept, spread
 from .plans.transforms import Context
 from .ship import ship
 from .sources import reader
@@ -97,19 +98,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if o.record:
             options = dataclasses.replace(options, record_segment=o.record, record_element=o.record)
         files = reader.binary_files(spark, o.path)
-        records = reader.read_files(files, options)
-        profiled = suggest.profile(records)
-        for r in reader.read_meta(files, options).orderBy("file_id").toLocalIterator():
-            profiles = suggest.collect_profiles(profiled.where(F.col("file_id") == r["file_id"]), list(r["columns"] or []))
-            report = suggest.suggest(schema, profiles, o.locale)
-            print(f"{r['file_id']}: format {r['format']}, columns {list(r['columns'] or [])}")
-            for x in report.suggestions:
-                print(f"  {x.target:<14} <- {' + '.join(x.sources) or '-':<40} {x.confidence:.2f} {x.band:<6} {'[' + x.transform + ']' if x.transform else ''}".rstrip())
-            print(f"  unused columns: {report.unused}\n  missing required: {report.missing}")
+        meta = reader.read_meta(files, options)
+        reports = kept(suggest.suggest_files(suggest.profile(reader.read_files(files, options)), meta, schema, o.locale).join(meta.select("file_id", "format", "columns"), "file_id"))
+        place = {f.name: i for i, f in enumerate(schema.fields)}
+        turn = F.try_element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col("target"))
+        last = None
+        for x in itertools.chain(reports.orderBy("file_id", turn).toLocalIterator(), [None]):
+            if last is not None and (x is None or x["file_id"] != last["file_id"]):
+                print(f"  unused columns: {list(last['unused'])}\n  missing required: {list(last['missing'])}")
+            if x is not None and (last is None or x["file_id"] != last["file_id"]):
+                print(f"{x['file_id']}: format {x['format']}, columns {list(x['columns'] or [])}")
+            if x is not None:
+                print(f"  {x['target']:<14} <- {' + '.join(x['sources']) or '-':<40} {x['confidence']:.2f} {x['band']:<6} {'[' + x['transform'] + ']' if x['transform'] else ''}".rstrip())
+            last = x
     else:
-        for r in reader.binary_files(spark, o.path).orderBy("file_id").toLocalIterator():
-            interchange = edi.parse(bytes(r["content"]).decode("utf-8"))
-            print(edi.acknowledge(interchange, 1, 1, datetime.datetime.now()), end="")
+        texts = reader.binary_files(spark, o.path).select("file_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+        for r in edi.acknowledge_files(texts).orderBy("interchange").toLocalIterator():
+            print(r["ack"] or f"{r['file_id']}: no interchange", end="")
     return 0
 
 

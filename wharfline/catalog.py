@@ -10,6 +10,7 @@ import datetime
 from collections.abc import Callable
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +23,7 @@ from .plans import model
 from .plans.layout import kept, spread, work_folder
 from .plans.transforms import Context, Value, apply_transform
 from .ship import ship
-from .sources import reader, splits
+from .sources import parsers, reader, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -774,9 +775,22 @@ def consume_open_qty(spark, sf_dir):
 
 # ---- profiling
 
-@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'INTEGER,DECIMAL,AMOUNT' WHEN 1 THEN 'CURRENCY' WHEN 2 THEN 'UOM' WHEN 3 THEN 'DATE' ELSE 'EMAIL' END AS kinds FROM customer""")
+#: (a value's shape with the key in it, its kinds): one for each kind, and values of several.
+_KIND_SHAPES = [
+    ("{k}", "INTEGER,DECIMAL,AMOUNT"), ("usd", "CURRENCY"), ("Ctn", "UOM"), ("2024-02-29", "DATE"), ("a{k}@x.org", "EMAIL"), ("27AAPFU0939F1ZV", "GSTIN"), ("{k}.25", "DECIMAL,AMOUNT"), ("Rs. {k}", "AMOUNT"),
+    ("+91 98765 43210", "PHONE"), ("AB-{k}", "CODE"), ("plain words", "TEXT"), (" n/a ", "BLANK"), ("", "BLANK"), ("2 L", "AMOUNT"),
+]
+
+
+def _shape(text: str) -> str:
+    return "'" + text.replace("{k}", "' || c_custkey || '") + "'"
+
+
+@query(f"""SELECT c_custkey, [{", ".join(repr(k) for _, k in _KIND_SHAPES)}][c_custkey % {len(_KIND_SHAPES)} + 1] AS kinds FROM customer""")
 def value_kinds(spark, sf_dir):
-    v = F.element_at(F.array(F.col("c_custkey").cast("string"), F.lit("usd"), F.lit("Ctn"), F.lit("2024-02-29"), F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@x.org"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    key = F.col("c_custkey").cast("string")
+    shown = F.array(*[F.concat(*[x for i, part in enumerate(t.split("{k}")) for x in ([key] if i else []) + [F.lit(part)]]) for t, _ in _KIND_SHAPES])
+    v = F.element_at(shown, (F.col("c_custkey") % len(_KIND_SHAPES) + 1).cast("int"))
     return _t(spark, sf_dir, "customer").select("c_custkey", F.array_join(suggest.classify(v), ",").alias("kinds"))
 
 
@@ -974,7 +988,64 @@ def xml_records(spark, sf_dir):
     return reader.read_files(_as_files(docs, ".xml"), model.ReaderOptions(record_element="Item")).select("file_id", f["@no"].alias("number"), f["Party/Name"].alias("name"), f["Head/@region"].alias("region"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS file_id, 'X12' AS format FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+#: (file name, text with the key in it, format), one for each branch of the decision.
+_SNIFFED = [
+    ("a{k}.bin", "PK\x03\x04 {k}", "XLSX"), ("a{k}.txt", "ISA*00*{k}", "X12"), ("a{k}.csv", " \n<doc n='{k}'/>", "XML"), ("a{k}", '{{"k": {k}}}', "JSON"), ("a{k}", "[{k}]", "JSON"), ("a{k}.EDI", "{k}", "X12"), ("a{k}.850", "{k}", "X12"),
+    ("a{k}.xlsm", "{k}", "XLSX"), ("a{k}.json", "{k}", "JSON"), ("a{k}.dat", "\n".join(f"H{i:04d}  A{{k}}   a line of fixed width    {i}" for i in range(5)), "FIXED_WIDTH"), ("a{k}.dat", "\n".join(f"H{i},  {{k}},  a line with a delimiter   ,{i}" for i in range(5)), "CSV"),
+    ("a{k}.dat", "H1  {k}  only two lines of fixed width\nH2  {k}  only two lines of fixed width", "CSV"), ("a{k}.dat", " \n ", "UNKNOWN"), ("a{k}.txt", "k;v\n{k};1", "CSV"), ("a{k}.xml", "\ufeff{{}}{k}", "JSON"),
+]
+
+
+@query(f"""SELECT c_custkey, [{", ".join(repr(f) for _, _, f in _SNIFFED)}][c_custkey % {len(_SNIFFED)} + 1] AS format FROM customer""")
 def format_sniff(spark, sf_dir):
-    return _as_files(x12_documents(spark, sf_dir), ".txt").select("file_id", reader.sniff_format(F.col("file_name"), F.col("content")).alias("format"))
+    """The format of small files of every kind, told natively and, which must agree, by the parser of single files."""
+    @F.pandas_udf("string")
+    def by_parser(name: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series([parsers.sniff(n, bytes(c)) for n, c in zip(name, content, strict=True)])
+
+    key = F.col("c_custkey").cast("string")
+    made = lambda t: F.concat(*[x for i, part in enumerate(t.replace("{{", "{").replace("}}", "}").split("{k}")) for x in ([key] if i else []) + [F.lit(part)]])
+    at = (F.col("c_custkey") % len(_SNIFFED) + 1).cast("int")
+    files = _t(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*[made(n) for n, _, _ in _SNIFFED]), at).alias("n"), F.encode(F.element_at(F.array(*[made(t) for _, t, _ in _SNIFFED]), at), "UTF-8").alias("c"))
+    told = files.select("c_custkey", reader.sniff_format(F.col("n"), F.col("c")).alias("format"), by_parser("n", "c").alias("plain"))
+    return told.select("c_custkey", F.when(F.col("format") == F.col("plain"), F.col("format")).otherwise(F.concat_ws(" or ", "format", "plain")).alias("format"))
+
+
+#: Layouts of the heading of a table, by the key's rest by 6: (lines above the records, explicit header row, names of the columns).
+_HEADINGS = [
+    ("Item No,Name,Qty", None, "Item No,Name,Qty"), ("Stock of the day\n\nItem No.,  Name :,Qty", None, "Item No,Name,Qty"), ("Order,,Rate\nItem No,Name,Amount", None, "Order Item No,Order Name,Rate Amount"),
+    ("Item No,Name,Name", None, "Item No,Name,Name (2)"), ("Code,Title,Pieces\nItem No,Name,Qty", 2, "Item No,Name,Qty"), ("", None, "column_1,column_2,column_3"),
+]
+
 
+@query(f"""WITH c AS (SELECT *, c_custkey % {len(_HEADINGS)} AS h FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS file_id, [{", ".join(str(len(h.split(chr(10))) if h else 0) for h, _, _ in _HEADINGS)}][h + 1] + i AS line, string_split([{", ".join(repr(n) for _, _, n in _HEADINGS)}][h + 1], ',')[1] AS first_name,
+ string_split([{", ".join(repr(n) for _, _, n in _HEADINGS)}][h + 1], ',')[3] AS last_name, i || '7' AS first_value, CAST(c_custkey AS VARCHAR) AS last_value FROM c, (SELECT unnest([1, 2, 3, 4]) AS i)""")
+def table_headings(spark, sf_dir):
+    """Headings of six layouts: plain, below a preamble, over two rows, with repeated names, at a given row, none."""
+    key = F.col("c_custkey").cast("string")
+    rows = F.concat(*[F.concat(F.lit(f"{i}7,word {i},"), key, F.lit("\n")) for i in range(1, 5)])
+    layout = F.col("c_custkey") % len(_HEADINGS)
+    top = F.element_at(F.array(*[F.lit(h + "\n" if h else "") for h, _, _ in _HEADINGS]), (layout + 1).cast("int"))
+    files = _t(spark, sf_dir, "customer").select(key.alias("file_id"), layout.alias("h"), F.concat(top, rows).alias("text"))
+    out = None
+    for row in dict.fromkeys(r for _, r, _ in _HEADINGS):
+        own = files.where(F.col("h").isin([i for i, (_, r, _) in enumerate(_HEADINGS) if r == row]))
+        part = reader.read_files(_as_files(own, ".csv"), model.ReaderOptions(header_row=row), "CSV")
+        out = part if out is None else out.unionByName(part)
+    at = lambda i: F.element_at("columns", i)
+    return out.select("file_id", "line", at(1).alias("first_name"), at(3).alias("last_name"), F.col("fields")[at(1)].alias("first_value"), F.col("fields")[at(3)].alias("last_value"))
+
+
+@query(f"""WITH c AS (SELECT *, [',', '|', chr(9), ';'][c_custkey % 4 + 1] AS d FROM customer)
+SELECT c_custkey, d AS delimiter FROM c""")
+def delimiter_sniff(spark, sf_dir):
+    """The delimiter of small files in which the others occur too, within quotes and out of them."""
+    @F.pandas_udf("string")
+    def sniffed(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: parsers.sniff_delimiter(t.splitlines()))
+
+    d, key = F.element_at(F.array(*[F.lit(x) for x in (",", "|", "\t", ";")]), (F.col("c_custkey") % 4 + 1).cast("int")), F.col("c_custkey").cast("string")
+    row = lambda *cells: F.call_function("concat_ws", d, *cells)
+    lines = [row(F.lit("no"), F.lit('"a,b;c|d"'), F.lit("n")), *[row(key, F.lit(f'"x{",;|"[i]}y"'), F.lit(str(i) + (" and more" if i == 1 else ""))) for i in range(3)]]
+    return _t(spark, sf_dir, "customer").select("c_custkey", sniffed(F.concat_ws("\n", *lines)).alias("delimiter"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.layout import kept
+
 # Fixed values of the format.
 SUPPORTED = {"810", "850"}
 QUALIFIED = {"N1", "NM1", "REF", "DTM", "PER", "AMT", "CUR", "TXI", "SAC", "N9", "QTY"}
@@ -280,6 +282,47 @@ def acknowledge(x: Interchange, interchange_control: int, group_control: int, no
 
 # ---- over many files
 
+#: The first control numbers of acknowledgments; fixed values.
+FIRST_INTERCHANGE, FIRST_GROUP = 1000, 500
+ACKS = "file_id string, interchange long, group_control long, ack string"
+
+
+def acknowledge_files(files: DataFrame, acks: DataFrame | None = None, now: datetime.datetime | None = None) -> DataFrame:
+    """(file_id, interchange, group_control, ack) of (file_id, text): the 997 of each interchange, with control numbers that leave no gap.
+
+    ``acks`` are those of earlier runs: a file among them keeps its numbers, so a batch that is tried again says the same; others are numbered on from the highest, in
+    the order of their ids. Ranges of ids are sorted apart and each is moved by the number of those before it. Files that are no interchange have no acknowledgment and take no number.
+    """
+    spark, now = files.sparkSession, now or datetime.datetime.now()
+    acks = spark.createDataFrame([], ACKS) if acks is None else acks
+    top = acks.agg(F.max("interchange").alias("i"), F.max("group_control").alias("g")).first()
+    first = [FIRST_INTERCHANGE if top["i"] is None else top["i"] + 1, FIRST_GROUP if top["g"] is None else top["g"] + 1]
+    body = F.ltrim(F.regexp_replace("text", "^\ufeff", ""))
+    whole = files.where(body.startswith("ISA")).select("file_id", "text")
+    ids = whole.select("file_id").distinct().join(acks.select("file_id"), "file_id", "left_anti")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = ids.repartitionByRange(ranges, "file_id").sortWithinPartitions("file_id").withColumn("_at", F.monotonically_increasing_id())
+    at = kept(at.select("file_id", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place")))
+    starts, upto = {}, 0
+    for r in sorted(at.groupBy("_range").count().collect()):  # a row for each range
+        starts[r["_range"]], upto = upto, upto + r["count"]
+    moved = F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]) if starts else F.create_map().cast("map<bigint,bigint>")
+    place = F.col("_place") + F.try_element_at(moved, F.col("_range"))
+    fresh = at.select("file_id", (place + first[0]).alias("interchange"), (place + first[1]).alias("group_control"))
+    numbers = fresh.unionByName(acks.select("file_id", "interchange", "group_control"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for file_id, text, i, g in f[["file_id", "text", "interchange", "group_control"]].itertuples(index=False):
+                try:
+                    rows.append((file_id, i, g, acknowledge(parse(text), int(i), int(g), now)))
+                except X12Error:
+                    rows.append((file_id, i, g, None))
+            yield pd.DataFrame(rows, columns=["file_id", "interchange", "group_control", "ack"])
+
+    return whole.join(numbers, "file_id").mapInPandas(run, ACKS)
+
 def segment_arrays(files: DataFrame, text: str = "text") -> DataFrame:
     """(file_id, segs array of (pos, seg_id, elements)) of all files: the delimiters come from each file's first segment."""
     body = F.ltrim(F.regexp_replace(F.col(text), "^\ufeff", ""))

@@ -17,18 +17,19 @@ from .rules import validate
 
 
 def receive(files: DataFrame, jobs: DataFrame) -> DataFrame:
-    """New files only: the first of each (partner_id, sha256) that no job has, whatever became of that job."""
+    """New files only: the first of each (partner_id, sha256) that no job has, whatever became of that job.
+
+    Where files have an id, only ids are compared and the first one's content is joined back.
+    """
     fresh = files.withColumn("sha256", F.sha2("content", 256)).join(jobs.select("partner_id", "sha256"), ["partner_id", "sha256"], "left_anti")
-    keep = F.min_by(F.struct(*[c for c in fresh.columns if c not in ("partner_id", "sha256")]), F.struct("received_at", "file_name"))
+    order = F.struct("received_at", "file_name")
+    if "file_id" in fresh.columns:
+        first = fresh.groupBy("partner_id", "sha256").agg(F.min_by("file_id", order).alias("file_id"))
+        return fresh.join(first, ["partner_id", "sha256", "file_id"])
+    keep = F.min_by(F.struct(*[c for c in fresh.columns if c not in ("partner_id", "sha256")]), order)
     return fresh.groupBy("partner_id", "sha256").agg(keep.alias("_f")).select("partner_id", "sha256", "_f.*")
 
 
-def duplicates(files: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Files whose bytes a job already has, with that job's id."""
-    known = jobs.select("partner_id", "sha256", "job_id")
-    return files.withColumn("sha256", F.sha2("content", 256)).join(known, ["partner_id", "sha256"])
-
-
 def partner_of(path: Column, root: str) -> Column:
     """The first folder below the inbox, upper-cased."""
     return F.upper(F.element_at(F.split(F.regexp_replace(path, rf"^.*\Q{root.strip('/')}\E/", ""), "/"), 1))
@@ -106,7 +107,9 @@ def fix(
 
 
 def audit_of(edits: DataFrame, action: str, actor: str, at: datetime.datetime) -> DataFrame:
-    return edits.select("record_id", F.lit(action).alias("action"), F.lit(actor).alias("actor"), F.lit(at).alias("at"), F.to_json(F.struct("*")).alias("detail"))
+    """(audit_id, record_id, action, actor, at, detail): a row for each edit; the id is the digest of the rest, so a step that is tried again writes the same row."""
+    made = edits.select("record_id", F.lit(action).alias("action"), F.lit(actor).alias("actor"), F.lit(at).alias("at"), F.to_json(F.struct("*")).alias("detail"))
+    return made.select(F.sha2(F.concat_ws("|", *made.columns), 256).alias("audit_id"), *made.columns)
 
 
 def dismiss(records: DataFrame, ids: DataFrame) -> DataFrame:
@@ -121,3 +124,19 @@ def replay(records: DataFrame, ids: DataFrame) -> DataFrame:
     again = F.col("_hit") & (F.col("status") == "DEAD_LETTER")
     fresh = F.when(F.coalesce(F.size("violations"), F.lit(0)) > 0, "WARNING").otherwise("VALID")
     return marked.withColumn("status", F.when(again, fresh).otherwise(F.col("status"))).drop("_hit")
+
+
+def recount_touched(jobs: DataFrame, records: DataFrame, touched: DataFrame) -> DataFrame:
+    """Jobs with the counts of those taken anew that have a record of ``touched``; only these jobs' records are read."""
+    own = records.join(touched.select("record_id").distinct(), "record_id", "left_semi").select("job_id").distinct()
+    of = jobs.join(own, "job_id", "left_semi")
+    return recount(of, records.join(own, "job_id", "left_semi")).select(*jobs.columns).unionByName(jobs.join(own, "job_id", "left_anti"))
+
+
+def transition(records: DataFrame, jobs: DataFrame, audit: DataFrame, after: DataFrame, touched: DataFrame, action: str, actor: str, at: datetime.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, jobs, audit) once ``after`` (of :func:`fix`, :func:`dismiss`, :func:`replay`) holds: its rows replace those of the same id, an audit row is
+    written for each row of ``touched`` and the jobs concerned are counted anew."""
+    names = [c for c in records.columns if c in after.columns]
+    rest = records.join(after.select("record_id").distinct(), "record_id", "left_anti")
+    now = rest.select(*names).unionByName(after.select(*names))
+    return now, recount_touched(jobs, now, touched), audit.unionByName(audit_of(touched, action, actor, at))

@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import recount_touched
+
 MAX_ATTEMPTS, BATCH, POSTPONE_S = 5, 50, 5
 
 
@@ -149,3 +151,16 @@ def deliver_due(
     keys = remember_delivered(keys, sent)
     po_lines = consume_open_quantity(po_lines, sent.where("schema = 'invoice-line'"))
     return postpone(after_failure(after_success(outbox, ids(done)), ids(failed), now), ids(held), now), keys, po_lines, len(done)
+
+
+def deliver_jobs(
+    outbox: DataFrame, keys: DataFrame, po_lines: DataFrame, jobs_table: DataFrame, now: Column, send: Callable[[str, list[str], str], None], breaker: CircuitBreaker, limit: int = BATCH
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(outbox, delivered keys, order lines, jobs, events) after one batch, as :func:`deliver_due`; jobs with a record of the batch are counted anew, and an event tells what became of each record."""
+    batch = claim(outbox, now, limit).select("record_id", "status").collect()  # a batch at most
+    after, keys, po_lines, _ = deliver_due(outbox, keys, po_lines, now, send, breaker, limit)
+    kind = outbox.schema["record_id"].dataType.simpleString()
+    touched = outbox.sparkSession.createDataFrame([(r["record_id"], r["status"]) for r in batch], f"record_id {kind}, was string")
+    said = F.when(F.col("status") == "DELIVERED", "DELIVERED").when(F.col("status") == "DEAD_LETTER", "DEAD_LETTER").otherwise("RETRY")
+    events = after.join(touched, "record_id").select("record_id", "job_id", said.alias("event"), now.alias("at"))
+    return after, keys, po_lines, recount_touched(jobs_table, after, touched), events

@@ -54,8 +54,3 @@ def delivered_payload(outcomes: DataFrame, schema: TargetSchema) -> Column:
     """The values with the record's id, its partner and the messages of its warnings."""
     warnings = F.transform(F.filter("violations", lambda v: v["severity"] == "WARNING"), lambda v: v["message"])
     return F.to_json(F.struct(*[F.col(f.name) for f in schema.fields], F.col("record_id").alias("_recordId"), F.col("partner_id").alias("_partner"), warnings.alias("_warnings")))
-
-
-def write_records(outcomes: DataFrame, path: str) -> None:
-    """Append outcomes partitioned by status, so that the outbox and the exceptions queue read only their part."""
-    outcomes.write.mode("append").partitionBy("status").parquet(path)

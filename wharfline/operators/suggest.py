@@ -1,6 +1,7 @@
 """Profiles of unknown columns and suggestions for mapping them.
 
-Profiling and scoring run in Spark; the greedy assignment works on at most (fields x columns) candidates on the driver.
+Profiling and scoring run in Spark; the greedy assignment works on at most (fields x columns) candidates of a file, on the driver for one file and in a
+task for each of many (:func:`suggest_files`).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codes, dates
-from ..functions.text import clean, let, looks_like_date, looks_numeric, mask_pii
+from ..functions.text import clean, let, looks_like_date, looks_numeric
 from ..plans.model import TargetField, TargetSchema
 from .mapping import normal
 
@@ -37,10 +38,12 @@ X12_MEANINGS = {
     "DTM.002.02": "requested delivery date", "DTM.011.02": "ship date", "TXI.ST.02": "sales tax amount", "TXI.GS.02": "gst tax amount",
     "ISA06": "sender id", "GS02": "sender code",
 }
-UOM_CODES = (
-    "EA EACH PCS PC PIECE PIECES NOS NO UNIT UNITS KG KGS KILOGRAM BOX BOXES BX CS CASE CASES CT CTN CARTON PK PACK PKT SET DZ DOZEN M MTR METER METRE "
-    "RL ROLL ROLLS PR PAIR L LTR LB LBS BAG BAGS BG BD BUNDLE"
-).split()
+#: Units of measure; fixed values.
+UOM_CODES = [
+    "EA", "EACH", "PCS", "PC", "PIECE", "PIECES", "NOS", "NO", "UNIT", "UNITS", "KG", "KGS", "KILOGRAM", "BOX", "BOXES", "BX", "CS", "CASE", "CASES",
+    "CT", "CTN", "CARTON", "PK", "PACK", "PKT", "SET", "DZ", "DOZEN", "M", "MTR", "METER", "METRE", "RL", "ROLL", "ROLLS", "PR", "PAIR", "L", "LTR",
+    "LB", "LBS", "BAG", "BAGS", "BG", "BD", "BUNDLE",
+]
 CURRENCY_CODES = ["USD", "INR", "EUR", "GBP", "$", "₹", "RS", "RS.", "US$"]
 KINDS = ["BLANK", "GSTIN", "DATE", "AMOUNT", "DECIMAL", "INTEGER", "CURRENCY", "UOM", "CODE", "TEXT", "EMAIL", "PHONE"]
 NAME_WEIGHT, FIT_WEIGHT, MIN_SCORE, MIN_NAME, SAMPLE = 0.6, 0.4, 0.35, 0.3, 200
@@ -299,7 +302,7 @@ def draft_spec(report: Report, partner_id: str, schema: TargetSchema, constants:
 
 
 def _masked(text: str) -> str:
-    """The driver's twin of :func:`mask_pii`, for the few samples of a profile."""
+    """The driver's twin of :func:`.text.mask_pii`, for the few samples of a profile."""
     return re.sub(r"\d", "9", re.sub(r"\b\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b", "[GSTIN]", text, flags=re.ASCII), flags=re.ASCII)
 
 
@@ -321,5 +324,21 @@ def report_table(spark: SparkSession, report: Report) -> DataFrame:
     return spark.createDataFrame(rows, "target string, sources array<string>, join string, confidence double, transform string, reasons array<string>, band string")
 
 
-def masked_samples(profiled: DataFrame) -> DataFrame:
-    return profiled.select("file_id", "column", F.transform("samples", mask_pii).alias("samples"))
+REPORTS = "file_id string, target string, sources array<string>, join string, confidence double, transform string, reasons array<string>, band string, unused array<string>, missing array<string>"
+
+
+def suggest_files(profiled: DataFrame, columns: DataFrame, schema: TargetSchema, locale: str = "US") -> DataFrame:
+    """The suggestions of :func:`suggest` for many files, in one plan: a row for each file and field, with the file's unused columns and missing fields.
+
+    ``profiled`` is of :func:`profile` and ``columns`` has (file_id, columns), the order of each file's columns; a task holds the profile of a file, one row for each column.
+    """
+
+    def report(f: pd.DataFrame) -> pd.DataFrame:
+        rows = {r.column: r for r in f.itertuples()}
+        order = [c for c in (f["columns"].iloc[0] if f["columns"].iloc[0] is not None else []) if c in rows]
+        found = suggest(schema, [Profile(c, int(rows[c].filled), list(rows[c].samples), dict(rows[c].shares), list(rows[c].patterns)) for c in order], locale)
+        made = [asdict(s) | {"band": s.band, "unused": found.unused, "missing": found.missing} for s in found.suggestions]
+        return pd.DataFrame(made, columns=["target", "sources", "join", "confidence", "transform", "reasons", "band", "unused", "missing"]).assign(file_id=f["file_id"].iloc[0])
+
+    met = profiled.join(columns.select("file_id", "columns"), "file_id")
+    return met.groupBy("file_id").applyInPandas(report, REPORTS)
