@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..ship import ship
 
-__all__ = ["all_of", "among", "ascii_lower", "clear", "materialise", "partitions", "ranked", "run_folder", "shared_folder", "ship"]
+__all__ = ["all_of", "among", "ascii_lower", "clear", "materialise", "partitions", "ranked", "run_folder", "settled", "shared_folder", "ship", "tables"]
 
 #: Bits of the bitmap of ids, 8 MB, which is broadcast.
 BITS = 1 << 26
@@ -38,10 +39,32 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/wharfline/{spark.sparkContext.applicationId}"
 
 
+def _system(spark: SparkSession):  # noqa: ANN202
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the intermediate tables that this application has written; results that still read them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = _system(spark)
+    system.delete(path, True)
+
+
+def tables(spark: SparkSession) -> set[str]:
+    """The names of this application's intermediate tables."""
+    system, path = _system(spark)
+    return {s.getPath().getName() for s in system.listStatus(path)} if system.exists(path) else set()
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, as a table; the tables that it wrote on the way are deleted."""
+    before = tables(spark)
+    out = materialise(make(), name)
+    system, path = _system(spark)
+    for t in tables(spark) - before:
+        if not t.startswith(f"{name}-"):
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(path, t), True)
+    return out
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

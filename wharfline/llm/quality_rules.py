@@ -8,8 +8,8 @@ of its n-grams. It is rejected below the LOW quantile of the scores of trusted d
 Texts fall into two halves by a hash, and each half has multinomials of its own; a text is scored by those of the half it is not in. So
 neither a trusted text nor any number of copies of one tells the model about itself.
 
-Buckets are a power of two, one for PER_BUCKET bytes of the corpus, at most MOST_BUCKETS: one row for each, which is broadcast (at most
-MOST_BUCKETS * 24 bytes). Everything is DataFrame functions. N-grams are exploded, met with their weights and summed within a task,
+Buckets are a power of two, one for PER_BUCKET bytes of the corpus, at most MOST_BUCKETS: one row for each of either half, which is broadcast (at most
+2 * MOST_BUCKETS rows of two numbers). Everything is DataFrame functions. N-grams are exploded, met with their weights and summed within a task,
 for rows of a document follow one another: one row for each document and task is shuffled, and no text. Only trusted texts
 move, to be met with the labels; before that a bitmap of their ids leaves other texts out.
 
@@ -109,32 +109,30 @@ def _neighbours(words: Column) -> Column:
     return F.arrays_zip(*[(F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))) if i else words).alias(f"w{i}") for i in range(GRAMS)])
 
 
-def _buckets(buckets: int) -> list[Column]:
-    """The buckets of the n-grams of up to GRAMS words that begin with a row's first (null where the text ends before)."""
-    at = lambda i: F.pmod(F.xxhash64(*[F.col(f"w{j}") for j in range(i + 1)]), F.lit(buckets)).cast("int")
+def _buckets(buckets: int, half: Column) -> list[Column]:
+    """The buckets of the n-grams of up to GRAMS words that begin with a row's first (null where the text ends before), those of half 1 behind those of half 0."""
+    at = lambda i: F.pmod(F.xxhash64(*[F.col(f"w{j}") for j in range(i + 1)]), F.lit(buckets)).cast("int") + half * F.lit(buckets)
     return [F.when(F.col(f"w{i}").isNotNull(), at(i)).alias(f"b{i}") for i in range(GRAMS)]
 
 
 def _counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
-    """(half, bucket, count) of the n-grams of texts (half, text). No lambda: the whole way to the first sums is generated code."""
+    """(bucket, count) of the n-grams of texts (half, text). No lambda: the whole way to the first sums is generated code."""
     words = texts.select("half", F.inline(_neighbours(words_of(F.col("text")))))
-    each = words.select("half", F.explode(F.array(*_buckets(buckets))).alias("bucket")).where("bucket is not null")
-    return each.groupBy("half", "bucket").agg(F.count(F.lit(1)).alias(name))
+    each = words.select(F.explode(F.array(*_buckets(buckets, F.col("half")))).alias("bucket")).where("bucket is not null")
+    return each.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
 def weights(raw: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, w0, w1): the weight of each bucket under the multinomials of either half, of counts (half, bucket, raw) and (half, bucket, target).
+    """(bucket, w): the weight of each bucket under the multinomials of its half, of counts (bucket, raw) and (bucket, target).
 
-    A bucket that a half does not have has the least weight there, and so has one that the table does not have.
+    A bucket that a half does not have has the least weight there.
     """
-    met = raw.join(target, ["half", "bucket"], "left").select("half", "bucket", "raw", F.coalesce("target", F.lit(0)).alias("target"))
+    met = raw.join(target, "bucket", "left").select("bucket", F.floor(F.col("bucket") / buckets).alias("half"), "raw", F.coalesce("target", F.lit(0)).alias("target"))
     met = materialise(met, "counts")
     total = met.groupBy("half").agg(F.sum("raw").cast("double").alias("all_raw"), F.sum("target").cast("double").alias("all_target"))
     ratio = (F.col("target") / F.greatest("all_target", F.lit(1.0))) / (F.col("raw") / F.col("all_raw"))
     weight = F.rint(F.ln((1 - MIX) * ratio + MIX) * UNIT).cast("int")
-    each = met.join(F.broadcast(total), "half").select("half", "bucket", weight.alias("w"))  # two rows
-    least = F.lit(least_weight())
-    return each.groupBy("bucket").agg(*[F.coalesce(F.max(F.when(F.col("half") == h, F.col("w"))), least).alias(f"w{h}") for h in (0, 1)])
+    return met.join(F.broadcast(total), "half").select("bucket", weight.alias("w"))  # two rows
 
 
 def least_weight() -> int:
@@ -163,12 +161,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = ["id", "lang", "_x", "_y", *BASE]
     # a row without words, in front, counts the rows of a document; those that repeat it fall into one
     marker = F.array(F.struct(*[F.lit(None).cast("string").alias(f"w{i}") for i in range(GRAMS)]))
-    each = measured.select(*own, "half", F.inline(F.concat(marker, _neighbours(F.col("words"))))).select(*own, "half", *_buckets(buckets))
+    each = measured.select(*own, "half", F.inline(F.concat(marker, _neighbours(F.col("words"))))).select(*own, *_buckets(buckets, 1 - F.col("half")))
     weight, met = F.lit(0), F.lit(0)
-    for i in range(GRAMS):  # each a broadcast of at most MOST_BUCKETS rows
-        each = each.join(F.broadcast(table.select(F.col("bucket").alias(f"_b{i}"), F.col("w0").alias(f"u{i}"), F.col("w1").alias(f"v{i}"))), F.col(f"b{i}") == F.col(f"_b{i}"), "left")
-        other = F.coalesce(F.when(F.col("half") == 0, F.col(f"v{i}")).otherwise(F.col(f"u{i}")), F.lit(least_weight()))
-        weight, met = weight + F.when(F.col(f"b{i}").isNotNull(), other).otherwise(0), met + F.col(f"b{i}").isNotNull().cast("int")
+    for i in range(GRAMS):  # each a broadcast of at most 2 * MOST_BUCKETS rows
+        each = each.join(F.broadcast(table.select(F.col("bucket").alias(f"_b{i}"), F.col("w").alias(f"_w{i}"))), F.col(f"b{i}") == F.col(f"_b{i}"), "left")
+        weight, met = weight + F.when(F.col(f"b{i}").isNotNull(), F.coalesce(f"_w{i}", F.lit(least_weight()))).otherwise(0), met + F.col(f"b{i}").isNotNull().cast("int")
     summed = each.groupBy(*own).agg(F.sum(weight.cast("long")).alias("sum"), F.sum(met.cast("long")).alias("n"), F.count_if(F.col("b0").isNull()).alias("rows"))
     score = F.when(F.col("n") > 0, F.rint(F.col("sum") / F.col("n")).cast("long"))
     failed = base_failed().alias("base_failed")
