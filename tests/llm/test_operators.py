@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wharfline.llm import ann_forest, bpe, chat, exact_dedup, licenses, ngram_join, packing, quality_kn, sharding, token_files
+from wharfline.llm import ann_forest, bpe, chat, common, exact_dedup, licenses, ngram_join, packing, quality_kn, sharding, token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
 ROWS = [
@@ -577,7 +577,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path, tokenizer):
     docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
-        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), "stage")
+        docs = common.materialise(stage(spark, docs, str(tmp_path)), "stage")
         kept.append(Counter((r["doc_id"], r["text"]) for r in docs.collect()))
     whole = spark.read.parquet(str(tmp_path / "documents.parquet"))
     bad = {r["doc_id"] for r in quality_kn.score(whole, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect() if not r["kept"]} - {None}
@@ -696,3 +696,9 @@ def test_popular_contents_lose_no_link(spark, monkeypatch):
                 root[max(a, b)] = min(a, b)
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_tables_of_a_step_are_deleted(spark):
+    before = common.tables(spark)
+    out = common.settled(spark, lambda: common.materialise(common.materialise(spark.range(9), "first"), "second").where("id > 3"), "third")
+    assert out.count() == 5 and [t.rpartition("-")[0][:5] for t in common.tables(spark) - before] == ["third"]
