@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codes, dates
-from ..functions.text import clean, let, looks_like_date, looks_numeric
+from ..functions.text import clean, known, let, looks_like_date, looks_numeric, stripped
+from ..plans.layout import kept
 from ..plans.model import TargetField, TargetSchema
 from .mapping import normal
 
@@ -78,17 +79,19 @@ def profile(records: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     """One row for each file and column: total, filled, distinct, samples, shares of kinds, date patterns.
 
     The first ``sample`` records of each file are profiled, a documented bound of the feature; None takes all.
+    Cells are counted by their values first, and only distinct values are classified; their table is kept, as kinds, samples and patterns are all taken from it.
     """
     rows = records if sample is None else records.where(F.col("seq") < sample)
-    cells = rows.select("file_id", "seq", F.explode("fields").alias("column", "raw")).withColumn("value", clean(F.col("raw")))
-    kinds = classify(F.col("value"))
-    share = {k: F.count_if(F.array_contains("kinds", k) & F.col("value").isNotNull()) for k in KINDS}
-    typed = cells.withColumn("kinds", kinds)
-    main = typed.groupBy("file_id", "column").agg(F.count("value").alias("filled"), F.count_distinct("value").alias("distinct"), *[share[k].alias(f"_{k}") for k in KINDS])
+    cells = rows.select("file_id", "seq", F.explode("fields").alias("column", "raw")).select("file_id", "seq", "column", stripped(F.col("raw")).alias("_s"))
+    cells = cells.select("file_id", "seq", "column", known(F.col("_s")).alias("value"))  # in steps of their own, so that no lambda works them out
+    cells = kept(cells.groupBy("file_id", "column", "value").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_at")))
+    filled = F.when(F.col("value").isNotNull(), F.col("_n"))
+    share = {k: F.coalesce(F.sum(F.when(F.array_contains("kinds", k), filled)), F.lit(0)) for k in KINDS}
+    typed = cells.withColumn("kinds", classify(F.col("value")))
+    main = typed.groupBy("file_id", "column").agg(F.coalesce(F.sum(filled), F.lit(0)).alias("filled"), F.count("value").alias("distinct"), *[share[k].alias(f"_{k}") for k in KINDS])
     total = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("total"))
-    firsts = cells.where("value is not null").groupBy("file_id", "column", "value").agg(F.min("seq").alias("_at"))
     turn = F.row_number().over(Window.partitionBy("file_id", "column").orderBy("_at", "value"))  # its limit is pushed below the shuffle
-    firsts = firsts.withColumn("_turn", turn).where("_turn <= 5")
+    firsts = cells.where("value is not null").withColumn("_turn", turn).where("_turn <= 5")
     samples = firsts.groupBy("file_id", "column").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("samples"))
     patterns = dates.infer_patterns(cells, "value", ["file_id", "column"])
     out = main.join(total, "file_id").join(samples, ["file_id", "column"], "left").join(patterns, ["file_id", "column"], "left")
